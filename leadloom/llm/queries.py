@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import history
+from leadloom.llm import canonical, history, language, sampling, survivors
 from leadloom.session import table
 
 
@@ -14,4 +14,46 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.least("id", "first_id").alias("first_id"), F.greatest("id", "first_id").alias("second_id"))
 
 
-QUERIES = {"p1_found": p1_found}
+def _survivors(spark: SparkSession, d: str) -> survivors.Survivors:
+    return survivors.Survivors(table(spark, d, "stores"), table(spark, d, "sources"), table(spark, d, "known_hosts"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _survivors(spark, d).members.select("group_id", "store_id", "survivor_id")
+
+
+def p2_records(spark: SparkSession, d: str) -> DataFrame:
+    """The fused record of each group; probabilities are rounded, since sums of doubles depend on their order."""
+    r = _survivors(spark, d).records
+    return r.select("group_id", "survivor_id", "size", *survivors.FUSED, "emails", *[F.round(f"p_{c}", 6).alias(f"p_{c}") for c in survivors.FUSED])
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.not_kept(table(spark, d, "audit_sample"), table(spark, d, "stores"))
+
+
+def p4_sample(spark: SparkSession, d: str) -> DataFrame:
+    """A sample of the accepted stores that keeps every accepted store of the recorded samples."""
+    stores = sampling.accepted_stores(table(spark, d, "stores"))
+    kept = sampling.recorded(table(spark, d, "audit_sample")).select(F.col("id").alias("store_id"), F.lit(1.0).alias("probability")).distinct()
+    sample, _ = sampling.draw(stores, kept)
+    return sample.select("store_id", F.round("probability", 6).alias("probability"), "kept")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.map_stores(table(spark, d, "stores"), table(spark, d, "canon_values")).select("store_id", "field_name", "canon_id")
+
+
+def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """The values that mean no entry, and how many stores have them."""
+    x = canonical.map_stores(table(spark, d, "stores"), table(spark, d, "canon_values")).where("canon_id = 0")
+    return x.groupBy("field_name", "value").agg(F.count("*").alias("n"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    found = language.segments(documents, language.train(documents))
+    return language.relabel(documents, found).select("doc_id", "lang")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_records, p4_found, p4_sample, p5_found, p5_unmatched, p8_found)}
