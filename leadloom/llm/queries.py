@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import canonical, history, language, sampling, survivors
+from leadloom.llm import canonical, history, language, leakage, mixing, sampling, survivors
 from leadloom.session import table
 
 
@@ -50,10 +50,33 @@ def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("field_name", "value").agg(F.count("*").alias("n"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    found = leakage.leaked(table(spark, d, "documents"), leakage.passages(table(spark, d, "eval_items")))
+    return found.select("doc_id", "item_id")
+
+
+def p6_items(spark: SparkSession, d: str) -> DataFrame:
+    """The items that leaked, into how many documents."""
+    return p6_found(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.Mix(table(spark, d, "documents"), table(spark, d, "mix_targets")).report.where("NOT reachable").select("source")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """What each source gets: tokens, its share of what is mixed and of the total aimed at."""
+    r = mixing.Mix(table(spark, d, "documents"), table(spark, d, "mix_targets")).report
+    mixed = r.agg(F.sum("used").alias("mixed"))
+    share = F.round(F.try_divide("used", "mixed"), 6)
+    r = r.join(mixed).withColumns({"share": share, "of_target": F.round(F.try_divide("used", F.col("weight") * F.col("total")), 6)})
+    return r.select("source", F.round("weight", 6).alias("weight"), "docs", "tokens", "budget", "used", "uses", "most", "share", "of_target", "reachable")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
     found = language.segments(documents, language.train(documents))
     return language.relabel(documents, found).select("doc_id", "lang")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_records, p4_found, p4_sample, p5_found, p5_unmatched, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_records, p4_found, p4_sample, p5_found, p5_unmatched, p6_found, p6_items, p7_found, p7_shares, p8_found)}
