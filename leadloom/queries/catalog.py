@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from leadloom.queries import processing
+from leadloom.queries import leads, processing, shops
 
-MODULES = (processing,)
+MODULES = (processing, leads, shops)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
