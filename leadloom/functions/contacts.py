@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: An address inside running text (fixed pattern, ASCII).
@@ -39,31 +39,37 @@ def phone(number: Column) -> Column:
     return F.when(local != "", F.concat(F.lit("+91"), local)).when(digits.rlike(r"^\+[1-9][0-9]{7,14}$") & ~digits.startswith("+91"), digits)
 
 
-def social_profile(url: Column) -> Column:
-    """STRUCT<network, profile> of a profile's address on a social host, or null.
+def with_social(rows: DataFrame, url: str, network: str = "network", profile: str = "profile") -> DataFrame:
+    """``rows`` and the network and canonical address of the profile that column ``url`` leads to, null where it is none.
 
     Hosts lose ``www.``/``m.``; twitter.com is x; shares, posts, searches and log-ins are no profiles; Facebook keeps
     ``people``/``pages`` paths and ``profile.php?id=``, LinkedIn company/in/school, YouTube handles, channels and users.
+    Built in steps, so that no expression holds another twice.
     """
-    u = F.trim(url)
-    host = F.regexp_replace(F.lower(F.regexp_extract(u, r"^https?://([^/?#]+)", 1)), r"^(?:www|m)\.", "")
-    path = F.regexp_replace(F.regexp_extract(u, r"^https?://[^/?#]+([^?#]*)", 1), r"^/+|/+$", "")
-    query = F.regexp_extract(u, r"\?([^#]*)", 1)
-    s = F.split(path, "/+")
-    first = F.lower(s.getItem(0))
-    n = F.size(s)
-    network = (
-        F.when(host == "instagram.com", "instagram").when(host == "facebook.com", "facebook").when(host.isin("twitter.com", "x.com"), "x")
-        .when(host == "linkedin.com", "linkedin").when(host == "youtube.com", "youtube").when(host == "pinterest.com", "pinterest")
-    )
-    shown = F.when(host == "twitter.com", "x.com").otherwise(host)
-    fb_id = F.regexp_extract(query, r"(?:^|&)id=([0-9]+)", 1)
+    host, path, first, n = F.col("_s_host"), F.col("_s_path"), F.col("_s_first"), F.col("_s_n")
+    x = rows.withColumns({
+        "_s_host": F.regexp_replace(F.lower(F.regexp_extract(F.trim(url), r"^https?://([^/?#]+)", 1)), r"^(?:www|m)\.", ""),
+        "_s_path": F.regexp_replace(F.regexp_extract(F.trim(url), r"^https?://[^/?#]+([^?#]*)", 1), r"^/+|/+$", ""),
+        "_s_id": F.regexp_extract(url, r"[?&]id=([0-9]+)", 1),
+    })
+    x = x.withColumn("_s_parts", F.split("_s_path", "/+"))
+    part = lambda i: F.get("_s_parts", F.lit(i))
+    x = x.withColumns({"_s_first": F.lower(part(0)), "_s_n": F.size("_s_parts"), "_s_two": F.concat_ws("/", part(0), part(1)), "_s_third": F.lower(part(2))})
+    networks = {"instagram.com": "instagram", "facebook.com": "facebook", "twitter.com": "x", "x.com": "x", "linkedin.com": "linkedin", "youtube.com": "youtube", "pinterest.com": "pinterest"}
+    named = F.lit(None).cast("string")
+    for h, name in networks.items():
+        named = F.when(host == h, name).otherwise(named)
+    x = x.withColumn("_s_net", named)
+    net = F.col("_s_net")
     kept = (
-        F.when((network == "facebook") & (first == "profile.php"), F.when(fb_id != "", F.concat(F.lit("profile.php?id="), fb_id)))
+        F.when((net == "facebook") & (first == "profile.php"), F.when(F.col("_s_id") != "", F.concat(F.lit("profile.php?id="), "_s_id")))
         .when((path == "") | first.isin(*NO_PROFILE) | path.rlike(r"[:\s]|%3A|%20"), F.lit(None))
-        .when(network.isin("instagram", "x", "pinterest"), F.when(n == 1, path))
-        .when(network == "facebook", F.when((n == 1) | (first.isin("people", "pages") & (n == 3)), path))
-        .when(network == "linkedin", F.when(first.isin("company", "in", "school") & ((n == 2) | ((n == 3) & (F.lower(s.getItem(2)) == "mycompany"))), F.concat_ws("/", s.getItem(0), s.getItem(1))))
-        .when(network == "youtube", F.when(first.startswith("@"), s.getItem(0)).when(first.isin("channel", "c", "user") & (n >= 2), F.concat_ws("/", s.getItem(0), s.getItem(1))))
+        .when(net.isin("instagram", "x", "pinterest"), F.when(n == 1, path))
+        .when(net == "facebook", F.when((n == 1) | (first.isin("people", "pages") & (n == 3)), path))
+        .when(net == "linkedin", F.when(first.isin("company", "in", "school") & ((n == 2) | ((n == 3) & (F.col("_s_third") == "mycompany"))), F.col("_s_two")))
+        .when(net == "youtube", F.when(first.startswith("@"), part(0)).when(first.isin("channel", "c", "user") & (n >= 2), F.col("_s_two")))
     )
-    return F.when(network.isNotNull() & kept.isNotNull(), F.struct(network.alias("network"), F.concat(F.lit("https://"), shown, F.lit("/"), kept).alias("profile")))
+    x = x.withColumn("_s_kept", kept)
+    shown = F.when(host == "twitter.com", "x.com").otherwise(host)
+    x = x.withColumn(profile, F.concat(F.lit("https://"), shown, F.lit("/"), "_s_kept")).withColumn(network, F.when(F.col("_s_kept").isNotNull(), net))
+    return x.drop(*[f"_s_{c}" for c in ("host", "path", "id", "parts", "first", "n", "two", "third", "net", "kept")])
