@@ -177,6 +177,8 @@ class Model:
     def of(cls, pieces: list[bytes], rows: pd.DataFrame) -> "Model":
         """From rows (code, script, piece, p); the row of piece -1 has the number of words that the distribution is fitted on."""
         languages = sorted(set(rows["code"]))
+        if not languages:
+            return cls(pieces, [], [np.zeros((len(pieces), 0))] * 2, np.zeros((2, 0)))
         column = {x: i for i, x in enumerate(languages)}
         byte = np.array([len(b) == 1 for b in pieces], dtype=float)
         tables, weights = [], np.ones((2, len(languages)))
@@ -187,10 +189,10 @@ class Model:
             part = part[part["piece"] >= 0]
             p = np.zeros((len(pieces), len(languages)))
             p[part["piece"].to_numpy(), [column[x] for x in part["code"]]] = part["p"].to_numpy()
-            common = p @ (weights[script] / weights[script].sum()) if languages else np.zeros(len(pieces))
+            common = p @ (weights[script] / weights[script].sum())
             common = 0.9 * common + 0.1 * byte / max(byte.sum(), 1.0)
             tables.append((1 - COMMON) * p + COMMON * common[:, None])
-        return cls(pieces, languages, tables, np.log(weights / weights.sum()) if languages else np.zeros((2, 0)))
+        return cls(pieces, languages, tables, np.log(weights / weights.sum()))
 
     def word(self, w: str) -> np.ndarray:
         """Log-probability of a word in each language, by the forward sums over all segmentations."""

@@ -140,7 +140,8 @@ class Mix:
         x = x.withColumn("once", F.coalesce(once, F.lit(False)))
         rest = x.where(~F.col("once")).join(F.broadcast(extra), ["source", "tokens"])
         rank = F.row_number().over(Window.partitionBy("source", "tokens").orderBy("h", "doc_id"))
-        picked = rest.withColumn("rank", rank).where(F.col("rank") <= F.col("take")).select("doc_id", "source", F.lit(1).alias("picked"))
+        most = max((k for _, _, k in chosen), default=0)  # a constant, so that each task keeps only so many rows of a group
+        picked = rest.withColumn("rank", rank).where(F.col("rank") <= most).where(F.col("rank") <= F.col("take")).select("doc_id", "source", F.lit(1).alias("picked"))
         x = x.join(picked, ["doc_id", "source"], "left").withColumn("repeats", F.col("rounds") + F.col("once").cast("int") + F.coalesce("picked", F.lit(0)))
         self.selected = x.where("repeats > 0").select("doc_id", "source", "tokens", "repeats")
         got = self.selected.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("used"), F.sum("repeats").alias("uses"), F.max("repeats").alias("most"))

@@ -1,3 +1,90 @@
-"""DuckDB SQL of the queries in this package."""
+"""DuckDB SQL of the queries in this package that SQL can express, over whole tables."""
 
-SQL: dict = {}
+from __future__ import annotations
+
+from leadloom.llm import canonical
+from leadloom.queries import sql
+
+_P1 = rf"""
+WITH RECURSIVE c AS (SELECT id, min(url) AS url FROM candidates WHERE id IS NOT NULL GROUP BY id),
+t AS (SELECT candidate_id AS id, min(discovered_at) AS seen_at FROM sources GROUP BY 1),
+s AS (SELECT id, seen_at, {sql.site("url")} AS site FROM c JOIN t USING (id)),
+f AS (SELECT id, seen_at, {sql.parent("site")} AS suffix, site FROM s WHERE site IS NOT NULL),
+g AS (SELECT id, seen_at, suffix, replace(strip_accents(left(site, len(site) - len(suffix) - 1)), '-', '') AS name FROM f),
+fronts AS (SELECT DISTINCT name, suffix, name || '.' || suffix AS front FROM g),
+links AS (SELECT a.front AS x, b.front AS y FROM fronts a JOIN fronts b ON a.suffix = b.suffix AND a.front <> b.front AND abs(len(a.name) - len(b.name)) <= 1 AND damerau_levenshtein(a.name, b.name) <= 1),
+reach AS (SELECT front AS x, front AS y FROM fronts UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+shop AS (SELECT x AS front, min(y) AS shop FROM reach GROUP BY 1),
+m AS (SELECT g.id, g.seen_at, shop.shop FROM g JOIN shop ON shop.front = g.name || '.' || g.suffix),
+best AS (SELECT shop, min(seen_at) AS first_at, arg_min(id, (seen_at, id)) AS first_id FROM m GROUP BY 1)
+SELECT least(id, best.first_id) AS first_id, greatest(id, best.first_id) AS second_id FROM m JOIN best USING (shop) WHERE seen_at > first_at
+"""
+
+_P2 = f"""
+WITH RECURSIVE {sql.STORE}, named AS (SELECT store_id, unnest(list_concat([domain_url, shop_identity], coalesce(aliases, []::VARCHAR[]))) AS v FROM store),
+e AS (SELECT DISTINCT store_id, {sql.site("v")} AS site FROM named),
+n AS (SELECT DISTINCT a.store_id AS x, b.store_id AS y FROM e a JOIN e b ON a.site = b.site AND a.store_id <> b.store_id),
+reach AS (SELECT DISTINCT x, x AS y FROM n UNION SELECT r.x, n.y FROM reach r JOIN n ON n.x = r.y),
+g AS (SELECT x AS store_id, min(y) AS group_id FROM reach GROUP BY 1),
+m AS (SELECT g.group_id, s.store_id, s.domain_url, {sql.FILLED} AS filled, {sql.site("domain_url")} AS site FROM g JOIN store s USING (store_id)),
+r AS (SELECT *, first_value(store_id) OVER (PARTITION BY group_id ORDER BY coalesce(site LIKE '%.shops.example', TRUE), -filled, domain_url NULLS LAST, store_id) AS survivor_id FROM m)
+SELECT group_id, store_id, survivor_id FROM r
+"""
+
+_ID = f"lower({sql.trim('store_id')})"
+_P4 = f"""
+WITH {sql.STORE}, log AS (SELECT DISTINCT {_ID} AS id, wave FROM audit_sample WHERE store_id IS NOT NULL AND wave IS NOT NULL),
+w AS (SELECT wave, lead(wave) OVER (ORDER BY wave) AS next FROM (SELECT DISTINCT wave FROM log))
+SELECT s.store_id, w.next AS wave FROM log JOIN w USING (wave) JOIN store s ON {_ID.replace("store_id", "s.store_id")} = log.id
+WHERE s.status = 'accepted' AND w.next IS NOT NULL AND NOT EXISTS (SELECT 1 FROM log o WHERE o.id = log.id AND o.wave = w.next)
+"""
+
+_P4_SAMPLE = f"""
+WITH {sql.STORE}, log AS (SELECT DISTINCT {_ID} AS id FROM audit_sample),
+x AS (SELECT store_id, ('0x' || left(md5('20260929:' || store_id), 13))::BIGINT / 4503599627370496.0 AS u, least(1, greatest(1, coalesce(pages_checked, 1)) * 0.02) AS p, log.id IS NOT NULL AS kept FROM store LEFT JOIN log ON log.id = store_id WHERE status = 'accepted')
+SELECT store_id, round(CASE WHEN kept THEN 1 ELSE p END, 6)::DOUBLE AS probability, kept FROM x WHERE kept OR u < p
+"""
+
+
+def _words(x: str) -> str:
+    v = f"replace(regexp_replace(regexp_replace(lower({x}), '&amp;|&#38;', '&', 'g'), '&[a-z]{{2,8}};|&#[0-9]{{1,6}};', ' ', 'g'), '&', ' and ')"
+    return f"list_filter(regexp_split_to_array(regexp_replace(strip_accents({v}), '[''‘’`]', '', 'g'), '[^\\p{{L}}\\p{{M}}]+'), lambda w: w <> '')"
+
+
+def _tokens(s: str) -> str:
+    n = f"len({s})"
+    return (
+        f"list_distinct(list_concat(list_transform(range(1, {n}), lambda i: substr({s}, i, 2)), list_transform(range(1, {n} - 1), lambda i: substr({s}, i, 1) || '_' || substr({s}, i + 2, 1)),"
+        f" list_transform(range(1, {n} + 1), lambda i: substr({s}, i, 1) || (len(left({s}, i)) - len(replace(left({s}, i), substr({s}, i, 1), '')))::VARCHAR)))"
+    )
+
+
+_P5 = f"""
+WITH {sql.STORE}, typed AS (SELECT store_id, 'state' AS kind, state AS value FROM store UNION ALL SELECT store_id, 'category', category FROM store),
+kept AS (SELECT * FROM typed t WHERE {sql.trim("value").replace(sql.BLANK, "[[:space:]\\p{Z}]")} <> '' AND NOT EXISTS (SELECT 1 FROM canon_values c WHERE c.kind = t.kind AND c.canonical = t.value)),
+v AS (SELECT DISTINCT kind, value, {_words("value")} AS w FROM kept),
+f AS (SELECT DISTINCT kind, canon_id, array_to_string(w, '') AS form FROM (SELECT kind, canon_id, {_words("n")} AS w FROM (SELECT kind, canon_id, unnest(list_prepend(canonical, coalesce(also_known, []::VARCHAR[]))) AS n FROM canon_values))),
+ft AS (SELECT *, {_tokens("form")} AS t FROM f WHERE form <> ''),
+win AS (SELECT DISTINCT kind, value, form FROM (SELECT kind, value, unnest(flatten(list_transform(range(1, len(w) + 1), lambda i: list_transform(range(i, least(len(w), i + 7) + 1), lambda j: array_to_string(w[i:j], ''))))) AS form FROM v) WHERE form <> ''),
+wt AS (SELECT kind, form, {_tokens("form")} AS t FROM (SELECT DISTINCT kind, form FROM win)),
+j AS (SELECT wt.kind, wt.form, ft.canon_id, ft.form AS entry, len(list_intersect(wt.t, ft.t)) AS c, len(wt.t) + len(ft.t) AS n FROM wt JOIN ft USING (kind)),
+k AS (SELECT kind, form, canon_id, c / (n - c) AS sim, -levenshtein(form, entry) AS near FROM j WHERE c / (n - c) >= {canonical.THRESHOLD}),
+b AS (SELECT kind, form, arg_max(canon_id, (sim, near, -canon_id)) AS canon_id, max(sim) AS sim FROM k GROUP BY 1, 2),
+best AS (SELECT win.kind, win.value, arg_max(b.canon_id, (b.sim, len(win.form), -b.canon_id)) AS canon_id FROM win JOIN b USING (kind, form) GROUP BY 1, 2)
+"""
+
+_P7 = """
+WITH k AS (SELECT trim(regexp_replace(lower(trim(source)), '[ _-]+', '_', 'g')) AS source, strlen(text) AS n FROM documents),
+s AS (SELECT m.source, m.weight, m.max_repeats, coalesce(sum(k.n), 0) AS n FROM mix_targets m LEFT JOIN k ON k.source = m.source GROUP BY ALL)
+SELECT source FROM s WHERE n * max_repeats < weight * (SELECT sum(n) FROM s)
+"""
+
+SQL: dict = {
+    "p1_found": _P1,
+    "p2_found": _P2,
+    "p4_found": _P4,
+    "p4_sample": _P4_SAMPLE,
+    "p5_found": _P5 + "SELECT kept.store_id, kept.kind AS field_name, coalesce(best.canon_id, 0) AS canon_id FROM kept LEFT JOIN best USING (kind, value)",
+    "p5_unmatched": _P5 + "SELECT kept.kind AS field_name, kept.value, count(*) AS n FROM kept LEFT JOIN best USING (kind, value) WHERE best.canon_id IS NULL GROUP BY 1, 2",
+    "p7_found": _P7,
+}
