@@ -39,12 +39,14 @@ def row_digest(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, F.sha2(F.to_json(F.struct(*[sorted_json(df, c).alias(c) for c in sorted(df.columns)])), 256).alias("digest"))
 
 
-def snapshot_digest(digests: DataFrame, key: str, buckets: int = 256) -> DataFrame:
+def snapshot_digest(digests: DataFrame, key: str, per_bucket: int = 4096) -> DataFrame:
     """One row (rows, digest): SHA-256 over the digests of hash buckets, each over its rows' digests in order of the key.
 
-    Two levels, so that no task and not the driver ever holds all rows; independent of partitioning.
+    Two levels, so that no task and not the driver ever holds all rows; the number of buckets depends on the number of rows
+    alone, so the digest is independent of partitioning.
     """
-    b = F.conv(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 2), 16, 10).cast("int") % buckets
+    buckets = digests.count() // per_bucket + 1
+    b = F.pmod(F.conv(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 15), 16, 10).cast("bigint"), F.lit(buckets))
     x = digests.groupBy(b.alias("b")).agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "digest"))), lambda s: s["digest"]), "").alias("all"))
     x = x.select("b", "n", F.sha2("all", 256).alias("d"))
     return x.agg(F.sum("n").alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda s: s["d"]), ""), 256).alias("digest"))
