@@ -310,4 +310,4 @@ def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
 def passages(eval_items: DataFrame) -> DataFrame:
     """(item_id, passage): the second line of an item, its only line where there is one."""
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    return eval_items.select("item_id", F.when(F.size(lines) > 1, lines.getItem(1)).otherwise(lines.getItem(0)).alias("passage"))
+    return eval_items.select("item_id", F.coalesce(F.get(lines, F.lit(1)), F.get(lines, F.lit(0))).alias("passage"))
