@@ -128,38 +128,47 @@ def parse_page(html: Column) -> Column:
     return parsed(html)
 
 
+class _Tables(HTMLParser):
+    """First cell of each row, by table; cells and rows need not be closed."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.tables: list[list[tuple[str, str]]] = []
+        self.cell: list[str] | None = None
+        self.fresh = False
+
+    def _close(self):
+        if self.cell is not None:
+            self.tables[-1].append((self.cell[0], squeeze("".join(self.cell[1:]))))
+            self.cell = None
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("table", "tr", "td", "th"):
+            self._close()
+        if tag == "table":
+            self.tables.append([])
+        elif tag == "tr":
+            self.fresh = True
+        elif tag in ("td", "th") and self.fresh and self.tables:
+            self.cell, self.fresh = [tag], False
+
+    def handle_endtag(self, tag):
+        if tag in ("table", "tr", "td", "th"):
+            self._close()
+
+    def handle_data(self, data):
+        if self.cell is not None:
+            self.cell.append(data)
+
+
 def table_cells(html: str, header: str = "store") -> list[str]:
     """First cells of the rows of each table whose first header cell is ``header``."""
-    out, rows, depth, first, cell, tag = [], [], 0, None, None, ""
-
-    class T(HTMLParser):
-        def handle_starttag(self, t, attrs):
-            nonlocal depth, first, cell, tag, rows
-            if t == "table":
-                depth, first, rows = depth + 1, None, []
-            elif depth and t == "tr":
-                tag = "open"
-            elif depth and t in ("td", "th") and tag == "open":
-                cell, tag = [t], "cell"
-
-        def handle_data(self, data):
-            if cell is not None:
-                cell.append(data)
-
-        def handle_endtag(self, t):
-            nonlocal depth, first, cell, tag
-            if t in ("td", "th") and cell is not None:
-                text = squeeze("".join(cell[1:]))
-                if cell[0] == "th" and first is None:
-                    first = text.lower()
-                elif cell[0] == "td" and first == header:
-                    out.append(text)
-                cell, tag = None, "done"
-            elif t == "table":
-                depth -= 1
-
-    T(convert_charrefs=True).feed(html)
-    return out
+    p = _Tables()
+    p.feed(html)
+    p.close()
+    p._close()
+    fit = [t for t in p.tables if next((text.lower() for tag, text in t if tag == "th"), None) == header]
+    return [text for t in fit for tag, text in t if tag == "td"]
 
 
 def json_objects(text: str) -> list[dict]:

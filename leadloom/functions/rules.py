@@ -27,7 +27,7 @@ def runtime_asset(src: Column) -> Column:
 
 def store_name(og_site_name: Column, title: Column, host: Column) -> Column:
     """The site's name (120 characters), else the title before a separator (90), else the host."""
-    og, t = F.nullif(F.trim(og_site_name), F.lit("")), F.nullif(F.trim(F.split(title, r"\s[|–—]\s").getItem(0)), F.lit(""))
+    og, t = F.nullif(F.trim(og_site_name), F.lit("")), F.nullif(F.trim(F.get(F.split(title, r"\s[|–—]\s"), F.lit(0))), F.lit(""))
     return F.coalesce(F.substring(og, 1, 120), F.substring(t, 1, 90), host)
 
 

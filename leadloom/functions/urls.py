@@ -62,7 +62,7 @@ class KnownHosts:
         h, p = F.col(f"{out}host"), F.col(f"{out}parent")
         roots, shared = sorted(self.suffixes | self.platforms), sorted(self.shared)
         x = rows.withColumn(f"{out}host", host_of(F.col(value))).withColumn("_above", F.when(h.isNotNull(), _above(h)))
-        x = x.withColumn(f"{out}parent", F.filter("_above", lambda s: s.isin(roots)).getItem(0) if roots else F.lit(None).cast("string"))
+        x = x.withColumn(f"{out}parent", F.get(F.filter("_above", lambda s: s.isin(roots)), F.lit(0)) if roots else F.lit(None).cast("string"))
         below = F.expr(f"substring_index(substring({out}host, 1, length({out}host) - length({out}parent) - 1), '.', -1)")
         site = F.when(p.isNotNull(), F.concat_ws(".", below, p)).otherwise(F.regexp_replace(h, r"^(?:www[0-9]*|m)\.", ""))
         if roots:

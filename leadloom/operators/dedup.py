@@ -31,25 +31,30 @@ def first_winners(rows: DataFrame, id_col: str, order: list[str], keys: list[str
 
     ``order`` (ties: the id) sorts the rows, nulls first. A null key conflicts with nothing. Repeated ids are not allowed.
     """
-    left = cut(rows.select(F.col(id_col).alias("id"), *keys, F.struct(*order, F.col(id_col).alias("_id")).alias("rank")))
-    done = None
+    every = left = cut(rows.select(F.col(id_col).alias("id"), *keys, F.struct(*order, F.col(id_col).alias("_id")).alias("rank")))
+    winners = None
     for _ in range(MAX_ROUNDS):
         x, first = left, F.lit(True)
         for k in keys:
             low = left.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("rank").alias(f"_low_{k}"))
             x = x.join(low, k, "left")
             first = first & (F.col(k).isNull() | (F.col("rank") == F.col(f"_low_{k}")))
-        winners = cut(x.where(first).select("id", *keys))
-        y = left.join(winners.select("id"), "id", "left_anti")
+        new = cut(x.where(first).select("id", *keys, "rank"))
+        winners = new if winners is None else winners.unionByName(new)
+        left = left.join(new.select("id"), "id", "left_anti")
         for k in keys:
-            y = y.join(winners.where(F.col(k).isNotNull()).select(k, F.col("id").alias(f"_of_{k}")), k, "left")
-        y = cut(y.withColumn("duplicate_of", F.coalesce(*[f"_of_{k}" for k in keys])))
-        part = winners.select("id", F.lit(None).cast("string").alias("duplicate_of")).unionByName(y.where("duplicate_of IS NOT NULL").select("id", "duplicate_of"))
-        done = part if done is None else done.unionByName(part)
-        left = y.where("duplicate_of IS NULL").select("id", *keys, "rank")
+            left = left.join(new.where(F.col(k).isNotNull()).select(k), k, "left_anti")
+        left = cut(left.select("id", *keys, "rank"))
         if left.isEmpty():
-            return done
-    raise RuntimeError("deduplication did not settle")
+            break
+    else:
+        raise RuntimeError("deduplication did not settle")
+    # whose duplicate a row is can only be told now: the winner of its first key may have been decided after that of its second
+    x = every.join(winners.select("id", F.lit(True).alias("wins")), "id", "left")
+    for k in keys:
+        w = winners.where(F.col(k).isNotNull()).select(k, F.col("id").alias(f"_of_{k}"), F.col("rank").alias(f"_rank_{k}"))
+        x = x.join(w, k, "left").withColumn(f"_of_{k}", F.when(F.col(f"_rank_{k}") < F.col("rank"), F.col(f"_of_{k}"))).drop(f"_rank_{k}")
+    return x.select("id", F.when(F.col("wins").isNull(), F.coalesce(*[f"_of_{k}" for k in keys])).alias("duplicate_of"))
 
 
 def current_stores(stores: DataFrame, columns: list[str] | None = None) -> DataFrame:
