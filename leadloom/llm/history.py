@@ -17,7 +17,6 @@ rows) and ``links`` (verified pairs). A batch adds rows to them and reads the ol
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +25,7 @@ from pyspark.sql import functions as F
 from leadloom.functions.text import unaccented
 from leadloom.functions.urls import KnownHosts
 from leadloom.operators.graph import components
+from leadloom.operators.incremental import Versions
 from leadloom.session import cut
 
 ANCHOR = 4
@@ -123,10 +123,9 @@ class FrontHistory:
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> "FrontHistory":
         """The version that the folder's pointer names; an empty history where there is none."""
-        fs, path = _fs(spark, f"{folder}/current")
-        if not fs.exists(path):
+        version = Versions(spark, folder).current()
+        if version < 0:
             return cls.empty(spark)
-        version = json.loads(spark.read.text(f"{folder}/current").first().value)["version"]
         return cls(*(spark.read.parquet(*[f"{folder}/{name}/v{i}" for i in range(version + 1)]) for name in ("fronts", "blocks", "links"))).latest()
 
     def latest(self) -> "FrontHistory":
@@ -159,21 +158,14 @@ class FrontHistory:
         found = found.select("id", "discovered_at", F.col("best.id").alias("first_id"), F.col("best.discovered_at").alias("first_discovered_at"), F.col("shop").alias("front"))
         return found, FrontHistory(fronts, blocks, links)
 
-    def save(self, spark: SparkSession, folder: str) -> None:
-        """Appends what ``check`` returned as the next version; the pointer is swapped last, by renaming."""
-        fs, path = _fs(spark, f"{folder}/current")
-        version = json.loads(spark.read.text(f"{folder}/current").first().value)["version"] + 1 if fs.exists(path) else 0
+    def save(self, spark: SparkSession, folder: str) -> int:
+        """Appends what ``check`` returned as the folder's next version, which counts only once all of it is written."""
+        versions = Versions(spark, folder)
+        version = versions.current() + 1
         for name in ("fronts", "blocks", "links"):
             getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{name}/v{version}")
-        _, new = _fs(spark, f"{folder}/next")
-        spark.createDataFrame([(json.dumps({"version": version}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/next")
-        fs.delete(path, True)
-        fs.rename(new, path)
-
-
-def _fs(spark: SparkSession, where: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(where)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+        versions.commit(version)
+        return version
 
 
 def repeated_leads(spark: SparkSession, candidates: DataFrame, sources: DataFrame, known_hosts: DataFrame) -> DataFrame:
