@@ -8,6 +8,7 @@ are selected again; a run that is repeated after the swap selects nothing.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,26 +64,48 @@ def select_changed(current: DataFrame, state: DataFrame, key: str) -> DataFrame:
 
 
 @dataclass
-class ChangeLog:
-    """The state in a folder: ``v<N>`` tables and the file ``current`` that names the valid one."""
+class Versions:
+    """Numbered versions in a folder. A version's data is complete before its pointer appears, and a pointer appears by one
+    rename, which fails if another run has committed that version in between."""
 
     spark: SparkSession
     folder: str
-    key: str = "key"
 
     def _fs(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def version(self) -> int:
+    def current(self) -> int:
         """The committed version, -1 if nothing was ever committed."""
         fs, path = self._fs("pointers")
         if not fs.exists(path):
             return -1
         return max((int(s.getPath().getName()) for s in fs.listStatus(path) if s.getPath().getName().isdigit()), default=-1)
 
+    def commit(self, version: int) -> None:
+        fs, pointers = self._fs("pointers")
+        fs.mkdirs(pointers)
+        _, draft = self._fs(f"draft-{version}-{uuid.uuid4().hex}")
+        fs.create(draft, True).close()
+        if not fs.rename(draft, self._fs(f"pointers/{version}")[1]):
+            fs.delete(draft, False)
+            raise RuntimeError(f"version {version} was committed by another run")
+
+
+@dataclass
+class ChangeLog:
+    """The state in a folder: a table ``v<N>`` for each version."""
+
+    spark: SparkSession
+    folder: str
+    key: str = "key"
+
+    @property
+    def versions(self) -> Versions:
+        return Versions(self.spark, self.folder)
+
     def state(self) -> DataFrame:
-        v = self.version()
+        v = self.versions.current()
         if v < 0:
             return self.spark.createDataFrame([], f"{self.key} string, content_hash string")
         return self.spark.read.parquet(f"{self.folder}/v{v}")
@@ -92,21 +115,12 @@ class ChangeLog:
         return select_changed(current, self.state(), self.key)
 
     def commit(self, processed: DataFrame) -> int:
-        """Makes ``processed`` (key, content_hash) the last processed state of its keys; returns the new version.
-
-        The new table is complete before its pointer appears, and a pointer appears by one rename, which fails if
-        another run has committed that version in between: nothing is skipped or repeated.
-        """
-        v = self.version() + 1
+        """Makes ``processed`` (key, content_hash) the last processed state of its keys; returns the new version."""
+        v = self.versions.current() + 1
         new = processed.select(F.col(self.key), "content_hash")
         kept = self.state().select(F.col(self.key), "content_hash").join(new.select(self.key), self.key, "left_anti")
         kept.unionByName(new).write.mode("overwrite").parquet(f"{self.folder}/v{v}")
-        fs, pointers = self._fs("pointers")
-        fs.mkdirs(pointers)
-        _, draft = self._fs(f"draft-{v}")
-        fs.create(draft, True).close()
-        if not fs.rename(draft, self._fs(f"pointers/{v}")[1]):
-            raise RuntimeError(f"version {v} was committed by another run")
+        self.versions.commit(v)
         return v
 
 
