@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from leadloom.queries import leads, processing, shops, streams, texts
+from leadloom.queries import leads, more, processing, shops, streams, texts
 
-MODULES = (processing, leads, shops, texts, streams)
+MODULES = (processing, leads, shops, texts, streams, more)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
