@@ -31,6 +31,7 @@ from leadloom.session import cut
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Labelled documents that the model is fitted on, for each language: those of the smallest hashes.
 SAMPLE_PER_LABEL = 1500
+OVERSAMPLE = 4
 #: Characters of a sampled document that the fit reads at most (classification always reads whole texts).
 SAMPLE_CHARS = 20_000
 EM_ROUNDS = 3
@@ -290,11 +291,20 @@ def _fit_frame(pieces: list[bytes], old: Model | None):
 
 
 def sample(documents: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> DataFrame:
-    """(code, text): for each language the labelled documents of the smallest hashes, texts cut to SAMPLE_CHARS."""
-    x = documents.select(label_code(F.col("lang")).alias("code"), F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("text").alias("h"))
-    x = x.where(F.col("code").isin(*LANGUAGES) & (F.length("text") > 0))
-    x = x.withColumn("rank", F.row_number().over(Window.partitionBy("code").orderBy("h"))).where(F.col("rank") <= per_label)
-    return x.select("code", "text")
+    """(code, text): for each language the different labelled texts of the smallest hashes, cut to SAMPLE_CHARS.
+
+    Of a language with many documents only hashes below a bound (some ``OVERSAMPLE`` times what is wanted) are looked at, so
+    that texts are neither compared nor moved beyond that.
+    """
+    x = documents.select(label_code(F.col("lang")).alias("code"), "text").where(F.col("code").isin(*LANGUAGES) & (F.length("text") > 0))
+    most = x.groupBy("code").agg(F.count("*").alias("n")).collect()  # one row a language
+    x = x.withColumn("h", F.xxhash64("text"))
+    share = F.lit(0.0)
+    for r in most:
+        share = F.when(F.col("code") == r.code, F.lit(min(1.0, OVERSAMPLE * per_label / r.n))).otherwise(share)
+    x = x.where(F.col("h") <= (share * 2.0 - 1.0) * float((1 << 63) - 1025)).select("code", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    rank = F.row_number().over(Window.partitionBy("code").orderBy("h"))
+    return x.dropDuplicates(["code", "h"]).withColumn("rank", rank).where(F.col("rank") <= per_label).select("code", "text")
 
 
 def train(documents: DataFrame, vocabulary: str = VOCABULARY, per_label: int = SAMPLE_PER_LABEL) -> Model:
