@@ -18,7 +18,7 @@ import base64
 import math
 import re
 import unicodedata
-from collections import Counter, OrderedDict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,8 +65,9 @@ LANGUAGES = {
 }
 
 _SENTENCE = re.compile(r"[^\n.!?।॥]+(?:[.!?।॥]+(?=\s|$)|[.!?।॥](?!\s|$)[^\n.!?।॥]*)*\s*|[\n.!?।॥]+\s*")
-_WORD = re.compile(r"\S+")
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
+#: Vowel signs and other marks that end words of Indic scripts.
+_SIGNS = "ািীুूृेैोौंःँ্ா-்"
 
 
 def label_code(label: Column) -> Column:
@@ -84,16 +85,21 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _SENTENCE.finditer(text)]
 
 
+def word_of(token: str) -> str:
+    """What a token (no white space) is as a word: lower case, no signs at its ends; empty where it can tell no language,
+    being without letters or having digits, dots or slashes inside (numbers, addresses, hosts)."""
+    if not token.isalpha():
+        if "@" in token or "/" in token or any(ch.isdigit() for ch in token):
+            return ""
+        token = token.lstrip("\"'([{«“‘-–—") if token[-1] in _SIGNS else _EDGE.sub("", token)
+        if "." in token or not any(ch.isalpha() for ch in token):
+            return ""
+    return unicodedata.normalize("NFC", token).lower()
+
+
 def words_of(text: str) -> list[str]:
-    """Words that can tell a language: with letters, without digits, addresses left out, lower case."""
-    out = []
-    for w in _WORD.findall(text):
-        if "@" in w or "/" in w or any(ch.isdigit() for ch in w):
-            continue
-        w = unicodedata.normalize("NFC", _EDGE.sub("", w) if w[-1] not in "ािीुूृेैोौंःँ्ா-்" else w.lstrip("\"'([{«“‘-–—")).lower()
-        if w and "." not in w and any(ch.isalpha() for ch in w):
-            out.append(w)
-    return out
+    """The words of a text that can tell a language."""
+    return [w for t in text.split() if (w := word_of(t))]
 
 
 def read_vocabulary(path: str = VOCABULARY) -> list[bytes]:
@@ -172,7 +178,31 @@ class Model:
     def __init__(self, pieces: list[bytes], languages: list[str], tables: list[np.ndarray], prior: np.ndarray):
         """``tables``: for each script a row a piece and a column a language; ``prior``: log-probability of (script, language)."""
         self.languages, self.index, self.tables, self.prior = languages, {b: k for k, b in enumerate(pieces)}, tables, prior
-        self.cache: OrderedDict[str, np.ndarray] = OrderedDict()
+        self._clear()
+
+    def _clear(self) -> None:
+        """Forgets the tokens met: their numbers, and by number the script and the vector of each."""
+        self.numbers: dict[str, int] = {}
+        self.met = 0
+        self.scripts = np.zeros(1024, np.int8)
+        self.vectors = np.zeros((1024, len(self.languages)))
+
+    def number(self, token: str) -> int:
+        """Of a token in the tables; -1 for one that can tell no language."""
+        k = self.numbers.get(token)
+        if k is None:
+            w = word_of(token)
+            k = self.numbers.get(w, -2) if w else -1
+            if k == -2:
+                k = self.met
+                if k == len(self.scripts):
+                    self.scripts = np.concatenate([self.scripts, np.zeros_like(self.scripts)])
+                    self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
+                self.scripts[k], self.vectors[k] = latin(w), self._log_probability(w)
+                self.met += 1
+                self.numbers[w] = k
+            self.numbers[token] = k
+        return k
 
     @classmethod
     def of(cls, pieces: list[bytes], rows: pd.DataFrame) -> "Model":
@@ -195,32 +225,36 @@ class Model:
             tables.append((1 - COMMON) * p + COMMON * common[:, None])
         return cls(pieces, languages, tables, np.log(weights / weights.sum()))
 
-    def word(self, w: str) -> np.ndarray:
-        """Log-probability of a word in each language, by the forward sums over all segmentations."""
-        v = self.cache.get(w)
-        if v is None:
-            n, table = len(self.languages), self.tables[latin(w)]
-            v = np.zeros(n)
-            for b in _stretches(w):
-                fwd = [np.ones(n)]
-                for pairs in _spans(b, self.index)[1:]:
-                    fwd.append((np.stack([fwd[i] for i, _ in pairs]) * table[[k for _, k in pairs]]).sum(axis=0) if pairs else np.zeros(n))
-                v = v + np.log(np.maximum(fwd[-1], 1e-300))
-            if len(self.cache) >= CACHE:
-                self.cache.popitem(last=False)
-            self.cache[w] = v
+    def _log_probability(self, w: str) -> np.ndarray:
+        """Of a word in each language, by the forward sums over all segmentations."""
+        n, table = len(self.languages), self.tables[latin(w)]
+        v = np.zeros(n)
+        for b in _stretches(w):
+            fwd = [np.ones(n)]
+            for pairs in _spans(b, self.index)[1:]:
+                fwd.append((np.stack([fwd[i] for i, _ in pairs]) * table[[k for _, k in pairs]]).sum(axis=0) if pairs else np.zeros(n))
+            v = v + np.log(np.maximum(fwd[-1], 1e-300))
         return v
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        """Log-probability of a sentence's words (all in one script, see ``main_words``); zeros for no words."""
-        if not words:
-            return np.zeros(len(self.languages))
-        return np.sum([self.word(w) for w in words], axis=0) + self.prior[latin(words[0])]
-
-    def agrees(self, words: list[str], language: str) -> bool:
-        """Whether ``language`` is the best for the words."""
-        x, k = self.scores(words), self.languages.index(language)
-        return bool(x[k] >= x.max())
+    def word(self, w: str) -> np.ndarray:
+        """Log-probability of a word in each language."""
+        return self.vectors[self.number(w)]
+
+    def sentence(self, text: str) -> tuple[np.ndarray, int]:
+        """Log-probability of a sentence's words in the script that most of them are in (names in another script tell
+        nothing) and of that script, in each language; and how many words these are. Zeros for no words."""
+        ids = np.array([k for t in text.split() if (k := self.number(t)) >= 0], dtype=np.int64)
+        if not len(ids):
+            return np.zeros(len(self.languages)), 0
+        script = self.scripts[ids]
+        main = int(2 * int(script.sum()) >= len(ids))
+        ids = ids[script == main]
+        return self.vectors[ids].sum(axis=0) + self.prior[main], len(ids)
+
+    def agrees(self, text: str, language: str) -> bool:
+        """Whether ``language`` is the best for a sentence."""
+        x, _ = self.sentence(text)
+        return bool(x[self.languages.index(language)] >= x.max())
 
     def segments(self, text: str | None) -> list[tuple[int, int, str, float, int]]:
         """(start, end, language, confidence, sentences that tell it) of each stretch in one language; none if nothing tells a language.
@@ -230,8 +264,10 @@ class Model:
         spans = sentences(text) if text else []
         if not spans or not self.languages:
             return []
-        words = [main_words(text[a:b]) for a, b in spans]
-        s = np.stack([self.scores(w) for w in words])
+        if self.met > CACHE:
+            self._clear()
+        each = [self.sentence(text[a:b]) for a, b in spans]
+        s, words = np.stack([x for x, _ in each]), [n for _, n in each]
         n = len(self.languages)
         best, back = s[0], []
         for row in s[1:]:
@@ -253,11 +289,11 @@ class Model:
             post = np.exp(total - total.max())
             tell = 0
             for x, w in zip(s[i:j], words[i:j]):
-                tell += len(w) >= MIN_WORDS and x[path[i]] - np.delete(x, path[i]).max(initial=-math.inf) >= MIN_MARGIN
+                tell += w >= MIN_WORDS and x[path[i]] - np.delete(x, path[i]).max(initial=-math.inf) >= MIN_MARGIN
             out.append((spans[i][0], spans[j - 1][1], self.languages[path[i]], float(post[path[i]] / post.sum()), int(tell)))
             i = j
         if out and not any(x[4] for x in out):  # nothing leads clearly: the stretch of most words stands for the text
-            size = [sum(len(w) for (a, _), w in zip(spans, words) if x[0] <= a < x[1]) for x in out]
+            size = [sum(w for (a, _), w in zip(spans, words) if x[0] <= a < x[1]) for x in out]
             k = int(np.argmax(size))
             if size[k] >= MIN_WORDS:
                 out[k] = (*out[k][:4], 1)
@@ -273,7 +309,7 @@ def _fit_frame(pieces: list[bytes], old: Model | None):
             here = [0, 0]
             for a, b in sentences(text):
                 ws = main_words(text[a:b])
-                if ws and (old is None or old.agrees(ws, lang)):
+                if ws and (old is None or old.agrees(text[a:b], lang)):
                     for w in ws:
                         counts[latin(w)][w] += 1
                         here[latin(w)] += 1
