@@ -191,13 +191,14 @@ def _piece(match: np.ndarray, free: np.ndarray) -> tuple[int, int, int]:
 
 
 def carried(matcher: _Matcher, passage: list[str], text: list[str]) -> tuple[float, int]:
-    """Share of the passage's words that the text carries as running text in at most two pieces, and the pieces."""
+    """Share of the passage's words that the text carries as running text, and in how many pieces: the best one, or, where
+    that alone is no leak, the two best."""
     match = matcher.matrix(passage, text)
     free = np.ones(len(passage), bool)
     a, b, one = _piece(match, free)
     share, pieces = one / len(passage), 1
     free[a:b] = False
-    if share < 1 and free.any():
+    if share < SHARE and free.any():
         _, _, two = _piece(match, free)
         if two >= LEAST_PIECE * len(passage):
             share, pieces = share + two / len(passage), 2
