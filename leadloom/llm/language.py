@@ -305,7 +305,7 @@ def _fit_frame(pieces: list[bytes], old: Model | None):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         lang, counts, documents = pdf["code"].iloc[0], (Counter(), Counter()), [0, 0]
-        for text in pdf["text"]:
+        for text in sorted(pdf["text"]):  # sums of doubles depend on their order
             here = [0, 0]
             for a, b in sentences(text):
                 ws = main_words(text[a:b])
