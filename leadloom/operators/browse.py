@@ -61,3 +61,21 @@ def facets(rows: DataFrame, *cols: str) -> DataFrame:
     """(facet, value): distinct non-empty values over all rows, before any filter."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).alias("value")) for c in cols])).alias("x")
     return rows.select(pairs).select("x.*").where("value <> ''").distinct()
+
+
+def last_page(number: int, size: int, total: int) -> int:
+    """The page that is shown for ``number``: one past the end is the last page, one before the start the first."""
+    return max(1, min(number, max(1, -(-total // size))))
+
+
+def detail(rows: DataFrame, observations: DataFrame, key: str, most: int = 100) -> DataFrame:
+    """The row of one candidate with its last ``most`` observations (id, kind, outcome, observed_at), newest first."""
+    o = observations.where(F.col("candidate_id") == key).select("id", "kind", "outcome", "observed_at").orderBy(F.desc("id")).limit(most)
+    o = o.agg(F.reverse(F.array_sort(F.collect_list(F.struct("id", "kind", "outcome", "observed_at")))).alias("observations"))
+    return rows.where(F.col("id") == key).join(o)
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """One row: rows, accepted, rows that need attention, and the share of them in percent (half up, 0 without rows)."""
+    a, n = F.count_if(F.col("status").isin(*ATTENTION)), F.count("*")
+    return rows.agg(n.alias("rows"), F.count_if(F.col("status") == "accepted").alias("accepted"), a.alias("attention"), F.when(n > 0, F.floor(100.0 * a / n + 0.5)).otherwise(0).alias("percent"))

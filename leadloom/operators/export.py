@@ -76,3 +76,13 @@ def zip_bundle(files: dict[str, bytes]) -> tuple[bytes, dict[str, str]]:
 def ordered_sample(ids: DataFrame, key: str, size: int = 150, seed: int = 20260929) -> DataFrame:
     """(key): a simple random sample of ``size`` distinct ids, those of the smallest SHA-256 of seed and id."""
     return ids.select(key).distinct().orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256), key).limit(size)
+
+
+def write_by_key(df: DataFrame, folder: str, key: str) -> None:
+    """JSON lines in one folder a key; each key's rows are brought together first, so that it gets few files."""
+    df.repartition(key).write.mode("overwrite").partitionBy(key).json(folder)
+
+
+def publish_if_any(spark: SparkSession, folder: str, tables: dict[str, DataFrame], digest: str, needed: str) -> dict | None:
+    """``write_snapshot`` unless the table ``needed`` is empty; then nothing is written and an older snapshot stays."""
+    return None if tables[needed].isEmpty() else write_snapshot(spark, folder, tables, digest)

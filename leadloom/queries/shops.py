@@ -273,3 +273,17 @@ def references(spark: SparkSession, d: str) -> DataFrame:
     return gone("stores_without_candidate", stores, key("candidates", "id")).unionByName(gone("stores_without_observation", stores, key("observations", "candidate_id"))).unionByName(gone("evidence_without_store", key("evidence", "store_id"), stores))
 
 
+@query(_PROJECT + "SELECT count(*) AS rows, count(*) FILTER (WHERE status = 'accepted') AS accepted, count(*) FILTER (WHERE status IN ('review', 'blocked', 'unreachable', 'error', 'stale')) AS attention, floor(100.0 * count(*) FILTER (WHERE status IN ('review', 'blocked', 'unreachable', 'error', 'stale')) / count(*) + 0.5)::BIGINT AS percent FROM p")
+def overview(spark: SparkSession, d: str) -> DataFrame:
+    return browse.summary(_projected(spark, d))
+
+
+@query(
+    "WITH s AS (SELECT store_id, max(observed_at) AS last_at FROM stores GROUP BY 1), e AS (SELECT store_id, field, value, observed_at FROM evidence WHERE value IS NOT NULL),"
+    " l AS (SELECT store_id, field, max(observed_at) AS seen_at FROM e GROUP BY 1, 2) SELECT l.store_id, l.field, l.seen_at, date_diff('day', l.seen_at, s.last_at) AS days FROM l JOIN s USING (store_id) WHERE l.seen_at <= s.last_at"
+)
+def evidence_age(spark: SparkSession, d: str) -> DataFrame:
+    """How many calendar days before its store's last state a field was last seen."""
+    e = table(spark, d, "evidence").where("value IS NOT NULL").groupBy("store_id", "field").agg(F.max("observed_at").alias("seen_at"))
+    s = table(spark, d, "stores").groupBy("store_id").agg(F.max("observed_at").alias("last_at"))
+    return e.join(s, "store_id").where("seen_at <= last_at").select("store_id", "field", "seen_at", F.date_diff("last_at", "seen_at").alias("days"))

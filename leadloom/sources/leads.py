@@ -79,3 +79,9 @@ def store_blobs(blobs: DataFrame, existing: DataFrame) -> DataFrame:
 def verified_blobs(blobs: DataFrame) -> DataFrame:
     """``blobs`` (digest, body) with ``intact``: the digest is well formed and that of the body."""
     return blobs.withColumn("intact", F.col("digest").rlike("^[0-9a-f]{64}$") & (F.sha2("body", 256) == F.col("digest")))
+
+
+def from_text(spark: SparkSession, text: str, source: str, source_url: str) -> DataFrame:
+    """(url, source, source_url): one entry for each non-blank line of a pasted text."""
+    x = spark.createDataFrame([(text,)], "t string").select(F.explode(F.split("t", r"\r?\n")).alias("url"))
+    return x.select(F.trim("url").alias("url"), F.lit(source).alias("source"), F.lit(source_url).alias("source_url")).where("url <> ''")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadloom.operators import browse, export, ledger, statistics, validation
+from leadloom.sources import leads
 from leadloom.streaming import observations as streams
 
 
@@ -31,6 +32,24 @@ def test_page_is_clamped(spark):
     assert [r.id for r in browse.page(x, 0, 1000).collect()][-1] == 99 and browse.page(x, 3, 100).count() == 50 and browse.page(x, 9).count() == 0
 
 
+def test_last_page_and_detail(spark):
+    assert [browse.last_page(n, 12, 25) for n in (0, 1, 3, 9)] == [1, 1, 3, 3] and browse.last_page(4, 12, 0) == 1
+    o = spark.createDataFrame([(i, "a" if i % 2 else "b", "page", "ok", None) for i in range(9)], "id int, candidate_id string, kind string, outcome string, observed_at timestamp_ntz")
+    r = browse.detail(spark.createDataFrame([("a", 1), ("b", 2)], "id string, x int"), o, "a", 3).collect()
+    assert len(r) == 1 and [x.id for x in r[0].observations] == [7, 5, 3]
+    assert tuple(browse.summary(spark.createDataFrame([("review",), ("accepted",), ("x",)], "status string")).first()) == (3, 1, 1, 33)
+
+
+def test_sinks(spark, tmp_path):
+    x = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "k string, v int")
+    export.write_by_key(x, str(tmp_path / "by"), "k")
+    assert sorted(p.name for p in (tmp_path / "by").iterdir() if p.is_dir()) == ["k=a", "k=b"]
+    assert export.publish_if_any(spark, str(tmp_path / "s"), {"x.csv": x.limit(0)}, "0" * 64, "x.csv") is None and not (tmp_path / "s").exists()
+    assert export.publish_if_any(spark, str(tmp_path / "s"), {"x.csv": x}, "0" * 64, "x.csv")["rows"] == {"x.csv": 3}
+    text = leads.from_text(spark, "a.in\r\n\n b.in ", "paste", "https://p.example/")
+    assert [r.url for r in text.collect()] == ["a.in", "b.in"]
+
+
 def test_import_leads(spark):
     e = [("A.in/x", "s", "u"), ("https://a.in/", "t", "u"), ("bad", "s", "u"), ("b.in", " ", "u"), (None, "s", "u")]
     entries = spark.createDataFrame(e, "url string, source string, source_url string")
