@@ -140,31 +140,42 @@ def same_word(a: str, b: str) -> bool:
 
 
 class _Matcher:
-    """Match matrices of a passage's words and a text's words; word pairs are compared once."""
-
-    def __init__(self):
-        self.known: dict[tuple[str, str], bool] = {}
+    """Match matrices of passages' words and a text's words. Which passage words a word matches is found once for each word."""
+
+    def __init__(self, passages: list[list[str]] = ()):
+        self.by_length: dict[int, set[str]] = defaultdict(set)
+        self.known: dict[str, tuple[str, ...]] = {}
+        for p in passages:
+            self.add(p)
+
+    def add(self, passage: list[str]) -> None:
+        for w in passage:
+            self.by_length[len(w)].add(w)
+        self.known.clear()
+
+    def same(self, word: str) -> tuple[str, ...]:
+        """The words of all passages that ``word`` is the same as."""
+        found = self.known.get(word)
+        if found is None:
+            n = len(word)
+            ends = (word[0], word[-1])
+            near = (x for k in (n - 1, n, n + 1) for x in self.by_length.get(k, ()) if x == word or (x[0] == ends[0] or x[-1] == ends[1]) and same_word(x, word))
+            found = tuple(sorted(near))
+            if len(self.known) > 500_000:
+                self.known.clear()
+            self.known[word] = found
+        return found
 
     def matrix(self, p: list[str], w: list[str]) -> np.ndarray:
-        up, ip = np.unique(np.array(p, dtype=object), return_inverse=True)
-        uw, iw = np.unique(np.array(w, dtype=object), return_inverse=True)
-        by_len = defaultdict(list)
-        for j, b in enumerate(uw):
-            by_len[len(b)].append((j, b))
-        small = np.zeros((len(up), len(uw)), bool)
-        for i, a in enumerate(up):
-            for n in (len(a) - 1, len(a), len(a) + 1):
-                for j, b in by_len.get(n, ()):
-                    if a == b:
-                        small[i, j] = True
-                    elif a[0] == b[0] or a[-1] == b[-1] or a[1:2] == b[1:2]:
-                        key = (a, b)
-                        if key not in self.known:
-                            if len(self.known) > 500_000:
-                                self.known.clear()
-                            self.known[key] = same_word(a, b)
-                        small[i, j] = self.known[key]
-        return small[ip][:, iw]
+        rows: dict[str, list[int]] = defaultdict(list)
+        for i, x in enumerate(p):
+            rows[x].append(i)
+        out = np.zeros((len(p), len(w)), bool)
+        for j, x in enumerate(w):
+            for y in self.same(x):
+                for i in rows.get(y, ()):
+                    out[i, j] = True
+        return out
 
 
 def _piece(match: np.ndarray, free: np.ndarray) -> tuple[int, int, int]:
@@ -175,8 +186,11 @@ def _piece(match: np.ndarray, free: np.ndarray) -> tuple[int, int, int]:
     ramp = np.arange(m + 1, dtype=np.int32)
     for i in range(1, n + 1):
         if free[i - 1]:
-            t = np.maximum(np.maximum(0, h[i - 1] - 1), np.append(0, h[i - 1, :-1] + s[i - 1]))
-            h[i] = np.maximum.accumulate(t + ramp) - ramp
+            t = np.maximum(h[i - 1] - 1, 0)
+            np.maximum(t[1:], h[i - 1, :-1] + s[i - 1], out=t[1:])
+            t += ramp
+            np.maximum.accumulate(t, out=h[i])
+            h[i] -= ramp
     i, j = divmod(int(h.argmax()), m + 1)
     last, hits = i, 0
     while i and j and h[i, j] > 0:
@@ -223,7 +237,7 @@ class Searcher:
         self.engines = [WuManber([p for p in self.owners if len(p) == FRAGMENT])]
         self.engines += [WuManber(list(group), n) for n, group in short.items() if n >= BLOCK]
         self.least = {i: max(1, math.ceil(LEAST_FRAGMENTS * (len("".join(w)) // FRAGMENT))) for i, w in self.passages.items()}
-        self.matcher = _Matcher()
+        self.matcher = _Matcher(list(self.passages.values()))
 
     def search(self, ids: list, texts: list[str | None]) -> list[tuple]:
         """(doc_id, item_id, share, pieces) of the documents that carry SHARE of an item's passage."""
