@@ -15,7 +15,6 @@ evidence (names, addresses, prices) follow their neighbours. Words repeat, so ea
 from __future__ import annotations
 
 import base64
-import math
 import re
 import unicodedata
 from collections import Counter
@@ -97,11 +96,6 @@ def word_of(token: str) -> str:
     return unicodedata.normalize("NFC", token).lower()
 
 
-def words_of(text: str) -> list[str]:
-    """The words of a text that can tell a language."""
-    return [w for t in text.split() if (w := word_of(t))]
-
-
 def read_vocabulary(path: str = VOCABULARY) -> list[bytes]:
     """Pieces of a .tiktoken file that are not longer than MAX_PIECE, in its order."""
     with open(path, "rb") as f:
@@ -165,11 +159,21 @@ def latin(word: str) -> int:
     return 0 if ord(next((ch for ch in word if ch.isalpha()), "a")) < 0x250 else 1
 
 
-def main_words(text: str) -> list[str]:
-    """The words of a sentence in the script that most of them are in: names in another script tell nothing."""
-    ws = words_of(text)
-    other = [w for w in ws if latin(w)]
-    return other if 2 * len(other) >= len(ws) else [w for w in ws if not latin(w)]
+class Words(dict):
+    """Token -> (word, its script); an empty word for one that can tell no language. Each is looked at once."""
+
+    def __missing__(self, token: str) -> tuple[str, int]:
+        w = word_of(token)
+        if len(self) > CACHE:
+            self.clear()
+        self[token] = found = (w, latin(w))
+        return found
+
+    def main(self, text: str) -> tuple[list[str], int]:
+        """A sentence's words in the script that most of them are in (names in another script tell nothing), and the script."""
+        ws = [x for t in text.split() if (x := self[t])[0]]
+        script = int(2 * sum(k for _, k in ws) >= len(ws))
+        return [w for w, k in ws if k == script], script
 
 
 class Model:
@@ -243,7 +247,8 @@ class Model:
     def sentence(self, text: str) -> tuple[np.ndarray, int]:
         """Log-probability of a sentence's words in the script that most of them are in (names in another script tell
         nothing) and of that script, in each language; and how many words these are. Zeros for no words."""
-        ids = np.array([k for t in text.split() if (k := self.number(t)) >= 0], dtype=np.int64)
+        get, number = self.numbers.get, self.number
+        ids = np.array([k for t in text.split() if (k := get(t) if t in self.numbers else number(t)) >= 0], dtype=np.int64)
         if not len(ids):
             return np.zeros(len(self.languages)), 0
         script = self.scripts[ids]
@@ -279,6 +284,10 @@ class Model:
         for b in reversed(back):
             path.append(int(b[path[-1]]))
         path.reverse()
+        rows = np.arange(len(spans))
+        others = s.copy()
+        others[rows, path] = -np.inf
+        tells = (np.array(words) >= MIN_WORDS) & (s[rows, path] - others.max(axis=1) >= MIN_MARGIN)
         out = []
         i = 0
         while i < len(spans):
@@ -287,10 +296,7 @@ class Model:
                 j += 1
             total = s[i:j].sum(axis=0)
             post = np.exp(total - total.max())
-            tell = 0
-            for x, w in zip(s[i:j], words[i:j]):
-                tell += w >= MIN_WORDS and x[path[i]] - np.delete(x, path[i]).max(initial=-math.inf) >= MIN_MARGIN
-            out.append((spans[i][0], spans[j - 1][1], self.languages[path[i]], float(post[path[i]] / post.sum()), int(tell)))
+            out.append((spans[i][0], spans[j - 1][1], self.languages[path[i]], float(post[path[i]] / post.sum()), int(tells[i:j].sum())))
             i = j
         if out and not any(x[4] for x in out):  # nothing leads clearly: the stretch of most words stands for the text
             size = [sum(w for (a, _), w in zip(spans, words) if x[0] <= a < x[1]) for x in out]
@@ -305,14 +311,14 @@ def _fit_frame(pieces: list[bytes], old: Model | None):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         lang, counts, documents = pdf["code"].iloc[0], (Counter(), Counter()), [0, 0]
+        memo = Words()
         for text in sorted(pdf["text"]):  # sums of doubles depend on their order
             here = [0, 0]
             for a, b in sentences(text):
-                ws = main_words(text[a:b])
+                ws, script = memo.main(text[a:b])
                 if ws and (old is None or old.agrees(text[a:b], lang)):
-                    for w in ws:
-                        counts[latin(w)][w] += 1
-                        here[latin(w)] += 1
+                    counts[script].update(ws)
+                    here[script] += len(ws)
             documents[here[1] > here[0]] += sum(here) > 0
         out = []
         for script in (0, 1):
