@@ -150,8 +150,11 @@ class FrontHistory:
         links = cut(_matches(blocks, blocks.unionByName(self.blocks)))
         known_links = self.links.unionByName(links)
         shop = components(known_links).withColumnRenamed("node", "front").withColumnRenamed("component", "shop")
-        every = self.fronts.unionByName(fronts).groupBy("front").agg(F.min("first").alias("first"))
-        every = every.join(shop, "front", "left").withColumn("shop", F.coalesce("shop", "front"))
+        # only fronts of shops that the batch touches go on: the rest of the history is read and dropped where it lies
+        of_shop = lambda f: f.join(shop, "front", "left").withColumn("shop", F.coalesce("shop", "front"))
+        touched = of_shop(fronts.select("front")).select("shop").distinct()
+        every = of_shop(self.fronts.unionByName(fronts).select("front", "first")).join(touched, "shop", "left_semi")
+        every = every.groupBy("front", "shop").agg(F.min("first").alias("first"))
         best = every.groupBy("shop").agg(F.min("first").alias("best"))
         best = every.join(best, "shop").select("front", "shop", "best")
         found = rows.join(best, "front").where("discovered_at > best.discovered_at AND id <> best.id")
