@@ -25,7 +25,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_records(spark: SparkSession, d: str) -> DataFrame:
     """The fused record of each group; probabilities are rounded, since sums of doubles depend on their order."""
     r = _survivors(spark, d).records
-    return r.select("group_id", "survivor_id", "size", *survivors.FUSED, "emails", *[F.round(f"p_{c}", 6).alias(f"p_{c}") for c in survivors.FUSED])
+    return r.select("group_id", "survivor_id", "size", *survivors.FUSED, *survivors.UNITED, *[F.round(f"p_{c}", 6).alias(f"p_{c}") for c in survivors.FUSED])
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
