@@ -28,6 +28,11 @@ def p2_records(spark: SparkSession, d: str) -> DataFrame:
     return r.select("group_id", "survivor_id", "size", *survivors.FUSED, *survivors.UNITED, *[F.round(f"p_{c}", 6).alias(f"p_{c}") for c in survivors.FUSED])
 
 
+def p2_values(spark: SparkSession, d: str) -> DataFrame:
+    """Every e-mail, phone number, alias and social profile of the groups, a row each, for groups too large for one row."""
+    return _survivors(spark, d).values.select("group_id", "field", "network", "value", "n")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return sampling.not_kept(table(spark, d, "audit_sample"), table(spark, d, "stores"))
 
@@ -79,4 +84,4 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return language.relabel(documents, found).select("doc_id", "lang")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_records, p4_found, p4_sample, p5_found, p5_unmatched, p6_found, p6_items, p7_found, p7_shares, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_records, p2_values, p4_found, p4_sample, p5_found, p5_unmatched, p6_found, p6_items, p7_found, p7_shares, p8_found)}
