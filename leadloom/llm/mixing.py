@@ -4,7 +4,9 @@ Subset-sum budget fitting. Every document's exact token length is counted once (
 is a parameter); everything else works on counts of documents by (source, length). A source's budget is its weight times
 the total. It takes whole rounds of all its documents while the budget lasts (``max_repeats`` at most); of the last round it
 takes documents in the order of a seeded hash, by groups of equal hash prefix, until the next group would leave less than
-``RESERVE`` tokens, twice (``PREFIX_BITS`` each time). The little that remains is filled by bounded-knapsack dynamic programming
+``RESERVE`` tokens, twice (``PREFIX_BITS`` each time). While more than ``KNAPSACK_BUDGET`` remains, documents of more than half
+of it are skipped and the order of the hashes is followed further, down to single documents; this at least halves what
+remains. A source whose short documents run out so is filled anew, its longest documents first. The little that remains is filled by bounded-knapsack dynamic programming
 over the numbers of unused documents by length, which reaches the largest sum that the remaining budget allows. Documents
 are then picked by length count in the order of their hashes.
 
@@ -32,8 +34,11 @@ PREFIX_BITS = 12
 SEED = 20260929
 #: Tokens of each budget that are left to the exact fit.
 RESERVE = 8192
-#: Remaining budgets above this are filled in the order of the hashes alone; the groups are far smaller than that.
+#: Remaining budgets above this are filled further in the order of the hashes before the exact fit.
 KNAPSACK_BUDGET = 1 << 17
+#: Hashes are followed by their first LEVELS * PREFIX_BITS bits, unsigned: positions below LAST.
+LEVELS = 5
+LAST = 1 << LEVELS * PREFIX_BITS
 
 
 def source_key(c: Column) -> Column:
@@ -107,8 +112,8 @@ def knapsack(lengths: dict[int, int], budget: int) -> dict[int, int]:
     return out
 
 
-def _prefix(h: Column, level: int) -> Column:
-    return F.shiftrightunsigned(h, 64 - PREFIX_BITS * (level + 1)).bitwiseAND(F.lit((1 << PREFIX_BITS) - 1).cast("bigint"))
+def _position(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - LEVELS * PREFIX_BITS)
 
 
 class Mix:
@@ -129,15 +134,10 @@ class Mix:
             rounds = min(r["max_repeats"], r["budget"] // r["tokens"]) if r["tokens"] else 0
             r |= {"rounds": rounds, "rest": min(r["budget"] - rounds * r["tokens"], r["tokens"]) if rounds < r["max_repeats"] and r["tokens"] else 0}
         by = {r["source"]: r for r in rows}
-        edge = {}
-        for level in (0, 1):
-            self._fill(by, edge, level)
-        chosen = self._exact(by, edge)
-        edges = spark.createDataFrame([(s, by[s]["rounds"], *[int(x) for x in (edge.get(s) or (-1, -1))]) for s in by] or [("", 0, -1, -1)], "source string, rounds int, e0 bigint, e1 bigint")
+        spans, chosen = self._choose({s: r["rest"] for s, r in by.items() if r["rest"] > 0})
+        rounds = spark.createDataFrame([(s, by[s]["rounds"]) for s in by] or [("", 0)], "source string, rounds int")
         extra = spark.createDataFrame(chosen or [("", -1, 0)], "source string, tokens bigint, take int")
-        x = self.lengths.join(F.broadcast(edges), "source")
-        once = (_prefix(F.col("h"), 0) < F.col("e0")) | ((_prefix(F.col("h"), 0) == F.col("e0")) & (_prefix(F.col("h"), 1) < F.col("e1")))
-        x = x.withColumn("once", F.coalesce(once, F.lit(False)))
+        x = self._within(self.lengths.join(F.broadcast(rounds), "source"), spans)
         rest = x.where(~F.col("once")).join(F.broadcast(extra), ["source", "tokens"])
         rank = F.row_number().over(Window.partitionBy("source", "tokens").orderBy("h", "doc_id"))
         most = max((k for _, _, k in chosen), default=0)  # a constant, so that each task keeps only so many rows of a group
@@ -147,38 +147,86 @@ class Mix:
         got = self.selected.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("used"), F.sum("repeats").alias("uses"), F.max("repeats").alias("most"))
         self.report = self.plan.join(got, "source", "left").fillna(0, ["used", "uses", "most"])
 
-    def _fill(self, by: dict, edge: dict, level: int) -> None:
-        """Moves each source's edge to the first hash group that does not fit the rest of its budget; ``rest`` shrinks."""
-        x = self.lengths
-        if level:
-            rows = [(s, int(e[0])) for s, e in edge.items() if e[0] < 1 << PREFIX_BITS]
+    def _within(self, x: DataFrame, spans: dict) -> DataFrame:
+        """``x`` and ``once``: whether a document lies in one of its source's spans (from, to, most tokens), which are disjoint."""
+        rows = [(s, *span) for s, every in spans.items() for span in every]
+        e = F.broadcast(x.sparkSession.createDataFrame(rows or [("", 0, 0, 0)], "_s string, _lo bigint, _hi bigint, _most bigint"))
+        at = _position(F.col("h"))
+        x = x.join(e, (F.col("source") == F.col("_s")) & (at >= F.col("_lo")) & (at < F.col("_hi")) & (F.col("tokens") <= F.col("_most")), "left")
+        return x.withColumn("once", F.col("_s").isNotNull()).drop("_s", "_lo", "_hi", "_most")
+
+    def _choose(self, rest: dict[str, int]) -> tuple[dict, list]:
+        """Spans of each source to take once, and (source, length, how many) besides, for what ``rest`` is to be filled."""
+        spans, chosen, short = self._attempt(rest, {})
+        rows = [(s, rest[s]) for s, n in short.items() if n > 0]
+        if not rows:
+            return spans, chosen
+        e = F.broadcast(self.lengths.sparkSession.createDataFrame(rows, "source string, rest bigint"))
+        limit = KNAPSACK_BUDGET // 2
+        longs = self.lengths.where(F.col("tokens") > limit).join(e, "source").where("tokens <= rest")
+        longs, left, first = longs.groupBy("source", "tokens").agg(F.count("*").alias("n")).toPandas(), {}, []
+        for s, part in longs.groupby("source"):
+            left[s] = rest[s]
+            for size, n in part.sort_values("tokens", ascending=False)[["tokens", "n"]].itertuples(index=False):
+                k = min(int(n), left[s] // int(size))
+                left[s] -= k * int(size)
+                first += [(s, int(size), k)] if k else []
+        if left:
+            spans2, chosen2, short2 = self._attempt(left, dict.fromkeys(left, limit))
+            better = {s for s in left if short2[s] < short[s]}
+            spans |= {s: spans2[s] for s in better}
+            chosen = [c for c in chosen if c[0] not in better] + [c for c in first + chosen2 if c[0] in better]
+        return spans, chosen
+
+    def _attempt(self, rest: dict[str, int], limit: dict[str, int]) -> tuple[dict, list, dict]:
+        """Spans, lengths and what stays unfilled of ``rest`` with documents of ``limit`` tokens at most."""
+        left, spans, most = dict(rest), {s: [] for s in rest}, {s: limit.get(s, LAST) for s in rest}
+        self._fill(left, spans, most, 2)
+        while further := {s: min((n - RESERVE) // 2, most[s]) for s, n in left.items() if n > KNAPSACK_BUDGET and spans[s][-1][1] < LAST}:
+            self._fill(left, spans, further, LEVELS)
+        chosen = self._exact(left, spans, most)
+        for s, size, k in chosen:
+            left[s] -= size * k
+        return spans, chosen, left
+
+    def _fill(self, left: dict, spans: dict, most: dict, levels: int) -> None:
+        """Adds a span to each source in ``most``, up to the first hash group that does not fit; ``left`` shrinks."""
+        window = {s: (spans[s][-1][1] if spans[s] else 0, LAST) for s in most}
+        start = {s: lo for s, (lo, _) in window.items()}
+        for level in range(levels):
+            shift = PREFIX_BITS * (LEVELS - 1 - level)
+            rows = [(s, lo, hi, most[s]) for s, (lo, hi) in window.items() if lo < hi]
             if not rows:
-                return
-            x = x.join(F.broadcast(x.sparkSession.createDataFrame(rows, "source string, e0 bigint")), "source").where(_prefix(F.col("h"), 0) == F.col("e0"))
-        sums = x.groupBy("source", _prefix(F.col("h"), level).alias("g")).agg(F.sum("tokens").alias("n")).toPandas()
-        for s, part in sums.groupby("source"):
-            r, part = by[s], part.sort_values("g")
-            if r["rest"] <= 0 and not level:
-                edge[s] = (0, 0)
-                continue
-            fits = part["n"].cumsum().to_numpy() <= r["rest"] - RESERVE
-            k = int(fits.argmin()) if not fits.all() else len(fits)
-            r["rest"] -= int(part["n"].iloc[:k].sum())
-            g = int(part["g"].iloc[k]) if k < len(part) else 1 << PREFIX_BITS
-            edge[s] = (edge[s][0], g) if level else (g, 0)
-
-    def _exact(self, by: dict, edge: dict) -> list[tuple[str, int, int]]:
-        """(source, length, how many) to fill what remains of each budget from documents behind the edge."""
-        rows = [(s, int(e[0]), int(e[1]), min(by[s]["rest"], KNAPSACK_BUDGET)) for s, e in edge.items() if by[s]["rest"] > 0]
+                break
+            e = F.broadcast(self.lengths.sparkSession.createDataFrame(rows, "source string, lo bigint, hi bigint, most bigint"))
+            at = _position(F.col("h"))
+            x = self.lengths.join(e, "source").where((at >= F.col("lo")) & (at < F.col("hi")) & (F.col("tokens") <= F.col("most")))
+            sums = x.groupBy("source", F.shiftright(at, shift).alias("g")).agg(F.sum("tokens").alias("n")).toPandas()
+            parts = dict(iter(sums.groupby("source")))
+            for s, lo, hi, _ in rows:
+                window[s] = (hi, hi)
+                if s not in parts:
+                    continue
+                part = parts[s].sort_values("g")
+                fits = part["n"].cumsum().to_numpy() <= left[s] - RESERVE
+                k = int(fits.argmin()) if not fits.all() else len(fits)
+                left[s] -= int(part["n"].iloc[:k].sum())
+                if k < len(part):
+                    g = int(part["g"].iloc[k])
+                    window[s] = (max(lo, g << shift), min(hi, (g + 1) << shift))
+        for s in most:
+            spans[s].append((start[s], window[s][0], most[s]))
+
+    def _exact(self, left: dict, spans: dict, most: dict) -> list[tuple[str, int, int]]:
+        """(source, length, how many) to fill what remains of each budget from documents in no span."""
+        rows = [(s, min(n, KNAPSACK_BUDGET), most[s]) for s, n in left.items() if n > 0]
         if not rows:
             return []
-        e = F.broadcast(self.lengths.sparkSession.createDataFrame(rows, "source string, e0 bigint, e1 bigint, rest bigint"))
-        x = self.lengths.join(e, "source").where("tokens BETWEEN 1 AND rest")
-        p0, p1 = _prefix(F.col("h"), 0), _prefix(F.col("h"), 1)
-        x = x.where((p0 > F.col("e0")) | ((p0 == F.col("e0")) & (p1 >= F.col("e1"))))
+        e = F.broadcast(self.lengths.sparkSession.createDataFrame(rows, "source string, rest bigint, most bigint"))
+        x = self._within(self.lengths.join(e, "source").where("tokens BETWEEN 1 AND least(rest, most)"), spans).where("NOT once")
         counts = x.groupBy("source", "tokens").agg(F.count("*").alias("n")).toPandas()
         out = []
         for s, part in counts.groupby("source"):
-            take = knapsack(dict(zip(part["tokens"].tolist(), part["n"].tolist())), min(by[s]["rest"], KNAPSACK_BUDGET))
+            take = knapsack(dict(zip(part["tokens"].tolist(), part["n"].tolist())), min(left[s], KNAPSACK_BUDGET))
             out += [(s, int(n), int(k)) for n, k in take.items()]
         return out

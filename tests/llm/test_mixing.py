@@ -48,6 +48,19 @@ def test_mix(spark, monkeypatch):
     assert key(x) == key(again) != key(m.Mix(d, targets(spark), seed=1))
 
 
+def test_long_documents_are_passed_over(spark, monkeypatch):
+    """Documents that are longer than what remains stop no source; one that needs its long document gets it."""
+    monkeypatch.setattr(m, "RESERVE", 100)
+    monkeypatch.setattr(m, "KNAPSACK_BUDGET", 500)
+    rows = [(i, " tea" * 3000, "c") for i in range(20)] + [(100 + i, " tea" * (20 + i % 30), "c") for i in range(300)]
+    rows += [(1000, " tea" * 900, "e")] + [(1001 + i, " tea" * (1 + i % 20), "e") for i in range(100)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    x = m.Mix(d, targets(spark, [("c", 0.03, 1), ("e", 0.02, 1)]))
+    r = {r.source: r for r in x.report.collect()}
+    assert 500 < r["c"].budget < 3000 and r["e"].tokens - 900 < r["e"].budget < r["e"].tokens
+    assert {s: v.used for s, v in r.items()} == {s: v.budget for s, v in r.items()} and {v.most for v in r.values()} == {1}
+
+
 def test_empty(spark):
     d = docs(spark)
     assert m.Mix(d.limit(0), targets(spark)).selected.count() == 0 and m.Mix(d, targets(spark, [])).report.count() == 0
