@@ -1,19 +1,24 @@
 """Problem 3: processing only new or changed records.
 
 State is a table (key, content_hash) of what was last processed with success. A run hashes the current rows, joins them
-with the state, works on what is new or changed, and only then commits: the next version of the state is written beside
-the old one and a pointer is swapped by renaming. A run that fails before the swap has changed nothing, so its records
-are selected again; a run that is repeated after the swap selects nothing.
+with the state, works on what is new or changed, and only then commits: what it processed is written beside the old parts
+of the state and a pointer to all of them is swapped in by renaming. A run that fails before the swap has changed nothing,
+so its records are selected again; a run that is repeated after the swap selects nothing.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadloom.session import new_folder
+
 #: Stands for null inside hashed content; no text of the tables has it.
 NULL = "\u0000"
 
@@ -65,63 +70,108 @@ def select_changed(current: DataFrame, state: DataFrame, key: str) -> DataFrame:
 
 @dataclass
 class Versions:
-    """Numbered versions in a folder. A version's data is complete before its pointer appears, and a pointer appears by one
-    rename, which fails if another run has committed that version in between."""
+    """Numbered versions in a folder, each a list of data folders named in its pointer, a small JSON file.
+
+    A data folder has a name of its own, so that no run writes where another has written; it is complete before a pointer
+    names it. A pointer is written beside its place and moved there by one rename that never replaces another, so of two
+    runs that started from one version only the first can commit, and the other leaves nothing but unnamed folders.
+    """
 
     spark: SparkSession
     folder: str
 
-    def _fs(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+
+    def _fs(self):
+        return self._path("pointers").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def current(self) -> int:
         """The committed version, -1 if nothing was ever committed."""
-        fs, path = self._fs("pointers")
+        fs, path = self._fs(), self._path("pointers")
         if not fs.exists(path):
             return -1
         return max((int(s.getPath().getName()) for s in fs.listStatus(path) if s.getPath().getName().isdigit()), default=-1)
 
-    def commit(self, version: int) -> None:
-        fs, pointers = self._fs("pointers")
-        fs.mkdirs(pointers)
-        _, draft = self._fs(f"draft-{version}-{uuid.uuid4().hex}")
-        fs.create(draft, True).close()
-        if not fs.rename(draft, self._fs(f"pointers/{version}")[1]):
+    def folders(self, version: int | None = None) -> list[str]:
+        """The data folders of a version (the current one by default), oldest first."""
+        version = self.current() if version is None else version
+        if version < 0:
+            return []
+        stream = self._fs().open(self._path(f"pointers/{version}"))
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return [f"{self.folder}/{name}" for name in json.loads(text)]
+
+    def draft(self) -> str:
+        """The path of a new data folder."""
+        return f"{self.folder}/data-{uuid.uuid4().hex}"
+
+    def commit(self, base: int, folders: list[str]) -> int:
+        """Makes ``folders`` the version after ``base``, which this run started from; raises RuntimeError if another run was first."""
+        jvm, version = self.spark._jvm, base + 1
+        fs, draft, pointer = self._fs(), self._path(f"draft-{uuid.uuid4().hex}"), self._path(f"pointers/{version}")
+        fs.mkdirs(self._path("pointers"))
+        out = fs.create(draft, False)
+        out.write(bytearray(json.dumps([f.rpartition("/")[2] for f in folders]).encode()))
+        out.close()
+        never_replace = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, pointer, never_replace)
+        except Py4JJavaError as e:
             fs.delete(draft, False)
-            raise RuntimeError(f"version {version} was committed by another run")
+            if fs.exists(pointer):
+                raise RuntimeError(f"version {version} was committed by another run") from e
+            raise
+        return version
 
 
-@dataclass
 class ChangeLog:
-    """The state in a folder: a table ``v<N>`` for each version."""
+    """The state (key, content_hash) in a folder; a version is a list of parts, of which a later one holds for its keys.
 
-    spark: SparkSession
-    folder: str
-    key: str = "key"
+    A run calls ``changes``, works on what it gets and then calls ``commit`` on the same object: the commit counts only if no
+    other run has committed since. A commit writes what was processed and nothing else; after ``COMPACT`` parts it writes
+    the state as one. Null keys are dropped; a key that is processed twice in one commit keeps its greatest hash.
+    """
 
-    @property
-    def versions(self) -> Versions:
-        return Versions(self.spark, self.folder)
+    COMPACT = 20
 
-    def state(self) -> DataFrame:
-        v = self.versions.current()
-        if v < 0:
+    def __init__(self, spark: SparkSession, folder: str, key: str = "key"):
+        self.spark, self.key, self.versions = spark, key, Versions(spark, folder)
+        self.base: int | None = None
+
+    def _of(self, folders: list[str]) -> DataFrame:
+        parts = [self.spark.read.parquet(f).withColumn("_part", F.lit(i)) for i, f in enumerate(folders)]
+        if not parts:
             return self.spark.createDataFrame([], f"{self.key} string, content_hash string")
-        return self.spark.read.parquet(f"{self.folder}/v{v}")
+        if len(parts) == 1:
+            return parts[0].drop("_part")
+        x = reduce(DataFrame.unionByName, parts).groupBy(self.key)
+        return x.agg(F.max_by("content_hash", F.struct("_part", "content_hash")).alias("content_hash"))
+
+    def state(self) -> DataFrame:
+        return self._of(self.versions.folders())
 
     def changes(self, current: DataFrame) -> DataFrame:
-        """``current`` must have the key and content_hash."""
-        return select_changed(current, self.state(), self.key)
+        """``current`` must have the key and content_hash. Remembers the version that it compares with."""
+        self.base = self.versions.current()
+        return select_changed(current, self._of(self.versions.folders(self.base)), self.key)
 
     def commit(self, processed: DataFrame) -> int:
         """Makes ``processed`` (key, content_hash) the last processed state of its keys; returns the new version."""
-        v = self.versions.current() + 1
-        new = processed.select(F.col(self.key), "content_hash")
-        kept = self.state().select(F.col(self.key), "content_hash").join(new.select(self.key), self.key, "left_anti")
-        kept.unionByName(new).write.mode("overwrite").parquet(f"{self.folder}/v{v}")
-        self.versions.commit(v)
-        return v
+        base = self.versions.current() if self.base is None else self.base
+        parts, part = self.versions.folders(base), self.versions.draft()
+        new = processed.where(F.col(self.key).isNotNull()).groupBy(self.key).agg(F.max("content_hash").alias("content_hash"))
+        new.write.parquet(part)
+        parts.append(part)
+        if len(parts) > self.COMPACT:
+            whole = self.versions.draft()
+            self._of(parts).write.parquet(whole)
+            parts = [whole]
+        self.base = self.versions.commit(base, parts)
+        return self.base
 
 
 def candidate_content(candidates: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -146,6 +196,12 @@ def processed_content(run_items: DataFrame, runs: DataFrame) -> DataFrame:
     return x.select("candidate_id", content_hash("status", "evidence_rows").alias("content_hash"))
 
 
-def candidates_to_process(candidates: DataFrame, evidence: DataFrame, run_items: DataFrame, runs: DataFrame) -> DataFrame:
-    """(candidate_id, status, evidence_rows, content_hash, change): candidates that the next run has to work on."""
-    return select_changed(candidate_content(candidates, evidence), processed_content(run_items, runs), "candidate_id")
+def candidates_to_process(candidates: DataFrame, evidence: DataFrame, run_items: DataFrame, runs: DataFrame, log: ChangeLog | None = None) -> DataFrame:
+    """(candidate_id, status, evidence_rows, content_hash, change): candidates that the next run has to work on.
+
+    Goes through the persisted state: what the ledger's items say was processed is committed to ``log`` (a new one in the
+    shared folder by default) where it differs from it, and the current rows are compared with the committed version.
+    """
+    log = log or ChangeLog(candidates.sparkSession, new_folder(candidates.sparkSession, "processed"), "candidate_id")
+    log.commit(log.changes(processed_content(run_items, runs)))
+    return log.changes(candidate_content(candidates, evidence))

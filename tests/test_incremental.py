@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from leadloom.operators import incremental as inc
@@ -37,21 +38,48 @@ def test_empty_tables(spark):
     assert found(spark, [("a", "u", "s", None, None)], [], [], []) == {"a": "new"}
 
 
+def rows(spark, **x):
+    return spark.createDataFrame(list(x.items()), "key string, content_hash string")
+
+
+def keys(df):
+    return {r.key: r.change for r in df.collect()}
+
+
 def test_change_log_survives_failures(spark, tmp_path):
     log = inc.ChangeLog(spark, str(tmp_path / "state"))
-    rows = lambda **x: spark.createDataFrame(list(x.items()), "key string, content_hash string")
-    keys = lambda df: {r.key: r.change for r in df.collect()}
-    one = rows(a="1", b="1")
+    one = rows(spark, a="1", b="1")
     assert keys(log.changes(one)) == {"a": "new", "b": "new"}
-    (tmp_path / "state" / "v0").mkdir(parents=True)  # a run that died before its pointer
+    one.write.parquet(log.versions.draft())  # a run that died before its pointer
     assert log.versions.current() == -1 and keys(log.changes(one)) == {"a": "new", "b": "new"}
     assert log.commit(one) == 0 and keys(log.changes(one)) == {}
-    two = rows(a="1", b="2", c="1")
+    two = rows(spark, a="1", b="2", c="1")
     assert keys(log.changes(two)) == {"b": "changed", "c": "new"}
     assert log.commit(log.changes(two)) == 1
     assert keys(log.changes(two)) == {} and {r.key for r in log.state().collect()} == {"a", "b", "c"}
 
 
+def test_of_two_runs_from_one_version_the_first_commits(spark, tmp_path):
+    a, b = (inc.ChangeLog(spark, str(tmp_path / "state")) for _ in "ab")
+    mine, theirs = rows(spark, a="1", b="1"), rows(spark, a="1", c="1")
+    assert keys(a.changes(mine)) == {"a": "new", "b": "new"} and keys(b.changes(theirs)) == {"a": "new", "c": "new"}
+    assert a.commit(mine) == 0
+    with pytest.raises(RuntimeError, match="another run"):
+        b.commit(theirs)
+    assert {r.key for r in a.state().collect()} == {"a", "b"}
+    assert keys(b.changes(theirs)) == {"c": "new"} and b.commit(theirs) == 1 and {r.key for r in a.state().collect()} == {"a", "b", "c"}
+
+
+def test_commits_write_what_was_processed_and_compact_now_and_then(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(inc.ChangeLog, "COMPACT", 3)
+    log, sizes = inc.ChangeLog(spark, str(tmp_path / "state")), []
+    for i in range(5):
+        log.commit(rows(spark, a=str(9 - i), **{f"k{i}": "1"}))
+        sizes.append(len(log.versions.folders()))
+    assert sizes == [1, 2, 3, 1, 2]
+    assert {r.key: r.content_hash for r in log.state().collect()} == {"a": "5"} | {f"k{i}": "1" for i in range(5)}
+
+
 def test_hashes(spark):
     x = spark.createDataFrame([(None, "a"), ("a", None), ("", "a")], "p string, q string")
     assert x.select(inc.content_hash("p", "q").alias("h")).distinct().count() == 3
