@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "leadloom", cpus: int | None = None, **conf: str) -> SparkSession:
@@ -27,6 +28,17 @@ def build_session(app: str = "leadloom", cpus: int | None = None, **conf: str) -
     return SparkSession.builder.config(map=settings).getOrCreate()
 
 
+#: Rows of more bytes than this are not broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if its bytes, which are summed first, are few; else as it is. Meant for what is cut or cheap."""
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in df.columns), F.lit(16 + 8 * len(df.columns)))
+    size = df.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of ``folder``."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
