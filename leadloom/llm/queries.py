@@ -9,9 +9,12 @@ from leadloom.llm import canonical, history, language, leakage, mixing, sampling
 from leadloom.session import table
 
 
+def _reports(spark: SparkSession, d: str) -> DataFrame:
+    return history.replayed(spark, table(spark, d, "candidates"), table(spark, d, "sources"), table(spark, d, "known_hosts"))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    found = history.repeated_leads(spark, table(spark, d, "candidates"), table(spark, d, "sources"), table(spark, d, "known_hosts"))
-    return found.select(F.least("id", "first_id").alias("first_id"), F.greatest("id", "first_id").alias("second_id"))
+    return _reports(spark, d).select(F.least("id", "first_id").alias("first_id"), F.greatest("id", "first_id").alias("second_id"))
 
 
 def _survivors(spark: SparkSession, d: str) -> survivors.Survivors:

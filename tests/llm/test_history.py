@@ -1,6 +1,10 @@
 import datetime as dt
+import itertools
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from leadloom.functions.urls import KnownHosts
 from leadloom.llm import history as h
 
@@ -44,29 +48,73 @@ ROWS = [
 WANT = {("a", "b"), ("c", "b"), ("d", "b"), ("l", "b")}
 
 
-def test_repeats(spark):
-    found, _ = h.FrontHistory.empty(spark).check(spark.createDataFrame(ROWS, LEADS), KNOWN)
-    assert {(r.id, r.first_id) for r in found.collect()} == WANT
+def batch(spark, rows):
+    return spark.createDataFrame(rows, LEADS)
+
+
+def holds(spark, folder):
+    return {(r.id, r.first_id) for r in h.last_reports(h.FrontHistory.load(spark, folder).tables["reports"]).collect() if r.first_id}
+
+
+def told(spark, folder, *batches):
+    """What holds after the batches, each loaded, checked and saved."""
+    for rows in batches:
+        h.FrontHistory.load(spark, folder).check(batch(spark, rows), KNOWN).save()
+    return holds(spark, folder)
+
+
+def test_repeats(spark, tmp_path):
+    assert told(spark, str(tmp_path / "h"), ROWS) == WANT
+
+
+def test_empty_batches(spark, tmp_path):
+    assert told(spark, str(tmp_path / "h"), [], ROWS[:2], []) == {("a", "b")}
 
 
-def test_empty_batch(spark):
-    found, _ = h.FrontHistory.empty(spark).check(spark.createDataFrame([], LEADS), KNOWN)
-    assert found.count() == 0
+def test_late_leads_and_joining_typos_reach_accepted_leads(spark, tmp_path):
+    first = [("b", "bonolika.example", DAY[5]), ("c", "bonolikxyz.example", DAY[3]), ("d", "bonolikxyz.example", DAY[6])]
+    late = [("a", "bonolika.example", DAY[2])]  # now b is a repeat
+    assert told(spark, str(tmp_path / "h"), first, late) == {("b", "a"), ("d", "c")}
+    between = [("e", "bonolikxya.example", DAY[8]), ("f", "bonolikxa.example", DAY[9])]  # a chain that joins both shops
+    chain = told(spark, str(tmp_path / "h"), between)
+    assert chain == {("b", "a"), ("c", "a"), ("d", "a"), ("e", "a"), ("f", "a")}
+    earlier = [("f", "bonolikxa.example", DAY[0])]  # f comes again with an earlier time: its report no longer holds
+    assert told(spark, str(tmp_path / "h"), earlier) == {("b", "f"), ("c", "f"), ("d", "f"), ("e", "f"), ("a", "f")}
 
 
-def test_batches_equal_one_batch_whatever_their_order(spark, tmp_path):
-    rng = random.Random(4)
-    rows = ROWS[:]
+@pytest.mark.parametrize("seed", [4])
+def test_batches_equal_one_batch_whatever_their_order(spark, tmp_path, seed, monkeypatch):
+    monkeypatch.setattr(h.FrontHistory, "COMPACT", 2)
+    rng = random.Random(seed)
+    names = ["".join(rng.choice("bdg") + rng.choice("ae") for _ in range(3)) for _ in range(12)]
+    rows = ROWS + [(f"x{i}", typo(rng, rng.choice(names)) + rng.choice([".example", ".in.example"]), rng.choice(DAY)) for i in range(60)]
+    rows += [(i, u, rng.choice(DAY)) for i, u, _ in rng.sample(rows, 12)]  # named again, earlier or later
     rng.shuffle(rows)
-    folder, seen = str(tmp_path / "history"), []
-    for part in (rows[:6], rows[6:11], rows[11:]):
-        past = h.FrontHistory.load(spark, folder)
-        found, new = past.check(spark.createDataFrame(part, LEADS), KNOWN)
-        seen += part
-        whole, _ = h.FrontHistory.empty(spark).check(spark.createDataFrame(seen, LEADS), KNOWN)
-        ids = {r[0] for r in part}
-        assert {(r.id, r.first_id) for r in found.collect()} == {(r.id, r.first_id) for r in whole.collect() if r.id in ids}
-        new.save(spark, folder)
+    folder = str(tmp_path / "parts")
+    assert told(spark, folder, rows[:25], rows[25:50], rows[50:70], rows[70:]) == told(spark, str(tmp_path / "whole"), rows)
+    assert len(h.Versions(spark, folder).folders()) == 2
+
+
+def test_of_two_batches_from_one_version_the_first_is_saved(spark, tmp_path):
+    folder = str(tmp_path / "h")
+    told(spark, folder, ROWS[:3])
+    one, two = (h.FrontHistory.load(spark, folder).check(batch(spark, rows), KNOWN) for rows in (ROWS[3:6], ROWS[6:9]))
+    two.save()
+    with pytest.raises(RuntimeError, match="another run"):
+        one.save()
+    assert told(spark, folder, ROWS[3:6]) == told(spark, str(tmp_path / "whole"), ROWS[:9])
+
+
+def test_a_small_batch_shuffles_no_history(spark, tmp_path):
+    """Rows of history are scanned and dropped below the first exchange: what is shuffled is in proportion to the batch."""
+    folder = str(tmp_path / "h")
+    told(spark, folder, [(f"i{i}", f"{a}{b}{c}{d}.example", DAY[1]) for i, (a, b, c, d) in enumerate(itertools.product(["ba", "ce", "di"], ["fo", "gu", "la"], ["me", "ni", "po"], ["ra", "se", "tu"]))])
+    past = h.FrontHistory.load(spark, folder)
+    some = batch(spark, [("z", "bafomeraa.example", DAY[2])])
+    for joined in (h.of_small(past.tables["shops"], some.select(F.col("url").alias("front")), ["front"]), h._matches(h.small(h.block_rows(h.with_front(some, KNOWN))), past.tables["blocks"])):
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and plan.count("FileScan") == 1
+    assert told(spark, folder, [("z", "bafomera.example", DAY[2])]) == {("z", "i0")}
 
 
 def test_leads_takes_the_earliest_source_and_ignores_other_columns(spark):
