@@ -1,22 +1,20 @@
 """Problem 7: combining sources to target shares of the total size in tokens.
 
 Subset-sum budget fitting. Every document's exact token length is counted once (Arrow batches, a public tokenizer whose file
-is a parameter); everything else works on counts of documents by (source, length). A source's budget is its weight times
-the total. It takes whole rounds of all its documents while the budget lasts (``max_repeats`` at most); of the last round it
-takes documents in the order of a seeded hash, by groups of equal hash prefix, until the next group would leave less than
-``RESERVE`` tokens, twice (``PREFIX_BITS`` each time). While more than ``KNAPSACK_BUDGET`` remains, documents of more than half
-of it are skipped and the order of the hashes is followed further, down to single documents; this at least halves what
-remains. A source whose short documents run out so is filled anew, its longest documents first. The little that remains is filled by bounded-knapsack dynamic programming
-over the numbers of unused documents by length, which reaches the largest sum that the remaining budget allows. Documents
-are then picked by length count in the order of their hashes.
-
-Only counts come to the driver: at most sources x 2^PREFIX_BITS group sums, and for each source the length counts of its
-unused documents up to the remaining budget.
+is a parameter); everything else is decided on the numbers of documents by (source, length). A source's budget is its weight times
+the total. Each length first gets its proportional number of uses, rounded down, so that the mix has the lengths of its source;
+what is left over goes to further uses, the longest first, down to ``RESERVE`` tokens; the rest is fitted exactly by
+bounded-knapsack dynamic programming over the uses still free and some short ones that are given back for it (more of
+them, up to all, while the budget is not met). The uses of a length go round its documents evenly, and the remainder to those
+of the smallest seeded hashes.
+
+Only counts come to the driver: a row for each source and length, so at most sources x the longest text's tokens.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,20 +23,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.functions.text import trimmed
-from leadloom.session import cut
+from leadloom.session import cut, small
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The word pattern of the byte-level vocabulary (fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PREFIX_BITS = 12
 SEED = 20260929
 #: Tokens of each budget that are left to the exact fit.
 RESERVE = 8192
-#: Remaining budgets above this are filled further in the order of the hashes before the exact fit.
-KNAPSACK_BUDGET = 1 << 17
-#: Hashes are followed by their first LEVELS * PREFIX_BITS bits, unsigned: positions below LAST.
-LEVELS = 5
-LAST = 1 << LEVELS * PREFIX_BITS
+#: Beyond so many tokens no more uses are given back for an exact fit (what is left over then is told by ``used``).
+MOST_GIVEN_BACK = 1 << 20
+#: Documents of one length are ordered by so many leading bits of their hashes, then within the one prefix where the uses end.
+PREFIX_BITS = 16
 
 
 def source_key(c: Column) -> Column:
@@ -70,163 +66,116 @@ def targets_of(mix_targets: DataFrame) -> DataFrame:
     return x.where("source IS NOT NULL").groupBy("source").agg(F.sum("weight").alias("weight"), F.max("max_repeats").alias("max_repeats"))
 
 
-def budgets(lengths: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, weight, max_repeats, docs, tokens, total, budget, reachable) of each target source.
-
-    ``total`` is the size of all documents of the listed sources used once, ``budget`` weight x total, rounded down;
-    ``reachable`` says whether all documents used ``max_repeats`` times reach it.
-    """
-    have = lengths.join(F.broadcast(targets.select("source")), "source", "left_semi").groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens"))
-    x = targets.join(have, "source", "left").fillna(0, ["docs", "tokens"])
-    total = x.agg(F.sum("tokens")).first()[0] or 0
-    x = x.withColumn("total", F.lit(total).cast("bigint"))
-    reach = F.col("tokens") * F.col("max_repeats") >= F.col("weight") * F.col("total")
-    return x.withColumn("budget", F.floor(F.col("weight") * F.col("total"))).withColumn("reachable", reach)
-
-
 def knapsack(lengths: dict[int, int], budget: int) -> dict[int, int]:
     """How many of each length to take so that their sum is the largest not above ``budget``.
 
-    ``lengths``: length -> documents available. Exact bounded-knapsack dynamic programming on bit sets: bit s says that the sum
-    s can be reached; counts are split into powers of two; it stops as soon as the budget itself is reached.
+    ``lengths``: length -> uses available. Exact bounded-knapsack dynamic programming: counts are split into powers of two, and
+    each sum keeps the step that reached it first; it stops as soon as the budget itself is reached.
     """
     if budget <= 0:
         return {}
-    mask, reach, steps = (1 << (budget + 1)) - 1, 1, []
+    first = np.full(budget + 1, -1, dtype=np.int32)
+    first[0] = 0
+    steps = [(0, 0)]
     for size in sorted((n for n in lengths if 0 < n <= budget), reverse=True):
         left, k = min(lengths[size], budget // size), 1
-        while left > 0:
+        while left > 0 and first[budget] < 0:
             k = min(k, left)
-            steps.append((size, k, reach))
-            reach |= (reach << (size * k)) & mask
+            w = size * k
+            first[w + np.flatnonzero((first[:-w] >= 0) & (first[w:] < 0))] = len(steps)
+            steps.append((size, k))
             left, k = left - k, 2 * k
-            if reach >> budget & 1:
-                break
-        if reach >> budget & 1:
-            break
-    best, out = reach.bit_length() - 1, {}
-    for size, k, before in reversed(steps):
-        if not before >> best & 1:
-            best -= size * k
-            out[size] = out.get(size, 0) + k
+    best, out = int(np.flatnonzero(first >= 0)[-1]), {}
+    while best:
+        size, k = steps[first[best]]
+        out[size] = out.get(size, 0) + k
+        best -= size * k
     return out
 
 
-def _position(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 64 - LEVELS * PREFIX_BITS)
+def fill(counts: dict[int, int], budget: int, most: int) -> dict[int, int]:
+    """Uses of each length: at most ``most`` for each of its ``counts`` documents, their sum as near below ``budget`` as can be.
+
+    Exact where all uses, or ``MOST_GIVEN_BACK`` tokens of short ones, are enough to meet the budget or all of them are
+    fitted together; texts of 0 tokens get the whole rounds only.
+    """
+    total = sum(size * n for size, n in counts.items())
+    rounds = most if budget >= total * most else budget // max(total, 1)
+    if rounds >= most:
+        return {size: most * n for size, n in counts.items()}
+    uses = {size: n * budget // total if size else n * rounds for size, n in counts.items()}
+    sizes = sorted((size for size in counts if size), reverse=True)
+    rest = budget - sum(size * uses[size] for size in sizes)
+    for once in (True, False):
+        for size in sizes:
+            k = max(0, min(most * counts[size] - uses[size], (rest - RESERVE) // size))
+            k = min(k, 1) if once else k
+            uses[size], rest = uses[size] + k, rest - k * size
+    unreached = budget % math.gcd(*sizes)  # no sum of uses is nearer than this
+    back = RESERVE
+    while rest > unreached:
+        given = {}
+        for size in reversed(sizes):
+            k = min(uses[size], max(1, back // (8 * size))) if back < MOST_GIVEN_BACK else uses[size]
+            if k and sum(s * n for s, n in given.items()) + k * size <= MOST_GIVEN_BACK:
+                given[size] = k
+        target = rest + sum(size * k for size, k in given.items())
+        free = {size: most * counts[size] - uses[size] + given.get(size, 0) for size in sizes}
+        take = knapsack({size: k for size, k in free.items() if k}, target)
+        for size in sizes:
+            uses[size] += take.get(size, 0) - given.get(size, 0)
+        rest = target - sum(size * k for size, k in take.items())
+        if back >= MOST_GIVEN_BACK:
+            break
+        back *= 8
+    return uses
 
 
 class Mix:
-    """``plan`` (a row a source), ``selected`` (doc_id, source, tokens, repeats) and ``report`` (shares reached).
+    """``plan`` (a row a source: source, weight, max_repeats, docs, tokens, total, budget, used, reachable), ``selected``
+    (doc_id, source, tokens, repeats) and ``report`` (the plan's rows and what was selected).
 
+    ``total`` is the size of all documents of the listed sources used once, ``budget`` weight x total, rounded down.
+    A source is not ``reachable`` if, filled, it uses every text ``max_repeats`` times and still has less than its weight.
     The same seed gives the same selection at any partitioning. Sources that are not listed are not used; a listed source
-    without documents gets none. Documents without tokens are taken with the whole rounds only.
+    without documents gets none. Null and empty texts have no tokens and are taken with the whole rounds only.
     """
 
     def __init__(self, documents: DataFrame, mix_targets: DataFrame, vocabulary: str = VOCABULARY, seed: int = SEED):
         spark = documents.sparkSession
         targets = cut(targets_of(mix_targets))
         lengths = token_lengths(documents, vocabulary)
-        self.lengths = cut(lengths.join(targets.select("source"), "source", "left_semi").withColumn("h", F.xxhash64(F.lit(seed), "doc_id")))
-        self.plan = cut(budgets(self.lengths, targets))
-        rows = [r.asDict() for r in self.plan.collect()]  # one row a target
-        for r in rows:
-            rounds = min(r["max_repeats"], r["budget"] // r["tokens"]) if r["tokens"] else 0
-            r |= {"rounds": rounds, "rest": min(r["budget"] - rounds * r["tokens"], r["tokens"]) if rounds < r["max_repeats"] and r["tokens"] else 0}
-        by = {r["source"]: r for r in rows}
-        spans, chosen = self._choose({s: r["rest"] for s, r in by.items() if r["rest"] > 0})
-        rounds = spark.createDataFrame([(s, by[s]["rounds"]) for s in by] or [("", 0)], "source string, rounds int")
-        extra = spark.createDataFrame(chosen or [("", -1, 0)], "source string, tokens bigint, take int")
-        x = self._within(self.lengths.join(F.broadcast(rounds), "source"), spans)
-        rest = x.where(~F.col("once")).join(F.broadcast(extra), ["source", "tokens"])
+        self.lengths = cut(lengths.join(small(targets.select("source")), "source", "left_semi").withColumn("h", F.xxhash64(F.lit(seed), "doc_id")))
+        counts: dict[str, dict[int, int]] = {r.source: {} for r in targets.collect()}
+        for source, tokens, n in self.lengths.groupBy("source", "tokens").agg(F.count("*").alias("n")).toPandas().itertuples(index=False):
+            counts[source][int(tokens)] = int(n)
+        size = {s: sum(n * k for n, k in c.items()) for s, c in counts.items()}
+        total, rows, filled = sum(size.values()), [], []
+        for t in targets.collect():  # one row a target
+            have, aim = counts[t.source], t.weight * total
+            uses = fill(have, math.floor(aim), t.max_repeats) if aim > 0 else dict.fromkeys(have, 0)
+            used = sum(n * k for n, k in uses.items())
+            all_used = all(k == have[n] * t.max_repeats for n, k in uses.items())
+            rows.append((t.source, t.weight, t.max_repeats, sum(have.values()), size[t.source], total, math.floor(aim), used, not (all_used and used < aim)))
+            filled += [(t.source, n, have[n], k) for n, k in uses.items()]
+        self.plan = spark.createDataFrame(rows, "source string, weight double, max_repeats int, docs bigint, tokens bigint, total bigint, budget bigint, used bigint, reachable boolean")
+        self.filled = spark.createDataFrame(filled, "source string, tokens bigint, n bigint, uses bigint")
+
+    @property
+    def selected(self) -> DataFrame:
+        f = self.filled.select("source", "tokens", F.floor(F.col("uses") / F.col("n")).cast("int").alias("rounds"), F.pmod("uses", "n").alias("more")).where("rounds > 0 OR more > 0")
+        x = self.lengths.join(small(f), ["source", "tokens"]).withColumn("p", F.shiftrightunsigned("h", 64 - PREFIX_BITS))
+        # where, among the hash prefixes of a length, its uses end: at most 2^PREFIX_BITS rows of a length meet in a task
+        by = x.where("more > 0").groupBy("source", "tokens", "more", "p").agg(F.count("*").alias("k"))
+        before = F.sum("k").over(Window.partitionBy("source", "tokens").orderBy("p")) - F.col("k")
+        end = by.withColumn("before", before).where("before < more AND before + k >= more").select("source", "tokens", F.col("p").alias("last"), (F.col("more") - F.col("before")).alias("left"))
+        x = x.join(end, ["source", "tokens"], "left")
         rank = F.row_number().over(Window.partitionBy("source", "tokens").orderBy("h", "doc_id"))
-        most = max((k for _, _, k in chosen), default=0)  # a constant, so that each task keeps only so many rows of a group
-        picked = rest.withColumn("rank", rank).where(F.col("rank") <= most).where(F.col("rank") <= F.col("take")).select("doc_id", "source", F.lit(1).alias("picked"))
-        x = x.join(picked, ["doc_id", "source"], "left").withColumn("repeats", F.col("rounds") + F.col("once").cast("int") + F.coalesce("picked", F.lit(0)))
-        self.selected = x.where("repeats > 0").select("doc_id", "source", "tokens", "repeats")
+        edge = x.where("p = last").withColumn("once", (rank <= F.col("left")).cast("int"))
+        x = x.where("last IS NULL OR p <> last").withColumn("once", F.coalesce((F.col("p") < F.col("last")).cast("int"), F.lit(0))).unionByName(edge)
+        return x.select("doc_id", "source", "tokens", (F.col("rounds") + F.col("once")).alias("repeats")).where("repeats > 0")
+
+    @property
+    def report(self) -> DataFrame:
         got = self.selected.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("used"), F.sum("repeats").alias("uses"), F.max("repeats").alias("most"))
-        self.report = self.plan.join(got, "source", "left").fillna(0, ["used", "uses", "most"])
-
-    def _within(self, x: DataFrame, spans: dict) -> DataFrame:
-        """``x`` and ``once``: whether a document lies in one of its source's spans (from, to, most tokens), which are disjoint."""
-        rows = [(s, *span) for s, every in spans.items() for span in every]
-        e = F.broadcast(x.sparkSession.createDataFrame(rows or [("", 0, 0, 0)], "_s string, _lo bigint, _hi bigint, _most bigint"))
-        at = _position(F.col("h"))
-        x = x.join(e, (F.col("source") == F.col("_s")) & (at >= F.col("_lo")) & (at < F.col("_hi")) & (F.col("tokens") <= F.col("_most")), "left")
-        return x.withColumn("once", F.col("_s").isNotNull()).drop("_s", "_lo", "_hi", "_most")
-
-    def _choose(self, rest: dict[str, int]) -> tuple[dict, list]:
-        """Spans of each source to take once, and (source, length, how many) besides, for what ``rest`` is to be filled."""
-        spans, chosen, short = self._attempt(rest, {})
-        rows = [(s, rest[s]) for s, n in short.items() if n > 0]
-        if not rows:
-            return spans, chosen
-        e = F.broadcast(self.lengths.sparkSession.createDataFrame(rows, "source string, rest bigint"))
-        limit = KNAPSACK_BUDGET // 2
-        longs = self.lengths.where(F.col("tokens") > limit).join(e, "source").where("tokens <= rest")
-        longs, left, first = longs.groupBy("source", "tokens").agg(F.count("*").alias("n")).toPandas(), {}, []
-        for s, part in longs.groupby("source"):
-            left[s] = rest[s]
-            for size, n in part.sort_values("tokens", ascending=False)[["tokens", "n"]].itertuples(index=False):
-                k = min(int(n), left[s] // int(size))
-                left[s] -= k * int(size)
-                first += [(s, int(size), k)] if k else []
-        if left:
-            spans2, chosen2, short2 = self._attempt(left, dict.fromkeys(left, limit))
-            better = {s for s in left if short2[s] < short[s]}
-            spans |= {s: spans2[s] for s in better}
-            chosen = [c for c in chosen if c[0] not in better] + [c for c in first + chosen2 if c[0] in better]
-        return spans, chosen
-
-    def _attempt(self, rest: dict[str, int], limit: dict[str, int]) -> tuple[dict, list, dict]:
-        """Spans, lengths and what stays unfilled of ``rest`` with documents of ``limit`` tokens at most."""
-        left, spans, most = dict(rest), {s: [] for s in rest}, {s: limit.get(s, LAST) for s in rest}
-        self._fill(left, spans, most, 2)
-        while further := {s: min((n - RESERVE) // 2, most[s]) for s, n in left.items() if n > KNAPSACK_BUDGET and spans[s][-1][1] < LAST}:
-            self._fill(left, spans, further, LEVELS)
-        chosen = self._exact(left, spans, most)
-        for s, size, k in chosen:
-            left[s] -= size * k
-        return spans, chosen, left
-
-    def _fill(self, left: dict, spans: dict, most: dict, levels: int) -> None:
-        """Adds a span to each source in ``most``, up to the first hash group that does not fit; ``left`` shrinks."""
-        window = {s: (spans[s][-1][1] if spans[s] else 0, LAST) for s in most}
-        start = {s: lo for s, (lo, _) in window.items()}
-        for level in range(levels):
-            shift = PREFIX_BITS * (LEVELS - 1 - level)
-            rows = [(s, lo, hi, most[s]) for s, (lo, hi) in window.items() if lo < hi]
-            if not rows:
-                break
-            e = F.broadcast(self.lengths.sparkSession.createDataFrame(rows, "source string, lo bigint, hi bigint, most bigint"))
-            at = _position(F.col("h"))
-            x = self.lengths.join(e, "source").where((at >= F.col("lo")) & (at < F.col("hi")) & (F.col("tokens") <= F.col("most")))
-            sums = x.groupBy("source", F.shiftright(at, shift).alias("g")).agg(F.sum("tokens").alias("n")).toPandas()
-            parts = dict(iter(sums.groupby("source")))
-            for s, lo, hi, _ in rows:
-                window[s] = (hi, hi)
-                if s not in parts:
-                    continue
-                part = parts[s].sort_values("g")
-                fits = part["n"].cumsum().to_numpy() <= left[s] - RESERVE
-                k = int(fits.argmin()) if not fits.all() else len(fits)
-                left[s] -= int(part["n"].iloc[:k].sum())
-                if k < len(part):
-                    g = int(part["g"].iloc[k])
-                    window[s] = (max(lo, g << shift), min(hi, (g + 1) << shift))
-        for s in most:
-            spans[s].append((start[s], window[s][0], most[s]))
-
-    def _exact(self, left: dict, spans: dict, most: dict) -> list[tuple[str, int, int]]:
-        """(source, length, how many) to fill what remains of each budget from documents in no span."""
-        rows = [(s, min(n, KNAPSACK_BUDGET), most[s]) for s, n in left.items() if n > 0]
-        if not rows:
-            return []
-        e = F.broadcast(self.lengths.sparkSession.createDataFrame(rows, "source string, rest bigint, most bigint"))
-        x = self._within(self.lengths.join(e, "source").where("tokens BETWEEN 1 AND least(rest, most)"), spans).where("NOT once")
-        counts = x.groupBy("source", "tokens").agg(F.count("*").alias("n")).toPandas()
-        out = []
-        for s, part in counts.groupby("source"):
-            take = knapsack(dict(zip(part["tokens"].tolist(), part["n"].tolist())), min(left[s], KNAPSACK_BUDGET))
-            out += [(s, int(n), int(k)) for n, k in take.items()]
-        return out
+        return self.plan.drop("used").join(got, "source", "left").fillna(0, ["used", "uses", "most"])

@@ -69,7 +69,7 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.Mix(table(spark, d, "documents"), table(spark, d, "mix_targets")).report.where("NOT reachable").select("source")
+    return mixing.Mix(table(spark, d, "documents"), table(spark, d, "mix_targets")).plan.where("NOT reachable").select("source")
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:

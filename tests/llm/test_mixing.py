@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -48,10 +49,36 @@ def test_mix(spark, monkeypatch):
     assert key(x) == key(again) != key(m.Mix(d, targets(spark), seed=1))
 
 
-def test_long_documents_are_passed_over(spark, monkeypatch):
-    """Documents that are longer than what remains stop no source; one that needs its long document gets it."""
-    monkeypatch.setattr(m, "RESERVE", 100)
-    monkeypatch.setattr(m, "KNAPSACK_BUDGET", 500)
+def best_sum(counts, budget, most):
+    sums = {0}
+    for n, k in counts.items():
+        sums = {t for s in sums for j in range(k * most + 1) if (t := s + n * j) <= budget}
+    return max(sums)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_fill_is_exact(seed, monkeypatch):
+    monkeypatch.setattr(m, "RESERVE", 20)
+    rng = random.Random(seed)
+    for _ in range(80):
+        counts = {rng.choice([rng.randrange(0, 30), 6 * rng.randrange(1, 20), rng.randrange(60, 400)]): rng.randrange(1, 6) for _ in range(rng.randrange(1, 7))}
+        most, total = rng.randrange(1, 4), sum(n * k for n, k in counts.items())
+        budget = rng.randrange(0, total * most + 5)
+        uses = m.fill(counts, budget, most)
+        assert all(0 <= uses[n] <= k * most for n, k in counts.items())
+        assert sum(n * k for n, k in uses.items()) == (best_sum(counts, budget, most) if budget < total * most else total * most)
+
+
+def test_fill_meets_large_budgets():
+    rng = random.Random(1)
+    for counts in ({200_000: 1} | {n: 10 for n in range(1, 301)}, {rng.randrange(1, 300_000): 1 for _ in range(3000)}, {n: 40_000_000_000 for n in range(40, 900, 7)}):
+        total = sum(n * k for n, k in counts.items())
+        for share in (0.07, 0.3, 0.96, 1.9):
+            uses = m.fill(counts, math.floor(share * total), 2)
+            assert sum(n * k for n, k in uses.items()) == math.floor(share * total) and all(k <= 2 * counts[n] for n, k in uses.items())
+
+
+def test_long_documents_stop_no_source(spark):
     rows = [(i, " tea" * 3000, "c") for i in range(20)] + [(100 + i, " tea" * (20 + i % 30), "c") for i in range(300)]
     rows += [(1000, " tea" * 900, "e")] + [(1001 + i, " tea" * (1 + i % 20), "e") for i in range(100)]
     d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
@@ -61,6 +88,14 @@ def test_long_documents_are_passed_over(spark, monkeypatch):
     assert {s: v.used for s, v in r.items()} == {s: v.budget for s, v in r.items()} and {v.most for v in r.values()} == {1}
 
 
+def test_a_length_that_most_documents_have(spark, monkeypatch):
+    """Uses end within a hash prefix; repeated rows and ties of hashes neither lose nor repeat a use."""
+    monkeypatch.setattr(m, "PREFIX_BITS", 2)
+    d = spark.createDataFrame([(i // 2, " tea" * 5, "c") for i in range(2000)], "doc_id bigint, text string, source string")
+    x = m.Mix(d, targets(spark, [("c", 0.4321, 1)]))
+    assert x.selected.agg(F.sum("repeats")).first()[0] == 864 and x.report.first().used == 4320
+
+
 def test_empty(spark):
     d = docs(spark)
     assert m.Mix(d.limit(0), targets(spark)).selected.count() == 0 and m.Mix(d, targets(spark, [])).report.count() == 0
