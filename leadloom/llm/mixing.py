@@ -2,8 +2,8 @@
 
 Subset-sum budget fitting. Every document's exact token length is counted once (Arrow batches, a public tokenizer whose file
 is a parameter); everything else is decided on the numbers of documents by (source, length). A source's budget is its weight times
-the total. Each length first gets its proportional number of uses, rounded down, so that the mix has the lengths of its source;
-what is left over goes to further uses, the longest first, down to ``RESERVE`` tokens; the rest is fitted exactly by
+the total. Each length first gets its proportional number of uses, what is rounded down being carried on to the next (in a
+seeded order), so that the mix has the lengths of its source; what is left over goes to further uses, down to ``RESERVE`` tokens; the rest is fitted exactly by
 bounded-knapsack dynamic programming over the uses still free and some short ones that are given back for it (more of
 them, up to all, while the budget is not met). The uses of a length go round its documents evenly, and the remainder to those
 of the smallest seeded hashes.
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,34 +94,39 @@ def knapsack(lengths: dict[int, int], budget: int) -> dict[int, int]:
     return out
 
 
-def fill(counts: dict[int, int], budget: int, most: int) -> dict[int, int]:
+def fill(counts: dict[int, int], budget: int, most: int, seed: int = SEED) -> dict[int, int]:
     """Uses of each length: at most ``most`` for each of its ``counts`` documents, their sum as near below ``budget`` as can be.
 
     Exact where all uses, or ``MOST_GIVEN_BACK`` tokens of short ones, are enough to meet the budget or all of them are
-    fitted together; texts of 0 tokens get the whole rounds only.
+    fitted together; texts of 0 tokens get the whole rounds only. No text is used a round more than others before that is needed.
     """
     total = sum(size * n for size, n in counts.items())
-    rounds = most if budget >= total * most else budget // max(total, 1)
-    if rounds >= most:
+    if budget >= total * most:
         return {size: most * n for size, n in counts.items()}
-    uses = {size: n * budget // total if size else n * rounds for size, n in counts.items()}
     sizes = sorted((size for size in counts if size), reverse=True)
+    even = {size: min(most * counts[size], -(-counts[size] * budget // total)) for size in sizes}
+    full = {size: most * counts[size] for size in sizes}
+    uses, carry = {0: counts[0] * (budget // total)} if 0 in counts else {}, 0
+    # proportional, what is rounded down being carried on to the next length, in a seeded order
+    for size in sorted(sizes, key=lambda n: xxhash.xxh64_intdigest(str(n), seed)):
+        carry += size * counts[size] * budget
+        uses[size] = min(even[size], carry // (size * total))
+        carry -= uses[size] * size * total
     rest = budget - sum(size * uses[size] for size in sizes)
-    for once in (True, False):
+    for cap in (even, full):
         for size in sizes:
-            k = max(0, min(most * counts[size] - uses[size], (rest - RESERVE) // size))
-            k = min(k, 1) if once else k
+            k = max(0, min(cap[size] - uses[size], (rest - RESERVE) // size))
             uses[size], rest = uses[size] + k, rest - k * size
     unreached = budget % math.gcd(*sizes)  # no sum of uses is nearer than this
     back = RESERVE
     while rest > unreached:
-        given = {}
+        given, sum_given = {}, 0
         for size in reversed(sizes):
-            k = min(uses[size], max(1, back // (8 * size))) if back < MOST_GIVEN_BACK else uses[size]
-            if k and sum(s * n for s, n in given.items()) + k * size <= MOST_GIVEN_BACK:
-                given[size] = k
-        target = rest + sum(size * k for size, k in given.items())
-        free = {size: most * counts[size] - uses[size] + given.get(size, 0) for size in sizes}
+            k = min(uses[size], max(1, back // (8 * size)) if back < MOST_GIVEN_BACK else (MOST_GIVEN_BACK - sum_given) // size)
+            if k and sum_given + k * size <= back:
+                given[size], sum_given = k, sum_given + k * size
+        cap, target = even if back == RESERVE else full, rest + sum_given
+        free = {size: max(0, cap[size] - uses[size]) + given.get(size, 0) for size in sizes}
         take = knapsack({size: k for size, k in free.items() if k}, target)
         for size in sizes:
             uses[size] += take.get(size, 0) - given.get(size, 0)
@@ -153,7 +159,7 @@ class Mix:
         total, rows, filled = sum(size.values()), [], []
         for t in targets.collect():  # one row a target
             have, aim = counts[t.source], t.weight * total
-            uses = fill(have, math.floor(aim), t.max_repeats) if aim > 0 else dict.fromkeys(have, 0)
+            uses = fill(have, math.floor(aim), t.max_repeats, seed) if aim > 0 else dict.fromkeys(have, 0)
             used = sum(n * k for n, k in uses.items())
             all_used = all(k == have[n] * t.max_repeats for n, k in uses.items())
             rows.append((t.source, t.weight, t.max_repeats, sum(have.values()), size[t.source], total, math.floor(aim), used, not (all_used and used < aim)))

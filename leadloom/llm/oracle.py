@@ -45,6 +45,14 @@ x AS (SELECT store_id, ('0x' || left(md5('20260929:' || store_id), 13))::BIGINT
 SELECT store_id, round(CASE WHEN kept THEN 1 ELSE p END, 6)::DOUBLE AS probability, kept FROM x WHERE kept OR u < p
 """
 
+_P4_WAVES = f"""
+WITH {sql.STORE}, log AS (SELECT DISTINCT {_ID} AS id, wave FROM audit_sample WHERE store_id IS NOT NULL AND wave IS NOT NULL),
+w AS (SELECT wave, lag(wave) OVER (ORDER BY wave) AS before FROM (SELECT DISTINCT wave FROM log)),
+x AS (SELECT store_id, ('0x' || left(md5('20260929:' || store_id), 13))::BIGINT / 4503599627370496.0 AS u, least(1, greatest(1, coalesce(pages_checked, 1)) * 0.02) AS p FROM store WHERE status = 'accepted'),
+y AS (SELECT w.wave, x.u < x.p AS drawn, b.id IS NOT NULL AS kept, n.id IS NOT NULL AS again FROM x CROSS JOIN w LEFT JOIN log b ON b.id = x.store_id AND b.wave = w.before LEFT JOIN log n ON n.id = x.store_id AND n.wave = w.wave)
+SELECT wave, count(*) AS selected, count_if(kept)::BIGINT AS kept, count_if(kept AND again)::BIGINT AS recorded_again FROM y WHERE drawn OR kept GROUP BY wave
+"""
+
 
 def _words(x: str) -> str:
     v = f"replace(regexp_replace(regexp_replace(lower({x}), '&amp;|&#38;', '&', 'g'), '&[a-z]{{2,8}};|&#[0-9]{{1,6}};', ' ', 'g'), '&', ' and ')"
@@ -84,6 +92,7 @@ SQL: dict = {
     "p2_found": _P2,
     "p4_found": _P4,
     "p4_sample": _P4_SAMPLE,
+    "p4_waves": _P4_WAVES,
     "p5_found": _P5 + "SELECT kept.store_id, kept.kind AS field_name, coalesce(best.canon_id, 0) AS canon_id FROM kept LEFT JOIN best USING (kind, value)",
     "p5_unmatched": _P5 + "SELECT kept.kind AS field_name, kept.value, count(*) AS n FROM kept LEFT JOIN best USING (kind, value) WHERE best.canon_id IS NULL GROUP BY 1, 2",
     "p7_found": _P7,

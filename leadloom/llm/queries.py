@@ -48,6 +48,12 @@ def p4_sample(spark: SparkSession, d: str) -> DataFrame:
     return sample.select("store_id", F.round("probability", 6).alias("probability"), "kept")
 
 
+def p4_waves(spark: SparkSession, d: str) -> DataFrame:
+    """Of each recorded wave: how many stores the replayed sampler selects, keeps from the wave before, and finds recorded."""
+    x = sampling.replay(table(spark, d, "audit_sample"), sampling.accepted_stores(table(spark, d, "stores")))
+    return x.groupBy("wave").agg(F.count("*").alias("selected"), F.count_if("kept").alias("kept"), F.count_if("kept AND recorded").alias("recorded_again"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.map_stores(table(spark, d, "stores"), table(spark, d, "canon_values")).select("store_id", "field_name", "canon_id")
 
@@ -87,4 +93,4 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return language.relabel(documents, found).select("doc_id", "lang")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_records, p2_values, p4_found, p4_sample, p5_found, p5_unmatched, p6_found, p6_items, p7_found, p7_shares, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_records, p2_values, p4_found, p4_sample, p4_waves, p5_found, p5_unmatched, p6_found, p6_items, p7_found, p7_shares, p8_found)}

@@ -8,10 +8,14 @@ reruns don't matter; nothing is sorted or collected.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.functions.text import trimmed
+from leadloom.operators.incremental import Versions
+from leadloom.session import cut
 
 SEED = 20260929
 #: Expected share of the population per unit of weight.
@@ -57,19 +61,61 @@ def recorded(audit_sample: DataFrame) -> DataFrame:
     return x.where("id <> '' AND wave IS NOT NULL").distinct()
 
 
-def not_kept(audit_sample: DataFrame, stores: DataFrame, seed: int = SEED) -> DataFrame:
-    """(store_id, wave): stores of one recorded wave that the next recorded wave has lost although they are still accepted.
+class SampleState:
+    """The sampler's state (store_id, probability) in a folder: each draw adds what it raised and swaps the version in."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.versions = spark, Versions(spark, folder)
+
+    def read(self) -> DataFrame:
+        """The greatest probability of each identifier so far; empty where nothing was ever drawn."""
+        parts = self.versions.folders()
+        if not parts:
+            return self.spark.createDataFrame([], "store_id string, probability double")
+        return self.spark.read.parquet(*parts).groupBy("store_id").agg(F.max("probability").alias("probability"))
+
+    def draw(self, population: DataFrame, constant: float = CONSTANT, seed: int = SEED) -> DataFrame:
+        """``draw`` from this state, which is committed with what the draw raised. A run that fails commits nothing."""
+        base, old = self.versions.current(), cut(self.read())
+        sample, new = draw(population, old, constant, seed)
+        sample, part = cut(sample), self.versions.draft()
+        raised = new.join(old.withColumnRenamed("probability", "_old"), "store_id", "left").where("_old IS NULL OR probability > _old").drop("_old")
+        raised.write.parquet(part)
+        self.versions.commit(base, [*self.versions.folders(base), part])
+        return sample
+
 
-    A recorded selection is a state of probability 1: the sampler, drawing the next wave from the accepted stores with
-    that state and no new weight, must return exactly the stores that had to be kept; those missing are reported.
+def above(u: Column) -> Column:
+    """The least probability under which ``u`` (of 52 bits) is selected."""
+    return u + F.lit(1.0 / (1 << 52))
+
+
+def replay(audit_sample: DataFrame, population: DataFrame, constant: float = CONSTANT, seed: int = SEED) -> DataFrame:
+    """(store_id, wave, probability, kept, recorded): what the sampler selects in each recorded wave, drawn one after the other.
+
+    Each wave is drawn from ``population`` (store_id, weight) with the state that the wave before has left. A store that the
+    record of the wave before has was selected then, so its probability was above its number, whatever the constant of those
+    days: the state is raised to that, and ``draw`` selects it again. The state carries nothing else that the record
+    doesn't have, since a store that the recorded wave before lacks need not be in this one on its account. ``kept`` tells
+    that the record of the wave before selects the store, ``recorded`` that the record of this wave has it.
     """
-    log = recorded(audit_sample)
-    waves = log.select("wave").distinct().select("wave", F.lead("wave").over(Window.orderBy("wave")).alias("next"))
-    due = log.join(waves, "wave").where("next IS NOT NULL").select("id", F.col("next").alias("wave"))
-    population = accepted_stores(stores).withColumn("id", clean_id(F.col("store_id")))
-    # one key per (store, wave), so that a single draw serves all waves
-    keyed = due.join(population, "id").select(F.concat_ws(":", "id", "wave").alias("key"), "id", "store_id", "wave", F.lit(0.0).alias("weight"))
-    state = due.select(F.concat_ws(":", "id", "wave").alias("key"), F.lit(1.0).alias("probability"))
-    must, _ = draw(keyed, state, seed=seed, key="key")
-    lost = must.select("key").join(log.select(F.concat_ws(":", "id", "wave").alias("key")), "key", "left_anti")
-    return keyed.join(lost, "key").select("store_id", "wave")
+    log = cut(recorded(audit_sample))
+    people = cut(population.where("store_id IS NOT NULL").withColumn("key", clean_id(F.col("store_id"))))
+    waves, out, before = [r.wave for r in log.select("wave").distinct().orderBy("wave").collect()], [], None  # one row a sampling
+    for wave in waves:
+        now = log.where(F.col("wave") == wave).select(F.col("id").alias("key"), F.lit(True).alias("recorded"))
+        last = log.where(F.col("wave") == before).select(F.col("id").alias("key")) if before is not None else now.select("key").limit(0)
+        state = last.withColumn("probability", above(uniform(F.col("key"), seed)))
+        sample, _ = draw(people, state, constant, seed, key="key")
+        x = sample.join(now, "key", "left").join(people.select("key", "store_id"), "key")
+        out.append(x.select("store_id", F.lit(wave).cast("int").alias("wave"), "probability", "kept", F.coalesce("recorded", F.lit(False)).alias("recorded")))
+        before = wave
+    if not out:
+        return log.sparkSession.createDataFrame([], "store_id string, wave int, probability double, kept boolean, recorded boolean")
+    return reduce(DataFrame.unionByName, out)
+
+
+def not_kept(audit_sample: DataFrame, stores: DataFrame, seed: int = SEED) -> DataFrame:
+    """(store_id, wave): stores of one recorded wave that the next recorded wave has lost although they are still accepted:
+    the waves are replayed, and what the sampler keeps and the record doesn't is reported."""
+    return replay(audit_sample, accepted_stores(stores), seed=seed).where("kept AND NOT recorded").select("store_id", "wave")

@@ -44,3 +44,21 @@ def test_not_kept(spark):
     rows = spark.createDataFrame(stores, "store_id string, status string, pages_checked int, observed_at timestamp_ntz")
     assert {tuple(r) for r in s.not_kept(audit, rows).collect()} == {("a1", 2), ("d4", 2), ("c3", 4)}
     assert s.not_kept(audit.limit(0), rows).count() == 0 and s.not_kept(audit, rows.limit(0)).count() == 0
+
+
+def test_replay_draws_with_the_state_of_the_wave_before(spark):
+    p = pop(spark, 400).drop("probability")
+    log = [(f"S{i} ", 1) for i in range(40)] + [(f"s{i}", 2) for i in range(0, 40, 2)] + [(f"s{i}", 5) for i in range(40)]
+    rows = s.replay(spark.createDataFrame(log, "store_id string, wave int"), p, 0.05).collect()
+    drawn = ids(s.draw(p, spark.createDataFrame([], EMPTY), 0.05)[0])
+    even = {f"s{i}" for i in range(0, 40, 2)}
+    of = lambda wave, **flags: {r.store_id for r in rows if r.wave == wave and all(r[k] == v for k, v in flags.items())}
+    assert of(1) == drawn and not of(1, kept=True)
+    assert of(2, kept=True) == {f"s{i}" for i in range(40)} and of(2) == drawn | of(2, kept=True) and of(2, kept=True, recorded=False) == of(2, kept=True) - even
+    assert of(5, kept=True) == even and not of(5, kept=True, recorded=False)
+
+
+def test_state_is_kept_between_runs(spark, tmp_path):
+    run = lambda p, c: ids(s.SampleState(spark, str(tmp_path / "s")).draw(p.drop("probability"), c))
+    first, second, third = run(pop(spark, 500), 0.1), run(pop(spark, 900), 0.1), run(pop(spark, 900), 0.01)
+    assert first <= second == third and s.SampleState(spark, str(tmp_path / "s")).read().count() == 900
