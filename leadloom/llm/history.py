@@ -35,7 +35,7 @@ MAX_BITS = 2
 #: Leads without a discovery time count as the latest.
 NEVER = "9999-12-31"
 #: Of a replay, how many last weeks are batches of their own.
-LAST_WEEKS = 3
+LAST_WEEKS = 2
 TABLES = {
     "blocks": "key bigint, front string, name string, suffix string, bits bigint",
     "leads": "front string, id string, discovered_at timestamp_ntz",

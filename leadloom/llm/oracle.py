@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leadloom.llm import canonical
+from leadloom.llm import canonical, survivors
 from leadloom.queries import sql
 
 _P1 = rf"""
@@ -20,17 +20,59 @@ best AS (SELECT shop, min(seen_at) AS first_at, arg_min(id, (seen_at, id)) AS fi
 SELECT least(id, best.first_id) AS first_id, greatest(id, best.first_id) AS second_id FROM m JOIN best USING (shop) WHERE seen_at > first_at
 """
 
-_P2 = f"""
-WITH RECURSIVE {sql.STORE}, named AS (SELECT store_id, unnest(list_concat([domain_url, shop_identity], coalesce(aliases, []::VARCHAR[]))) AS v FROM store),
+_P2_GROUPS = f"""{sql.STORE}, named AS (SELECT store_id, unnest(list_concat([domain_url, shop_identity], coalesce(aliases, []::VARCHAR[]))) AS v FROM store),
 e AS (SELECT DISTINCT store_id, {sql.site("v")} AS site FROM named),
 n AS (SELECT DISTINCT a.store_id AS x, b.store_id AS y FROM e a JOIN e b ON a.site = b.site AND a.store_id <> b.store_id),
 reach AS (SELECT DISTINCT x, x AS y FROM n UNION SELECT r.x, n.y FROM reach r JOIN n ON n.x = r.y),
-g AS (SELECT x AS store_id, min(y) AS group_id FROM reach GROUP BY 1),
+g AS (SELECT x AS store_id, min(y) AS group_id FROM reach GROUP BY 1)"""
+_P2 = f"""
+WITH RECURSIVE {_P2_GROUPS},
 m AS (SELECT g.group_id, s.store_id, s.domain_url, {sql.FILLED} AS filled, {sql.site("domain_url")} AS site FROM g JOIN store s USING (store_id)),
 r AS (SELECT *, first_value(store_id) OVER (PARTITION BY group_id ORDER BY coalesce(site LIKE '%.shops.example', TRUE), -filled, domain_url NULLS LAST, store_id) AS survivor_id FROM m)
 SELECT group_id, store_id, survivor_id FROM r
 """
 
+
+def _p2_fused() -> str:
+    """Claims, then the rounds of the fusion one after the other, in the names of the paper: kt, kf, kd, votes."""
+    squeeze = lambda x: f"trim(regexp_replace({x}, '[\\s\\p{{Z}}]+', ' ', 'g'))"
+    fold = "nullif(regexp_replace(strip_accents(lower(shown)), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g'), ' ')"
+    fields = ", ".join(f"{{'field': '{c}', 'shown': {squeeze(c)}, 'site': {sql.site(c) if c in survivors.SITES else 'NULL'}}}" for c in survivors.FUSED)
+    folded, sites = (", ".join(f"'{c}'" for c in x) for x in (survivors.FOLDED, survivors.SITES))
+    n, copy, prior, start = survivors.FALSE_VALUES, survivors.COPY_RATE, survivors.PRIOR_COPY, survivors.START_ACCURACY
+    q = f"""
+WITH RECURSIVE {_P2_GROUPS},
+first AS (SELECT candidate_id AS store_id, arg_min(name, (discovered_at, name)) AS list FROM sources GROUP BY 1),
+own AS (SELECT g.group_id, coalesce(lower(regexp_replace({sql.trim("list")}, '[\\s_-]+', ' ', 'g')), '') AS source, unnest([{fields}]) AS x FROM g JOIN store USING (store_id) LEFT JOIN first USING (store_id)),
+shown AS (SELECT group_id, source, x.field AS field, x.shown AS shown, x.site AS site FROM own WHERE x.shown <> '' AND (x.field NOT IN ({sites}) OR x.site IS NOT NULL)),
+claimed AS (SELECT *, CASE WHEN field IN ({folded}) THEN coalesce(trim({fold}), shown) ELSE coalesce(site, shown) END AS value FROM shown),
+c AS (SELECT DISTINCT group_id, field, value, source FROM claimed),
+voters AS (SELECT group_id, field, value, count(*) AS n FROM c GROUP BY ALL),
+total AS (SELECT group_id, field, sum(n) AS votes FROM voters GROUP BY ALL),
+p0 AS (SELECT group_id, field, value, n / votes AS p FROM voters JOIN total USING (group_id, field)),
+t AS (SELECT c.* FROM c JOIN total USING (group_id, field) WHERE votes > 1),
+shared AS (SELECT group_id, field, value, a.source AS s, b.source AS t FROM t a JOIN t b USING (group_id, field, value) WHERE a.source < b.source),
+k AS (SELECT group_id, field, source, count(*) AS n FROM t GROUP BY ALL),
+met AS (SELECT a.source AS s, b.source AS t, sum(a.n * b.n) AS met FROM k a JOIN k b USING (group_id, field) WHERE a.source < b.source GROUP BY ALL)"""
+    for i in range(survivors.ROUNDS):
+        q += f""",
+acc{i} AS (SELECT source, least(0.99, greatest(0.05, (sum(p) + 5 * {start}) / (count(*) + 5))) AS a FROM c JOIN p{i} USING (group_id, field, value) GROUP BY 1),
+s{i} AS (SELECT s, t, sum(p) AS kt, sum(1 - p) AS kf, count(*) AS same FROM shared JOIN p{i} USING (group_id, field, value) GROUP BY ALL),
+d{i} AS (SELECT s, t, x.a AS a_s, y.a AS a_t, (x.a + y.a) / 2 AS a, coalesce(kt, 0) AS kt, coalesce(kf, 0) AS kf, met - coalesce(same, 0) AS kd FROM met LEFT JOIN s{i} USING (s, t) JOIN acc{i} x ON x.source = s JOIN acc{i} y ON y.source = t),
+e{i} AS (SELECT *, a * a AS pt, (1 - a) * (1 - a) / {n} AS pf FROM d{i}),
+dep{i} AS (SELECT s, t, a_s, a_t, 1 / (1 + exp(least(700, kt * ln(pt) + kf * ln(pf) + kd * ln(1 - pt - pf)
+  - kt * ln(a * {copy} + pt * (1 - {copy})) - kf * ln((1 - a) * {copy} + pf * (1 - {copy})) - kd * ln((1 - pt - pf) * (1 - {copy})) + ln((1 - {prior}) / {prior})))) AS dep FROM e{i}),
+free{i} AS (SELECT group_id, field, value, CASE WHEN a_t > a_s THEN s ELSE t END AS source, sum(ln(1 - {copy} * dep)) AS free FROM shared JOIN dep{i} USING (s, t) GROUP BY ALL),
+score{i} AS (SELECT group_id, field, value, sum(ln({n} * a / (1 - a)) * exp(coalesce(free, 0))) AS score FROM t JOIN acc{i} USING (source) LEFT JOIN free{i} USING (group_id, field, value, source) GROUP BY ALL),
+top{i} AS (SELECT group_id, field, max(score) AS top, count(*) AS kinds FROM score{i} GROUP BY ALL),
+sum{i} AS (SELECT group_id, field, any_value(top) AS top, sum(exp(score - top)) + exp(-any_value(top)) * greatest(0, {n} - any_value(kinds)) AS norm FROM score{i} JOIN top{i} USING (group_id, field) GROUP BY ALL),
+p{i + 1} AS (SELECT group_id, field, value, coalesce(exp(score - top) / norm, p) AS p FROM p{i} LEFT JOIN score{i} USING (group_id, field, value) LEFT JOIN sum{i} USING (group_id, field))"""
+    return f"""{q},
+spelled AS (SELECT group_id, field, value, arg_max(shown, (n, shown)) AS shown FROM (SELECT group_id, field, value, shown, count(*) AS n FROM claimed GROUP BY ALL) GROUP BY ALL),
+best AS (SELECT group_id, field, arg_max(value, (round(p, 9), value)) AS value, max(round(p, 9)) AS p FROM p{survivors.ROUNDS} GROUP BY ALL)
+SELECT group_id, field, shown AS value, round(best.p, 5) AS p FROM best JOIN spelled USING (group_id, field, value)"""
+
+
 _ID = f"lower({sql.trim('store_id')})"
 _P4 = f"""
 WITH {sql.STORE}, log AS (SELECT DISTINCT {_ID} AS id, wave FROM audit_sample WHERE store_id IS NOT NULL AND wave IS NOT NULL),
@@ -90,6 +132,7 @@ SELECT source FROM s WHERE n * max_repeats < weight * (SELECT sum(n) FROM s)
 SQL: dict = {
     "p1_found": _P1,
     "p2_found": _P2,
+    "p2_fused": _p2_fused(),
     "p4_found": _P4,
     "p4_sample": _P4_SAMPLE,
     "p4_waves": _P4_WAVES,

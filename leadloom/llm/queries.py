@@ -31,6 +31,11 @@ def p2_records(spark: SparkSession, d: str) -> DataFrame:
     return r.select("group_id", "survivor_id", "size", *survivors.FUSED, *survivors.UNITED, *[F.round(f"p_{c}", 6).alias(f"p_{c}") for c in survivors.FUSED])
 
 
+def p2_fused(spark: SparkSession, d: str) -> DataFrame:
+    """The fused value of each field of each group and its probability, a row each."""
+    return _survivors(spark, d).fused.select("group_id", "field", "value", F.round("p", 5).alias("p"))
+
+
 def p2_values(spark: SparkSession, d: str) -> DataFrame:
     """Every e-mail, phone number, alias and social profile of the groups, a row each, for groups too large for one row."""
     return _survivors(spark, d).values.select("group_id", "field", "network", "value", "n")
@@ -51,7 +56,7 @@ def p4_sample(spark: SparkSession, d: str) -> DataFrame:
 def p4_waves(spark: SparkSession, d: str) -> DataFrame:
     """Of each recorded wave: how many stores the replayed sampler selects, keeps from the wave before, and finds recorded."""
     x = sampling.replay(table(spark, d, "audit_sample"), sampling.accepted_stores(table(spark, d, "stores")))
-    return x.groupBy("wave").agg(F.count("*").alias("selected"), F.count_if("kept").alias("kept"), F.count_if("kept AND recorded").alias("recorded_again"))
+    return x.groupBy("wave").agg(F.count("*").alias("selected"), F.count_if(F.col("kept")).alias("kept"), F.count_if(F.expr("kept AND recorded")).alias("recorded_again"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -93,4 +98,4 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return language.relabel(documents, found).select("doc_id", "lang")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_records, p2_values, p4_found, p4_sample, p4_waves, p5_found, p5_unmatched, p6_found, p6_items, p7_found, p7_shares, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_records, p2_fused, p2_values, p4_found, p4_sample, p4_waves, p5_found, p5_unmatched, p6_found, p6_items, p7_found, p7_shares, p8_found)}
