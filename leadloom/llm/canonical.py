@@ -15,12 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions.text import trimmed, unaccented
-from leadloom.session import cut
+from leadloom.session import cut, small
 
 #: Jaccard similarity from which a window means an entry.
 THRESHOLD = 0.43
-#: Windows have up to this many words more than the longest entry, for names that spaces fell into.
-EXTRA_WORDS = 2
 
 
 def words(value: Column) -> Column:
@@ -46,28 +44,30 @@ def tokens(joined: Column) -> Column:
 
 
 def forms(canon: DataFrame) -> DataFrame:
-    """(kind, canon_id, form, n_words): the joined-up letters of each entry and each of its other names."""
+    """(kind, canon_id, form): the joined-up letters of each entry and each of its other names."""
     f = canon.select("kind", "canon_id", F.explode(F.concat(F.array("canonical"), F.coalesce("also_known", F.array().cast("array<string>")))).alias("f"))
-    f = f.select("kind", "canon_id", words(F.col("f")).alias("w"))
-    f = f.select("kind", "canon_id", F.array_join("w", "").alias("form"), F.size("w").alias("n_words"))
-    return f.where("form <> ''").groupBy("kind", "canon_id", "form").agg(F.max("n_words").alias("n_words"))
+    return f.select("kind", "canon_id", F.array_join(words(F.col("f")), "").alias("form")).where("form <> ''").distinct()
+
+
+def _prefixes(rows: DataFrame, rarity: DataFrame, threshold: float) -> DataFrame:
+    """Columns of ``rows`` (kind, form, ...), n (tokens), pos and token of each of a set's rarest ``n - ceil(t n) + 1`` tokens."""
+    keys = rows.columns
+    x = rows.select(*keys, F.explode(tokens(F.col("form"))).alias("token")).join(small(rarity), ["kind", "token"])
+    x = x.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rarity", "token"))).alias("o")).withColumn("n", F.size("o"))
+    prefix = F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)
+    return x.select(*keys, "n", F.posexplode(F.transform(prefix, lambda t: t["token"])).alias("pos", "token"))
 
 
 def similar(windows: DataFrame, canon_forms: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(kind, form, canon_id, jaccard): the best entry of each of the distinct ``windows`` (kind, form) that has one.
 
-    Ties: the smaller Levenshtein distance, then the smaller ``canon_id``.
+    Ties: the smaller Levenshtein distance, then the smaller ``canon_id``. Sets are never sent: only the prefixes of both
+    sides are joined (the list's are broadcast where they are small), and the sets of pairs that pass are built again.
     """
-    left = windows.select("kind", "form").distinct().withColumn("canon_id", F.lit(None).cast("bigint"))
-    both = left.unionByName(canon_forms.select("kind", "form", "canon_id"))
-    both = cut(both.withColumn("tokens", tokens(F.col("form"))).withColumn("n", F.size("tokens"))).where("n > 0")
-    rarity = both.select("kind", F.explode("tokens").alias("token")).groupBy("kind", "token").agg(F.count("*").alias("rarity"))
-    ordered = both.select("kind", "form", "canon_id", "n", F.explode("tokens").alias("token")).join(rarity, ["kind", "token"])
-    ordered = ordered.groupBy("kind", "form", "canon_id", "n").agg(F.array_sort(F.collect_list(F.struct("rarity", "token"))).alias("o"))
-    ordered = cut(ordered.select("kind", "form", "canon_id", "n", F.transform("o", lambda x: x["token"]).alias("o")))
-    prefix = F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)
-    rows = ordered.select("kind", "form", "canon_id", "n", "o", F.posexplode(prefix).alias("pos", "token"))
-    x, y = rows.where("canon_id IS NULL").alias("x"), rows.where("canon_id IS NOT NULL").alias("y")
+    left, right = cut(windows.select("kind", "form").distinct()), cut(canon_forms.select("kind", "form", "canon_id").distinct())
+    both = left.unionByName(right.select("kind", "form"))
+    rarity = cut(both.select("kind", F.explode(tokens(F.col("form"))).alias("token")).groupBy("kind", "token").agg(F.count("*").alias("rarity")))
+    x, y = _prefixes(left, rarity, threshold).alias("x"), small(cut(_prefixes(right, rarity, threshold))).alias("y")
     nx, ny = F.col("x.n"), F.col("y.n")
     need = F.ceil((nx + ny) * (threshold / (1 + threshold)) - 1e-9)
     on = (
@@ -77,35 +77,43 @@ def similar(windows: DataFrame, canon_forms: DataFrame, threshold: float = THRES
         & (ny >= F.ceil(nx * threshold - 1e-9))
         & (F.least(nx - F.col("x.pos"), ny - F.col("y.pos")) >= need - F.least("x.pos", "y.pos"))
     )
-    pairs = x.join(y, on).select("x.kind", "x.form", "y.canon_id", F.col("y.form").alias("entry"), F.col("x.o").alias("ox"), F.col("y.o").alias("oy"))
-    shared = F.size(F.array_intersect("ox", "oy"))
-    pairs = pairs.dropDuplicates(["kind", "form", "canon_id", "entry"]).withColumn("jaccard", shared / (F.size("ox") + F.size("oy") - shared))
-    pairs = pairs.where(F.col("jaccard") >= threshold)
+    pairs = x.join(y, on).select("x.kind", "x.form", "y.canon_id", F.col("y.form").alias("entry"), nx.alias("nx"), ny.alias("ny")).distinct()
+    pairs = pairs.withColumn("shared", F.size(F.array_intersect(tokens(F.col("form")), tokens(F.col("entry")))))
+    pairs = pairs.withColumn("jaccard", F.col("shared") / (F.col("nx") + F.col("ny") - F.col("shared"))).where(F.col("jaccard") >= threshold)
     best = F.max(F.struct("jaccard", (-F.levenshtein("form", "entry")).alias("near"), (-F.col("canon_id")).alias("id"))).alias("b")
     return pairs.groupBy("kind", "form").agg(best).select("kind", "form", (-F.col("b.id")).alias("canon_id"), F.col("b.jaccard").alias("jaccard"))
 
 
+def windows_of(rows: DataFrame, most: str) -> DataFrame:
+    """``rows`` (w: words, and an int column ``most``) by ``form``: the joined-up letters of each run of words that has at most ``most``.
+
+    From each word on, ``2 most + 1`` characters are looked at: a run that goes on to their end has more than ``most`` letters.
+    """
+    x = rows.withColumn("_t", F.array_join("w", " ")).drop("w")
+    starts = F.expr(f"regexp_extract_all(_t, concat('(?<![^ ])(?=([^ ].{{0,', cast(2 * {most} as string), '}}))'), 1)")
+    x = x.withColumn("_from", F.explode(starts)).drop("_t").withColumn("_ws", F.split("_from", " ")).drop("_from")
+    runs = F.transform(F.sequence(F.lit(1), F.size("_ws")), lambda k: F.array_join(F.slice("_ws", F.lit(1), k), ""))
+    runs = F.filter(runs, lambda r: (F.length(r) > 0) & (F.length(r) <= F.col(most)))
+    return x.withColumn("form", F.explode(F.array_distinct(runs))).drop("_ws").distinct()
+
+
 def resolve(values: DataFrame, canon: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(kind, value, canon_id, jaccard) for each distinct (kind, value) of ``values``; ``canon_id`` 0 and similarity 0 where
     no entry is meant, so that unmatched values are reported. Null values and kinds are dropped; values without letters
-    mean nothing. A value of any length costs windows in proportion to its words."""
+    mean nothing. A value of any length costs windows in proportion to its words.
+
+    A window of L letters has at least L tokens (its numbered letters), so one of more letters than the most tokens of an
+    entry, divided by the threshold, can mean none: windows up to that length are all there are.
+    """
     f = cut(forms(canon))
-    longest = f.groupBy("kind").agg((F.max("n_words") + EXTRA_WORDS).alias("longest"), F.max(F.length("form")).alias("max_len"))
+    most = f.groupBy("kind").agg(F.floor(F.max(F.size(tokens(F.col("form")))) / threshold).cast("int").alias("most"))
     v = values.where("kind IS NOT NULL AND value IS NOT NULL").select("kind", "value").distinct()
     v = cut(v.withColumn("w", words(F.col("value"))))
     whole = v.select("kind", "value", F.array_join("w", "").alias("form"))
     exact = whole.join(f.groupBy("kind", "form").agg(F.min("canon_id").alias("canon_id")), ["kind", "form"])
-    exact = exact.select("kind", "value", "canon_id", F.lit(1.0).alias("jaccard"))
-    rest = v.join(exact.select("kind", "value"), ["kind", "value"], "left_anti").join(longest, "kind")
-    windows = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.size("w")),
-            lambda i: F.transform(F.sequence(F.lit(1), F.least(F.col("longest"), F.size("w") - i + 1)), lambda k: F.array_join(F.slice(F.col("w"), i, k), "")),
-        )
-    )
-    most = (F.col("max_len") / threshold).cast("int") + 2
-    rest = rest.where(F.size("w") > 0).select("kind", "value", "max_len", F.explode(F.array_distinct(windows)).alias("form"))
-    rest = cut(rest.where(F.length("form") <= most).select("kind", "value", "form"))
+    exact = cut(exact.select("kind", "value", "canon_id", F.lit(1.0).alias("jaccard")))
+    rest = v.join(exact.select("kind", "value"), ["kind", "value"], "left_anti").join(most, "kind").where(F.size("w") > 0)
+    rest = cut(windows_of(rest, "most").select("kind", "value", "form"))
     found = rest.join(similar(rest, f, threshold), ["kind", "form"]).groupBy("kind", "value").agg(F.max(F.struct("jaccard", F.length("form").alias("len"), (-F.col("canon_id")).alias("id"))).alias("b"))
     near = found.select("kind", "value", (-F.col("b.id")).alias("canon_id"), F.col("b.jaccard").alias("jaccard"))
     return v.select("kind", "value").join(exact.unionByName(near), ["kind", "value"], "left").select("kind", "value", F.coalesce("canon_id", F.lit(0)).alias("canon_id"), F.coalesce("jaccard", F.lit(0.0)).alias("jaccard"))

@@ -115,7 +115,7 @@ kept AS (SELECT * FROM typed t WHERE {sql.trim("value").replace(sql.BLANK, "[[:s
 v AS (SELECT DISTINCT kind, value, {_words("value")} AS w FROM kept),
 f AS (SELECT DISTINCT kind, canon_id, array_to_string(w, '') AS form FROM (SELECT kind, canon_id, {_words("n")} AS w FROM (SELECT kind, canon_id, unnest(list_prepend(canonical, coalesce(also_known, []::VARCHAR[]))) AS n FROM canon_values))),
 ft AS (SELECT *, {_tokens("form")} AS t FROM f WHERE form <> ''),
-win AS (SELECT DISTINCT kind, value, form FROM (SELECT kind, value, unnest(flatten(list_transform(range(1, len(w) + 1), lambda i: list_transform(range(i, least(len(w), i + 7) + 1), lambda j: array_to_string(w[i:j], ''))))) AS form FROM v) WHERE form <> ''),
+win AS (SELECT DISTINCT kind, value, form FROM (SELECT kind, value, unnest(flatten(list_transform(range(1, len(w) + 1), lambda i: list_transform(range(i, len(w) + 1), lambda j: array_to_string(w[i:j], ''))))) AS form FROM v) WHERE form <> ''),
 wt AS (SELECT kind, form, {_tokens("form")} AS t FROM (SELECT DISTINCT kind, form FROM win)),
 j AS (SELECT wt.kind, wt.form, ft.canon_id, ft.form AS entry, len(list_intersect(wt.t, ft.t)) AS c, len(wt.t) + len(ft.t) AS n FROM wt JOIN ft USING (kind)),
 k AS (SELECT kind, form, canon_id, c / (n - c) AS sim, -levenshtein(form, entry) AS near FROM j WHERE c / (n - c) >= {canonical.THRESHOLD}),
