@@ -53,6 +53,52 @@ def test_cases(spark):
     assert got == {(a, b) for a, b, _ in want} | {(9003, 0), (9005, 1), (9006, 1)}
 
 
+def off(w):
+    """``w`` with one letter changed, if that keeps it the same word."""
+    k = rng.randrange(len(w))
+    return w[:k] + rng.choice("aeiouxz") + w[k + 1 :] if len(w) >= 4 else w
+
+
+def altered(w):
+    """Thirds and a little more of a passage that hardly keep a fragment, in one or two pieces."""
+    third = len(w) // 3 + 1
+    yield "misspelt", " ".join(map(off, w[:third]))
+    yield "misspelt pieces", " ".join(map(off, w[:13])) + " " + NOISE[4] + " " + " ".join(map(off, w[40:53]))
+    yield "every third changed", " ".join("else" if i % 3 == 2 else x for i, x in enumerate(w[:40]))
+    yield "one word in six", " ".join(off(x) if i % 6 == 3 else x for i, x in enumerate(w[10:23])) + " " + NOISE[5] + " " + " ".join(off(x) if i % 6 == 1 else x for i, x in enumerate(w[50:62]))
+
+
+def test_altered_thirds_are_found_as_a_plain_alignment_finds_them(spark):
+    searcher, docs, want = k.Searcher(ITEMS), [], set()
+    for n, (i, p) in enumerate(ITEMS):
+        for name, t in altered(p.split()):
+            docs.append((len(docs), NOISE[n] + " " + t + " " + NOISE[(n + 5) % 20]))
+            want.add((len(docs) - 1, i))
+    found = {(a, b) for a, b, _, _ in searcher.search(*map(list, zip(*docs)))}
+    flat, starts = searcher.vocabulary.read([k.words(t) for _, t in docs])
+    first, types = k._csr(searcher.vocabulary.readings)
+    plain = set()
+    for d, t in docs:
+        for x, (i, p) in enumerate(ITEMS):
+            m = searcher._matches(x, flat[starts[d] : starts[d] + len(k.words(t))], first, types)
+            ((hits, _),) = k.carried([[m]], [np.ones(len(m), bool)])
+            plain |= {(d, i)} if hits >= k.least_words(len(m)) else set()
+    assert found == plain and len(plain & want) > 0.95 * len(want)
+
+
+def test_short_passages(spark):
+    items = spark.createDataFrame([(1, "tea"), (2, "चाय"), (3, "kiwi"), (4, "salt and tea"), (5, "the red salt pan")], "item_id bigint, passage string")
+    rows = [(1, "Some TEA, please"), (2, "हमें चाय दो"), (3, "two kiwis"), (4, "salt and more"), (5, "Salt and tea!"), (6, "a red, red salt pan"), (7, "in the red salt pan"), (8, "team"), (9, "steam and sand")]
+    got = {(r.doc_id, r.item_id) for r in k.leaked(spark.createDataFrame(rows, "doc_id bigint, text string"), items).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3), (5, 1), (5, 4), (7, 5)}
+
+
+def test_only_tags_are_tags():
+    assert k.words("price < 5 the passage and > 3") == "price 5 the passage and 3".split() and k.words("a <b the passage c> d") == "a b the passage c d".split()
+    assert k.words('a <p class="x y">b</p><br/>c <!-- said so --> <img alt=\'red tea\' src=z> d') == "a b c d x y said so red tea".split()
+    assert k.words("if a<b and c>d") == "if a b and c d".split() and k.words(None) == []
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     d = spark.createDataFrame([(i, NOISE[i] + " " + p) for i, p in ITEMS], "doc_id bigint, text string")
     items = spark.createDataFrame(ITEMS + [(None, "x"), (99, None), (3, ITEMS[3][1])], "item_id bigint, passage string")
@@ -80,7 +126,7 @@ def test_alignment_by_brute_force():
             for j in range(len(t)):
                 h[i + 1][j + 1] = max(0, h[i][j] + (1 if match[i][j] else -1), h[i][j + 1] - 1, h[i + 1][j] - 1)
                 best = max(best, h[i + 1][j + 1])
-        a, b, hits = k._piece(match, np.ones(len(p), bool))
+        a, b, hits = k.pieces([match, match[:, :1]], [np.ones(len(p), bool)] * 2)[0]
         assert (hits > 0) == (best > 0) and hits >= best and b - a >= hits
 
 
