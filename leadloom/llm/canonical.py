@@ -51,8 +51,8 @@ def forms(canon: DataFrame) -> DataFrame:
 
 def _prefixes(rows: DataFrame, rarity: DataFrame, threshold: float) -> DataFrame:
     """Columns of ``rows`` (kind, form, ...), n (tokens), pos and token of each of a set's rarest ``n - ceil(t n) + 1`` tokens."""
-    keys = rows.columns
-    x = rows.select(*keys, F.explode(tokens(F.col("form"))).alias("token")).join(small(rarity), ["kind", "token"])
+    keys = [c for c in rows.columns if c != "t"]
+    x = rows.select(*keys, F.explode("t").alias("token")).join(small(rarity), ["kind", "token"])
     x = x.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rarity", "token"))).alias("o")).withColumn("n", F.size("o"))
     prefix = F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)
     return x.select(*keys, "n", F.posexplode(F.transform(prefix, lambda t: t["token"])).alias("pos", "token"))
@@ -61,12 +61,12 @@ def _prefixes(rows: DataFrame, rarity: DataFrame, threshold: float) -> DataFrame
 def similar(windows: DataFrame, canon_forms: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(kind, form, canon_id, jaccard): the best entry of each of the distinct ``windows`` (kind, form) that has one.
 
-    Ties: the smaller Levenshtein distance, then the smaller ``canon_id``. Sets are never sent: only the prefixes of both
-    sides are joined (the list's are broadcast where they are small), and the sets of pairs that pass are built again.
+    Ties: the smaller Levenshtein distance, then the smaller ``canon_id``. Only the prefixes of both sides
+    are joined (the list's are broadcast where they are small); each set is built once and fetched for the pairs that pass.
     """
-    left, right = cut(windows.select("kind", "form").distinct()), cut(canon_forms.select("kind", "form", "canon_id").distinct())
-    both = left.unionByName(right.select("kind", "form"))
-    rarity = cut(both.select("kind", F.explode(tokens(F.col("form"))).alias("token")).groupBy("kind", "token").agg(F.count("*").alias("rarity")))
+    left, right = (cut(x.distinct().withColumn("t", tokens(F.col("form")))) for x in (windows.select("kind", "form"), canon_forms.select("kind", "form", "canon_id")))
+    both = left.select("kind", "t").unionByName(right.select("kind", "t"))
+    rarity = cut(both.select("kind", F.explode("t").alias("token")).groupBy("kind", "token").agg(F.count("*").alias("rarity")))
     x, y = _prefixes(left, rarity, threshold).alias("x"), small(cut(_prefixes(right, rarity, threshold))).alias("y")
     nx, ny = F.col("x.n"), F.col("y.n")
     need = F.ceil((nx + ny) * (threshold / (1 + threshold)) - 1e-9)
@@ -77,9 +77,10 @@ def similar(windows: DataFrame, canon_forms: DataFrame, threshold: float = THRES
         & (ny >= F.ceil(nx * threshold - 1e-9))
         & (F.least(nx - F.col("x.pos"), ny - F.col("y.pos")) >= need - F.least("x.pos", "y.pos"))
     )
-    pairs = x.join(y, on).select("x.kind", "x.form", "y.canon_id", F.col("y.form").alias("entry"), nx.alias("nx"), ny.alias("ny")).distinct()
-    pairs = pairs.withColumn("shared", F.size(F.array_intersect(tokens(F.col("form")), tokens(F.col("entry")))))
-    pairs = pairs.withColumn("jaccard", F.col("shared") / (F.col("nx") + F.col("ny") - F.col("shared"))).where(F.col("jaccard") >= threshold)
+    pairs = x.join(y, on).select("x.kind", "x.form", "y.canon_id", F.col("y.form").alias("entry")).distinct()
+    pairs = pairs.join(left.withColumnRenamed("t", "tx"), ["kind", "form"]).join(small(right.select("kind", "canon_id", F.col("form").alias("entry"), F.col("t").alias("ty"))), ["kind", "canon_id", "entry"])
+    pairs = pairs.withColumn("shared", F.size(F.array_intersect("tx", "ty")))
+    pairs = pairs.withColumn("jaccard", F.col("shared") / (F.size("tx") + F.size("ty") - F.col("shared"))).where(F.col("jaccard") >= threshold)
     best = F.max(F.struct("jaccard", (-F.levenshtein("form", "entry")).alias("near"), (-F.col("canon_id")).alias("id"))).alias("b")
     return pairs.groupBy("kind", "form").agg(best).select("kind", "form", (-F.col("b.id")).alias("canon_id"), F.col("b.jaccard").alias("jaccard"))
 
