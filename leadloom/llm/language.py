@@ -9,7 +9,10 @@ rounds fit again on only those sentences that the last model puts in the languag
 mixed texts do little harm.
 
 A document's sentences are decoded together (Viterbi; changing the language costs ``SWITCH`` nats), so that lines without
-evidence (names, addresses, prices) follow their neighbours. Words repeat, so each task keeps the vectors of words it has met.
+evidence (names, addresses, prices) follow their neighbours. One state more stands for languages that the model does not
+know: pieces by their rank in the vocabulary alone, which wins where no known language explains a text better.
+
+Words repeat, so each task keeps the vectors of words it has met; new words, sentences and documents are worked on side by side.
 """
 
 from __future__ import annotations
@@ -31,8 +34,6 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Labelled documents that the model is fitted on, for each language: those of the smallest hashes.
 SAMPLE_PER_LABEL = 1500
 OVERSAMPLE = 4
-#: Characters of a sampled document that the fit reads at most (classification always reads whole texts).
-SAMPLE_CHARS = 20_000
 EM_ROUNDS = 3
 #: How often the sample is fitted, each time on the sentences that the last model agrees with.
 FITS = 3
@@ -45,10 +46,14 @@ MIN_MARGIN = 4.0
 #: A language is fitted in a script that at least this share of its documents are mostly written in: wrong labels and mixed
 #: texts bring less than that, a second script of a language brings more.
 LEAST_SHARE = 0.25
-MAX_PIECE = 24
-#: Longer words (keys, data) are read in stretches of so many bytes.
-MAX_WORD = 64
 CACHE = 400_000
+#: Documents are worked on together until they have so many characters.
+BATCH_CHARS = 2_000_000
+#: Words of more bytes are scored one by one, scaled at each byte.
+LONG_WORD = 100
+#: What no known language explains: its name, and how many nats a sentence in it starts behind.
+OTHER = "und"
+OTHER_HANDICAP = 8.0
 
 #: The languages and the names they have in labels (ISO 639-1, 639-2, English name).
 LANGUAGES = {
@@ -97,59 +102,87 @@ def word_of(token: str) -> str:
 
 
 def read_vocabulary(path: str = VOCABULARY) -> list[bytes]:
-    """Pieces of a .tiktoken file that are not longer than MAX_PIECE, in its order."""
+    """All pieces of a .tiktoken file, in its order."""
     with open(path, "rb") as f:
-        pieces = [base64.b64decode(line.split()[0]) for line in f if line.strip()]
-    return [p for p in pieces if len(p) <= MAX_PIECE]
-
-
-def _spans(word: bytes, index: dict[bytes, int]) -> list[list[tuple[int, int]]]:
-    """For each end position the (start, piece) pairs that end there."""
-    n = len(word)
-    ends: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
-    for j in range(1, n + 1):
-        for i in range(max(0, j - MAX_PIECE), j):
-            k = index.get(word[i:j])
-            if k is not None:
-                ends[j].append((i, k))
-    return ends
-
-
-def _stretches(word: str) -> list[bytes]:
-    b = (" " + word).encode("utf-8", "replace")
-    return [b[i : i + MAX_WORD] for i in range(0, len(b), MAX_WORD)]
-
-
-def fit(counts: Counter, index: dict[bytes, int], rounds: int = EM_ROUNDS) -> np.ndarray:
-    """Piece probabilities of one language from its word counts."""
-    words = [(b, c, _spans(b, index)) for w, c in counts.items() for b in _stretches(w)]
-    p = np.zeros(len(index))
-    for _, c, ends in words:  # start: every piece wherever it occurs, longer ones preferred
-        for j, pairs in enumerate(ends):
-            for i, k in pairs:
-                p[k] += c * (j - i)
+        return [base64.b64decode(line.split()[0]) for line in f if line.strip()]
+
+
+class Pieces:
+    """The vocabulary for looking up the pieces that start at a place of a word."""
+
+    def __init__(self, pieces: list[bytes]):
+        self.index = {b: k for k, b in enumerate(pieces)}
+        self.prefixes = {b[:n] for b in self.index for n in range(1, len(b) + 1)}
+
+    def spans(self, word: bytes) -> list[tuple[int, int, int]]:
+        """(start, end, piece) of every piece that occurs in ``word``."""
+        out, n = [], len(word)
+        for i in range(n):
+            j = i + 1
+            while j <= n and (x := word[i:j]) in self.prefixes:
+                if (k := self.index.get(x)) is not None:
+                    out.append((i, j, k))
+                j += 1
+        return out
+
+
+def _bytes(word: str) -> bytes:
+    return (" " + word).encode("utf-8", "replace")
+
+
+class Lattice:
+    """All segmentations of many words. Nodes are the places between bytes; the edges of all words are worked on together by
+    their place in the word."""
+
+    def __init__(self, words: list[bytes], pieces: Pieces):
+        size = np.array([len(b) + 1 for b in words], dtype=np.int64)
+        self.first = np.cumsum(size) - size
+        self.last = self.first + size - 1
+        spans = [(w, i, j, k) for w, b in enumerate(words) for i, j, k in pieces.spans(b)]
+        e = np.array(spans, dtype=np.int64).reshape(-1, 4)
+        begin, end = self.first[e[:, 0]] + e[:, 1], self.first[e[:, 0]] + e[:, 2]
+        self.nodes = int(size.sum())
+        self.forward = self._levels(begin, end, e[:, 3], e[:, 2])
+        self.backward = self._levels(end, begin, e[:, 3], -e[:, 1])
+
+    @staticmethod
+    def _levels(source: np.ndarray, target: np.ndarray, piece: np.ndarray, level: np.ndarray) -> list[tuple]:
+        """(targets, where the edges of each begin, sources, pieces) of each level, in order."""
+        order = np.lexsort((target, level))
+        source, target, piece, level = source[order], target[order], piece[order], level[order]
+        out, cuts = [], np.flatnonzero(np.diff(level, prepend=level[:1] - 1))
+        for a, b in zip(cuts, np.append(cuts[1:], len(level))):
+            heads = np.flatnonzero(np.diff(target[a:b], prepend=-1))
+            out.append((target[a:b][heads], heads, source[a:b], piece[a:b]))
+        return out
+
+    def sums(self, levels: list[tuple], at: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Of each node, the sum over all ways from ``at`` to it; ``p``: a row a piece, a column a language."""
+        out = np.zeros((self.nodes, p.shape[1]))
+        out[at] = 1.0
+        for targets, heads, sources, pieces in levels:
+            out[targets] = np.add.reduceat(out[sources] * p[pieces], heads, axis=0)
+        return out
+
+
+def fit(counts: Counter, pieces: Pieces, rounds: int = EM_ROUNDS) -> np.ndarray:
+    """Piece probabilities of one language from its word counts. (A word so long that its probability is no double adds nothing.)"""
+    words = sorted(counts)
+    x, c = Lattice([_bytes(w) for w in words], pieces), np.array([counts[w] for w in words], dtype=float)
+    word_of_node = np.repeat(np.arange(len(words)), x.last - x.first + 1)
+    p = np.zeros(len(pieces.index))
+    for _, _, sources, ks in x.forward:  # start: every piece wherever it occurs, longer ones preferred
+        np.add.at(p, ks, c[word_of_node[sources]])
+    p *= np.array([len(b) for b in pieces.index])
     p /= max(p.sum(), 1.0)
     for _ in range(rounds):
-        q = np.zeros(len(index))
-        for b, c, ends in words:
-            n = len(b)
-            fwd = [0.0] * (n + 1)
-            fwd[0] = 1.0
-            for j in range(1, n + 1):
-                fwd[j] = sum(fwd[i] * p[k] for i, k in ends[j])
-            if fwd[n] <= 0.0:
-                continue
-            bwd = [0.0] * (n + 1)
-            bwd[n] = 1.0
-            for j in range(n, 0, -1):
-                if bwd[j]:
-                    for i, k in ends[j]:
-                        bwd[i] += bwd[j] * p[k]
-            z = c / fwd[n]
-            for j in range(1, n + 1):
-                if bwd[j]:
-                    for i, k in ends[j]:
-                        q[k] += z * fwd[i] * p[k] * bwd[j]
+        fwd, bwd = x.sums(x.forward, x.first, p[:, None])[:, 0], x.sums(x.backward, x.last, p[:, None])[:, 0]
+        total = fwd[x.last]
+        z = np.divide(c, total, out=np.zeros_like(c), where=total > 0)
+        q = np.zeros(len(p))
+        for targets, heads, sources, ks in x.forward:
+            target = np.repeat(targets, np.diff(np.append(heads, len(sources))))
+            np.add.at(q, ks, z[word_of_node[sources]] * fwd[sources] * p[ks] * bwd[target])
         p = q / max(q.sum(), 1.0)
     return p
 
@@ -164,8 +197,6 @@ class Words(dict):
 
     def __missing__(self, token: str) -> tuple[str, int]:
         w = word_of(token)
-        if len(self) > CACHE:
-            self.clear()
         self[token] = found = (w, latin(w))
         return found
 
@@ -181,41 +212,40 @@ class Model:
 
     def __init__(self, pieces: list[bytes], languages: list[str], tables: list[np.ndarray], prior: np.ndarray):
         """``tables``: for each script a row a piece and a column a language; ``prior``: log-probability of (script, language)."""
-        self.languages, self.index, self.tables, self.prior = languages, {b: k for k, b in enumerate(pieces)}, tables, prior
+        self.languages, self.pieces, self.tables, self.prior = languages, Pieces(pieces), tables, prior
         self._clear()
 
     def _clear(self) -> None:
-        """Forgets the tokens met: their numbers, and by number the script and the vector of each."""
+        """Forgets the tokens met: their numbers (0: can tell no language), and by number the script and the vector of each."""
         self.numbers: dict[str, int] = {}
-        self.met = 0
-        self.scripts = np.zeros(1024, np.int8)
-        self.vectors = np.zeros((1024, len(self.languages)))
+        self.words: dict[str, int] = {"": 0}
+        self.waiting: list[str] = []
+        self.scripts = np.zeros(1, np.int64)
+        self.vectors = np.zeros((1, len(self.languages)))
 
-    def number(self, token: str) -> int:
-        """Of a token in the tables; -1 for one that can tell no language."""
+    def _number(self, token: str) -> int:
+        """Of a token; a new word waits to be scored with others."""
         k = self.numbers.get(token)
         if k is None:
             w = word_of(token)
-            k = self.numbers.get(w, -2) if w else -1
-            if k == -2:
-                k = self.met
-                if k == len(self.scripts):
-                    self.scripts = np.concatenate([self.scripts, np.zeros_like(self.scripts)])
-                    self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
-                self.scripts[k], self.vectors[k] = latin(w), self._log_probability(w)
-                self.met += 1
-                self.numbers[w] = k
+            k = self.words.get(w)
+            if k is None:
+                k = self.words[w] = len(self.words)
+                self.waiting.append(w)
             self.numbers[token] = k
         return k
 
     @classmethod
     def of(cls, pieces: list[bytes], rows: pd.DataFrame) -> "Model":
-        """From rows (code, script, piece, p); the row of piece -1 has the number of words that the distribution is fitted on."""
+        """From rows (code, script, piece, p); the row of piece -1 has the number of words that the distribution is fitted on.
+
+        The last column is OTHER: the pieces by their rank alone."""
         languages = sorted(set(rows["code"]))
         if not languages:
             return cls(pieces, [], [np.zeros((len(pieces), 0))] * 2, np.zeros((2, 0)))
         column = {x: i for i, x in enumerate(languages)}
         byte = np.array([len(b) == 1 for b in pieces], dtype=float)
+        rank = 1.0 / (np.arange(len(pieces)) + 100.0)
         tables, weights = [], np.ones((2, len(languages)))
         for script in (0, 1):
             part = rows[rows["script"] == script]
@@ -226,105 +256,207 @@ class Model:
             p[part["piece"].to_numpy(), [column[x] for x in part["code"]]] = part["p"].to_numpy()
             common = p @ (weights[script] / weights[script].sum())
             common = 0.9 * common + 0.1 * byte / max(byte.sum(), 1.0)
-            tables.append((1 - COMMON) * p + COMMON * common[:, None])
-        return cls(pieces, languages, tables, np.log(weights / weights.sum()))
-
-    def _log_probability(self, w: str) -> np.ndarray:
-        """Of a word in each language, by the forward sums over all segmentations."""
-        n, table = len(self.languages), self.tables[latin(w)]
-        v = np.zeros(n)
-        for b in _stretches(w):
-            fwd = [np.ones(n)]
-            for pairs in _spans(b, self.index)[1:]:
-                fwd.append((np.stack([fwd[i] for i, _ in pairs]) * table[[k for _, k in pairs]]).sum(axis=0) if pairs else np.zeros(n))
-            v = v + np.log(np.maximum(fwd[-1], 1e-300))
-        return v
+            tables.append(np.hstack([(1 - COMMON) * p + COMMON * common[:, None], (rank / rank.sum())[:, None]]))
+        prior = np.log(weights / weights.sum())
+        return cls(pieces, [*languages, OTHER], tables, np.hstack([prior, prior.max(axis=1, keepdims=True) - OTHER_HANDICAP]))
+
+    def _score(self) -> None:
+        """Log-probabilities of the words that wait, in each language, by the forward sums over all segmentations."""
+        words, self.waiting = self.waiting, []
+        if not words:
+            return
+        scripts = np.array([latin(w) for w in words], dtype=np.int64)
+        out = np.zeros((len(words), len(self.languages)))
+        raw = [_bytes(w) for w in words]
+        for script in (0, 1):
+            which = [k for k in np.flatnonzero(scripts == script).tolist() if len(raw[k]) <= LONG_WORD]
+            if which:
+                x = Lattice([raw[k] for k in which], self.pieces)
+                out[which] = np.log(np.maximum(x.sums(x.forward, x.first, self.tables[script])[x.last], 1e-300))
+        for k, b in enumerate(raw):
+            if len(b) > LONG_WORD:
+                out[k] = self._long(b, self.tables[scripts[k]])
+        self.scripts, self.vectors = np.concatenate([self.scripts, scripts]), np.concatenate([self.vectors, out])
+
+    def _long(self, b: bytes, table: np.ndarray) -> np.ndarray:
+        """Of one word of any length: the same sums, scaled to 1 at each byte, with the logarithms of the scales added up."""
+        ends: dict[int, list[tuple[int, int]]] = {}
+        for i, j, k in self.pieces.spans(b):
+            ends.setdefault(j, []).append((i, k))
+        fwd, scale = {0: np.ones(table.shape[1])}, {0: np.zeros(table.shape[1])}
+        for j in range(1, len(b) + 1):
+            pairs = ends.get(j, [])
+            top = np.max([scale[i] for i, _ in pairs], axis=0) if pairs else scale[j - 1]
+            v = sum((fwd[i] * table[k] * np.exp(scale[i] - top) for i, k in pairs), np.zeros(table.shape[1]))
+            unit = np.where(v > 0, v, 1.0)
+            fwd[j], scale[j] = v / unit, top + np.log(unit)
+            if j >= 1000 and j % 1000 == 0:  # no piece is so long
+                for i in [i for i in fwd if i < j - 500]:
+                    del fwd[i], scale[i]
+        return np.where(fwd[len(b)] > 0, scale[len(b)], np.log(1e-300))
 
     def word(self, w: str) -> np.ndarray:
         """Log-probability of a word in each language."""
-        return self.vectors[self.number(w)]
-
-    def sentence(self, text: str) -> tuple[np.ndarray, int]:
-        """Log-probability of a sentence's words in the script that most of them are in (names in another script tell
-        nothing) and of that script, in each language; and how many words these are. Zeros for no words."""
-        get, number = self.numbers.get, self.number
-        ids = np.array([k for t in text.split() if (k := get(t) if t in self.numbers else number(t)) >= 0], dtype=np.int64)
-        if not len(ids):
-            return np.zeros(len(self.languages)), 0
-        script = self.scripts[ids]
-        main = int(2 * int(script.sum()) >= len(ids))
-        ids = ids[script == main]
-        return self.vectors[ids].sum(axis=0) + self.prior[main], len(ids)
-
-    def agrees(self, text: str, language: str) -> bool:
-        """Whether ``language`` is the best for a sentence."""
-        x, _ = self.sentence(text)
-        return bool(x[self.languages.index(language)] >= x.max())
+        k = self._number(w)
+        self._score()
+        return self.vectors[k]
+
+    def rows(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For each sentence, its log-probability in each language, of the words in the script that most of them are in (names in
+        another script tell nothing) and of that script; and how many words these are. Zeros for no words."""
+        get, tokens, sizes = self._number, [], []
+        for x in parts:
+            t = x.split()
+            tokens += t
+            sizes.append(len(t))
+        ids = np.fromiter(map(get, tokens), np.int64, len(tokens))
+        self._score()
+        owner = np.repeat(np.arange(len(parts)), sizes)[ids > 0]
+        ids = ids[ids > 0]
+        script, n = self.scripts[ids], np.bincount(owner, minlength=len(parts))
+        main = (2 * np.bincount(owner, weights=script, minlength=len(parts)) >= n).astype(np.int64)
+        keep = script == main[owner]
+        owner, ids = owner[keep], ids[keep]
+        out, words = np.zeros((len(parts), len(self.languages))), np.bincount(owner, minlength=len(parts))
+        heads = np.flatnonzero(np.diff(owner, prepend=-1))
+        if len(heads):
+            out[owner[heads]] = np.add.reduceat(self.vectors[ids], heads, axis=0) + self.prior[main[owner[heads]]]
+        return out, words
+
+    def kept(self, texts: list[str], language: str | None) -> list[tuple[int, list[str], int]]:
+        """(text, words, script) of the sentences of ``texts`` that have ``language`` as their best, or of all for None."""
+        owner, parts = [], []
+        for d, t in enumerate(texts):
+            found = sentences(t)
+            parts += [t[a:b] for a, b in found]
+            owner += [d] * len(found)
+        good = np.ones(len(parts), bool)
+        if language is not None:
+            s, _ = self.rows(parts)
+            good = s[:, self.languages.index(language)] >= s.max(axis=1)
+        out, memo = [], Words()
+        for x in np.flatnonzero(good):
+            ws, script = memo.main(parts[x])
+            if ws:
+                out.append((owner[x], ws, script))
+        return out
 
     def segments(self, text: str | None) -> list[tuple[int, int, str, float, int]]:
-        """(start, end, language, confidence, sentences that tell it) of each stretch in one language; none if nothing tells a language.
+        """``each`` for one text."""
+        return self.each([text])[0]
 
-        ``confidence`` is the posterior probability of the language for the stretch, all languages being equally likely before.
+    def each(self, texts: list[str | None]) -> list[list[tuple[int, int, str, float, int]]]:
+        """For each text, (start, end, language, confidence, sentences that tell it) of each stretch in one language; none if nothing
+        tells a language. The language is OTHER where no known one explains the stretch.
+
+        ``confidence`` is the posterior probability that all sentences of the stretch are in the language, all sequences of
+        languages being weighted by the sentences and by SWITCH for each change (forward-backward over the whole text).
         """
-        spans = sentences(text) if text else []
-        if not spans or not self.languages:
-            return []
-        if self.met > CACHE:
+        out: list[list] = [[] for _ in texts]
+        spans = {d: sentences(t) for d, t in enumerate(texts) if t}
+        if not self.languages or not spans:
+            return out
+        if len(self.words) > CACHE:
             self._clear()
-        each = [self.sentence(text[a:b]) for a, b in spans]
-        s, words = np.stack([x for x, _ in each]), [n for _, n in each]
-        n = len(self.languages)
-        best, back = s[0], []
-        for row in s[1:]:
-            k = int(best.argmax())
-            change = best[k] - SWITCH
-            back.append(np.where(best >= change, np.arange(n), k))
-            best = np.maximum(best, change) + row
-        path = [int(best.argmax())]
-        for b in reversed(back):
-            path.append(int(b[path[-1]]))
-        path.reverse()
-        rows = np.arange(len(spans))
-        others = s.copy()
-        others[rows, path] = -np.inf
-        tells = (np.array(words) >= MIN_WORDS) & (s[rows, path] - others.max(axis=1) >= MIN_MARGIN)
-        out = []
-        i = 0
-        while i < len(spans):
-            j = i
-            while j < len(spans) and path[j] == path[i]:
-                j += 1
-            total = s[i:j].sum(axis=0)
-            post = np.exp(total - total.max())
-            out.append((spans[i][0], spans[j - 1][1], self.languages[path[i]], float(post[path[i]] / post.sum()), int(tells[i:j].sum())))
-            i = j
-        if out and not any(x[4] for x in out):  # nothing leads clearly: the stretch of most words stands for the text
-            size = [sum(w for (a, _), w in zip(spans, words) if x[0] <= a < x[1]) for x in out]
-            k = int(np.argmax(size))
-            if size[k] >= MIN_WORDS:
-                out[k] = (*out[k][:4], 1)
+        docs = sorted(spans, key=lambda d: -len(spans[d]))  # those with a sentence number r are the first ones
+        s, words = self.rows([texts[d][a:b] for d in docs for a, b in spans[d]])
+        size = np.array([len(spans[d]) for d in docs])
+        start = np.cumsum(size) - size
+        path, alpha, beta = self._decode(s, start, size)
+        total = np.logaddexp.reduce(alpha[start + size - 1], axis=1)
+        known = len(self.languages) - 1
+        at = np.arange(len(s))
+        others = s[:, :known].copy()
+        others[at[path < known], path[path < known]] = -np.inf
+        tells = (words >= MIN_WORDS) & (path < known)
+        margin = s[at, path] - others.max(axis=1, initial=-np.inf)
+        new = np.ones(len(s), bool)
+        new[1:] = path[1:] != path[:-1]
+        new[start] = True
+        heads = np.flatnonzero(new)
+        tails = np.append(heads[1:], len(s)) - 1
+        # all sentences of a stretch in its language: into its first, stays, out of its last
+        inner = np.append(0, np.cumsum(s[at, path]))
+        doc = np.searchsorted(start, heads, side="right") - 1
+        sure = np.exp(np.minimum(0.0, alpha[heads, path[heads]] + inner[tails + 1] - inner[heads + 1] + beta[tails, path[tails]] - total[doc]))
+        count = np.add.reduceat((tells & (margin >= MIN_MARGIN)).astype(int), heads)
+        size_of = np.add.reduceat(words, heads)
+        lead = np.add.reduceat(np.where(path < known, s[at, path], 0.0), heads)
+        for k, (h, t, d) in enumerate(zip(heads.tolist(), tails.tolist(), doc.tolist())):
+            a, b = spans[docs[d]][h - start[d]][0], spans[docs[d]][t - start[d]][1]
+            out[docs[d]].append((a, b, self.languages[path[h]], float(sure[k]), int(count[k]), int(size_of[k]), h, t))
+        for d, found in enumerate(out):
+            if found and not any(x[4] for x in found):  # nothing leads clearly: the stretch of most words stands for the text
+                k = max(range(len(found)), key=lambda i: found[i][5])
+                _, _, lang, _, _, n, h, t = found[k]
+                if lang != OTHER and n and (n >= MIN_WORDS or _lead(s[h : t + 1, :known].sum(axis=0)) >= MIN_MARGIN):
+                    found[k] = (*found[k][:4], 1)
+            out[d] = [x[:5] for x in found]
         return out
 
+    @staticmethod
+    def _decode(s: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The best path, and the logarithms of the forward and backward sums, of texts (longest first) side by side."""
+        stay, change = np.log1p(-np.exp(-SWITCH)), -SWITCH
+        n, most = s.shape[1], int(size[0])
+        active = [int(np.searchsorted(-size, -r, side="left")) for r in range(most + 1)]  # texts with more than r sentences
+        path, back, alpha, beta = np.zeros(len(s), np.int64), np.zeros(s.shape, np.int16), s.copy(), np.zeros(s.shape)
+        best = s[start].copy()
+        every = np.arange(n)
+        for r in range(1, most):
+            k = active[r]
+            at = start[:k] + r
+            top = best[:k].argmax(axis=1)
+            moved = best[np.arange(k), top] - SWITCH
+            back[at] = np.where(best[:k] >= moved[:, None], every, top[:, None])
+            best[:k] = np.maximum(best[:k], moved[:, None]) + s[at]
+            a = alpha[at - 1]
+            alpha[at] = s[at] + np.logaddexp(a + stay, np.logaddexp.reduce(a, axis=1, keepdims=True) + change)
+        path[start + size - 1] = best.argmax(axis=1)
+        for r in range(most - 2, -1, -1):
+            at = start[: active[r + 1]] + r
+            path[at] = back[at + 1, path[at + 1]]
+            b = s[at + 1] + beta[at + 1]
+            beta[at] = np.logaddexp(b + stay, np.logaddexp.reduce(b, axis=1, keepdims=True) + change)
+        return path, alpha, beta
+
+
+def _lead(row: np.ndarray) -> float:
+    """By how much the best leads."""
+    two = np.sort(row)[-2:]
+    return float(two[-1] - two[0]) if len(row) > 1 else np.inf
+
+
+def batches(ids, texts) -> Iterator[tuple[list, list]]:
+    """Texts until they have BATCH_CHARS characters together."""
+    some, parts, size = [], [], 0
+    for d, t in zip(ids, texts):
+        some.append(d)
+        parts.append(t)
+        size += len(t or "")
+        if size >= BATCH_CHARS:
+            yield some, parts
+            some, parts, size = [], [], 0
+    if some:
+        yield some, parts
 
-def _fit_frame(pieces: list[bytes], old: Model | None):
-    index = {b: k for k, b in enumerate(pieces)}
 
+def _fit_frame(pieces: list[bytes], old: Model | None):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         lang, counts, documents = pdf["code"].iloc[0], (Counter(), Counter()), [0, 0]
-        memo = Words()
-        for text in sorted(pdf["text"]):  # sums of doubles depend on their order
-            here = [0, 0]
-            for a, b in sentences(text):
-                ws, script = memo.main(text[a:b])
-                if ws and (old is None or old.agrees(text[a:b], lang)):
-                    counts[script].update(ws)
-                    here[script] += len(ws)
-            documents[here[1] > here[0]] += sum(here) > 0
+        model = old or Model(pieces, [], [], np.zeros((2, 0)))
+        for _, texts in batches(pdf["text"], pdf["text"]):
+            here = np.zeros((len(texts), 2), np.int64)
+            for d, ws, script in model.kept(texts, lang if old else None):
+                counts[script].update(ws)
+                here[d, script] += len(ws)
+            mostly = np.bincount((here[:, 1] > here[:, 0])[here.sum(axis=1) > 0], minlength=2)
+            documents = [documents[0] + int(mostly[0]), documents[1] + int(mostly[1])]
         out = []
         for script in (0, 1):
             if documents[script] < LEAST_SHARE * sum(documents):
                 counts[script].clear()
-            p = fit(counts[script], index)
+            p = fit(counts[script], model.pieces)
             k = np.flatnonzero(p > 1e-9)
             out.append(pd.DataFrame({"code": lang, "script": script, "piece": np.append(k, -1).astype("int64"), "p": np.append(p[k], counts[script].total())}))
         return pd.concat(out)
@@ -333,7 +465,7 @@ def _fit_frame(pieces: list[bytes], old: Model | None):
 
 
 def sample(documents: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> DataFrame:
-    """(code, text): for each language the different labelled texts of the smallest hashes, cut to SAMPLE_CHARS.
+    """(code, text): for each language the different labelled texts of the smallest hashes, whole.
 
     Of a language with many documents only hashes below a bound (some ``OVERSAMPLE`` times what is wanted) are looked at, so
     that texts are neither compared nor moved beyond that.
@@ -344,7 +476,7 @@ def sample(documents: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> DataFrame
     share = F.lit(0.0)
     for r in most:
         share = F.when(F.col("code") == r.code, F.lit(min(1.0, OVERSAMPLE * per_label / r.n))).otherwise(share)
-    x = x.where(F.col("h") <= (share * 2.0 - 1.0) * float((1 << 63) - 1025)).select("code", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    x = x.where(F.col("h") <= (share * 2.0 - 1.0) * float((1 << 63) - 1025)).select("code", "h", "text")
     rank = F.row_number().over(Window.partitionBy("code").orderBy("h"))
     return x.dropDuplicates(["code", "h"]).withColumn("rank", rank).where(F.col("rank") <= per_label).select("code", "text")
 
@@ -363,20 +495,21 @@ def segments(documents: DataFrame, model: Model) -> DataFrame:
     """(doc_id, start, end, lang, confidence, sentences) of every document, whole texts. Null and empty texts, and texts
     without words, have no rows. Positions are in characters."""
     spark: SparkSession = documents.sparkSession
-    shared = spark.sparkContext.broadcast((list(model.index), model.languages, model.tables, model.prior))
+    shared = spark.sparkContext.broadcast((list(model.pieces.index), model.languages, model.tables, model.prior))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Model(*shared.value)
         for f in frames:
-            rows = [(d, *x) for d, t in zip(f["doc_id"], f["text"]) for x in m.segments(t)]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "lang", "confidence", "sentences"])
+            for ids, texts in batches(f["doc_id"], f["text"]):
+                rows = [(d, *x) for d, found in zip(ids, m.each(texts)) for x in found]
+                yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "lang", "confidence", "sentences"])
 
     return documents.select("doc_id", "text").mapInPandas(run, "doc_id bigint, start bigint, end bigint, lang string, confidence double, sentences bigint")
 
 
 def languages_of(found: DataFrame) -> DataFrame:
-    """(doc_id, lang, confidence): the languages that at least one full sentence of the document is in."""
-    return found.where("sentences > 0").groupBy("doc_id", "lang").agg(F.max("confidence").alias("confidence"))
+    """(doc_id, lang, confidence): the languages that at least one full sentence of the document is in (OTHER is none)."""
+    return found.where("sentences > 0").where(F.col("lang") != OTHER).groupBy("doc_id", "lang").agg(F.max("confidence").alias("confidence"))
 
 
 def relabel(documents: DataFrame, found: DataFrame) -> DataFrame:

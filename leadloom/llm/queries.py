@@ -92,10 +92,17 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return r.select("source", F.round("weight", 6).alias("weight"), "docs", "tokens", "budget", "used", "uses", "most", "share", "of_target", "reachable")
 
 
+def p8_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every stretch of every document in one language: where it begins and ends, and how sure that is."""
+    documents = table(spark, d, "documents")
+    x = language.segments(documents, language.train(documents))
+    return x.select("doc_id", "start", "end", "lang", F.round("confidence", 4).alias("confidence"), "sentences")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
     found = language.segments(documents, language.train(documents))
     return language.relabel(documents, found).select("doc_id", "lang")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_records, p2_fused, p2_values, p4_found, p4_sample, p4_waves, p5_found, p5_unmatched, p6_found, p6_items, p7_found, p7_shares, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_records, p2_fused, p2_values, p4_found, p4_sample, p4_waves, p5_found, p5_unmatched, p6_found, p6_items, p7_found, p7_shares, p8_found, p8_segments)}

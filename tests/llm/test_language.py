@@ -1,3 +1,4 @@
+import itertools
 import random
 from collections import Counter
 
@@ -61,26 +62,54 @@ def test_segments_cover_and_are_sure(spark, model):
     assert abs(seg[0][1] - len(" ".join(t.split(".")[:3]))) < 8
 
 
+def test_decoding_by_brute_force():
+    """Path and posteriors of all sequences of languages, for texts of several lengths side by side."""
+    r = np.random.default_rng(1)
+    size = np.array([4, 3, 1])
+    start, s = np.cumsum(size) - size, r.normal(0, 4, (8, 3))
+    path, alpha, beta = g.Model._decode(s, start, size)
+    stay, change = np.log1p(-np.exp(-g.SWITCH)), -g.SWITCH  # a change is to any language, the old one too
+    for a, n in zip(start, size):
+        every = list(itertools.product(range(3), repeat=int(n)))
+        best = max(every, key=lambda w: sum(s[a + i, x] for i, x in enumerate(w)) - g.SWITCH * sum(x != y for x, y in zip(w, w[1:])))
+        assert tuple(path[a : a + n]) == best
+        steps = lambda w: sum(np.logaddexp(stay, change) if x == y else change for x, y in zip(w, w[1:]))
+        weight = {w: np.exp(sum(s[a + i, x] for i, x in enumerate(w)) + steps(w)) for w in every}
+        total = sum(weight.values())
+        for i in range(n):
+            for x in range(3):
+                assert np.isclose(np.exp(alpha[a + i, x] + beta[a + i, x] - np.logaddexp.reduce(alpha[a + n - 1])), sum(v for w, v in weight.items() if w[i] == x) / total)
+
+
+def test_short_texts_and_unknown_languages(spark, model):
+    rows = [(1, "Der Messingteller.", None), (2, "la théière", None), (3, "Zorbatu kilampo wuzzek drimol fanqua yolpet brunzig hextar. " * 3, None), (4, "12 €, +91 44 55", None)]
+    assert found(spark, model, rows) == {(1, "de"), (2, "fr")}
+    (x,) = model.segments(rows[2][1])
+    assert x[2] == g.OTHER and x[3] > 0.9
+
+
 def test_forward_is_the_sum_over_segmentations():
     pieces = [b" ", b"a", b"b", b"ab", b"ba", b" a", b"aba"]
     p = np.array([0.2, 0.1, 0.15, 0.2, 0.05, 0.2, 0.1])
-    m = g.Model(pieces, ["x"], [p[:, None], p[:, None]], np.zeros((2, 1)))
+    m = g.Model(pieces, ["x", g.OTHER], [np.stack([p, p], axis=1)] * 2, np.zeros((2, 2)))
 
     def total(b):
         return 1.0 if not b else sum(p[k] * total(b[len(x) :]) for k, x in enumerate(pieces) if b.startswith(x))
 
     for w in ("a", "ab", "ababa", "bbaab"):
-        assert np.isclose(m.word(w)[0], np.log(total(b" " + w.encode())))
+        assert np.isclose(m.word(w)[0], np.log(total(b" " + w.encode()))) and np.isclose(m._long(b" " + w.encode(), m.tables[0])[0], m.word(w)[0])
+    a, b = m.word("ab" * 3000), m.word("ab" * 6000)  # far below the least double
+    assert np.isfinite(b).all() and np.allclose(b / a, 2, rtol=1e-3) and a[0] < -1000
 
 
 def test_fit_raises_the_likelihood():
     pieces = [bytes([i]) for i in range(256)] + [b" the", b"the", b"th", b"he", b" s"]
-    index = {b: k for k, b in enumerate(pieces)}
+    index = g.Pieces(pieces)
     words = Counter({"the": 50, "she": 20, "he": 10})
     like = []
     for n in (0, 1, 4):
         q = g.fit(words, index, n)
-        m = g.Model(pieces, ["x"], [q[:, None]] * 2, np.zeros((2, 1)))
+        m = g.Model(pieces, ["x", g.OTHER], [np.stack([q, q], axis=1)] * 2, np.zeros((2, 2)))
         like.append(sum(c * m.word(w)[0] for w, c in words.items()))
     assert like[0] < like[1] < like[2] and np.isclose(q.sum(), 1)
 
