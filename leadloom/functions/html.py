@@ -11,9 +11,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PAGE = (
-    "struct<title:string,metas:map<string,string>,anchors:array<struct<href:string,text:string,pos:int,header:boolean>>,"
+    "struct<title:string,metas:map<string,string>,anchors:array<struct<href:string,text:string,pos:int,header:boolean,hidden:boolean>>,"
     "scripts:array<struct<type:string,src:string,text:string>>,links:array<struct<rel:string,href:string>>,"
-    "imgs:array<struct<src:string,marked:boolean,header:boolean,home:boolean,pos:int>>,nav_text:string,visible_text:string,"
+    "imgs:array<struct<src:string,name:string,marked:boolean,header:boolean,link:string,pos:int>>,nav_text:string,visible_text:string,"
     "blocks:array<string>,ldjson:array<string>,commerce:boolean,error:string>"
 )
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -25,6 +25,7 @@ UNSEEN = {"script", "style", "noscript", "template"}
 BLOCKS = {"address", "p", "li", "div", "section", "td", "span"}
 MIN_BLOCK, MAX_BLOCK, MAX_NAV = 20, 900, 12_000
 _SPACE = re.compile(r"\s+")
+_LOGO = re.compile(r"(?:^|[^a-z])logo(?:[^a-z]|$)", re.I)
 
 
 def squeeze(text: str) -> str:
@@ -60,10 +61,13 @@ class _Page(HTMLParser):
         elif tag == "link":
             self.links.append({"rel": a.get("rel", ""), "href": a.get("href", "")})
         elif tag == "img":
-            src = a.get("data-src") or a.get("src") or (a.get("srcset", "").split(",")[-1].split() or [""])[0]
-            home = any(t == "a" and w["attrs"].get("href", "") in ("/", "#") for t, _, w in self.open)
-            marked = "logo" in " ".join((a.get("class", ""), a.get("id", ""), a.get("alt", ""), src)).lower()
-            self.imgs.append({"src": src, "marked": marked, "header": self._inside("header"), "home": home, "pos": self.pos})
+            src = a.get("data-src") or a.get("src") or ""
+            if not src or src.startswith("data:"):
+                src = ((a.get("data-srcset") or a.get("srcset") or "").split(",")[-1].split() or [""])[0]
+            name = " ".join((a.get("alt", ""), a.get("class", ""), a.get("id", ""))).lower()
+            header = any(t == "header" or "header" in w["attrs"].get("class", "").lower() for t, _, w in self.open)
+            link = next((w["attrs"]["href"] for t, _, w in reversed(self.open) if t == "a" and "href" in w["attrs"]), None)
+            self.imgs.append({"src": src, "name": name, "marked": bool(_LOGO.search(f"{name} {src}")), "header": header, "link": link, "pos": self.pos})
         if tag not in VOID:
             self.open.append((tag, hidden, what))
 
@@ -81,7 +85,7 @@ class _Page(HTMLParser):
                 kind = what["attrs"].get("type", "").lower()
                 (self.ldjson.append(text) if kind == "application/ld+json" else self.scripts.append({"type": kind, "src": what["attrs"].get("src", ""), "text": text}))
             elif t == "a":
-                self.anchors.append({"href": what["attrs"].get("href", ""), "text": squeeze(text), "pos": what["pos"], "header": self._inside("header")})
+                self.anchors.append({"href": what["attrs"].get("href", ""), "text": squeeze(text), "pos": what["pos"], "header": self._inside("header"), "hidden": hidden})
             if t in BLOCKS and not hidden and MIN_BLOCK <= len(b := squeeze(text)) <= MAX_BLOCK:
                 self.blocks.append(b)
             if t == tag:
@@ -189,19 +193,29 @@ def json_objects(text: str) -> list[dict]:
 
 
 def ld_objects(texts: Column) -> Column:
-    """Objects of all JSON-LD texts of a page as ARRAY<STRUCT<type, url, email, telephone, logo>>, by an Arrow function."""
-    kind = "array<struct<type:string,url:string,email:string,telephone:string,logo:string>>"
+    """Objects of all JSON-LD texts of a page as ARRAY<STRUCT<types, url, emails, telephones, logo>>, by an Arrow function.
+
+    ``types`` has every ``@type`` of an object; e-mails and numbers are its own and those of its contact points, each a text
+    or a list of texts; a logo is a text or an object with ``url`` or ``contentUrl``."""
+    kind = "array<struct<types:array<string>,url:string,emails:array<string>,telephones:array<string>,logo:string>>"
+
+    def many(v):
+        return [x for x in (v if isinstance(v, list) else [v]) if isinstance(x, str)]
 
     @F.pandas_udf(kind)
     def objects(column: pd.Series) -> pd.Series:
-        def text(v):
-            return v if isinstance(v, str) else v.get("url") if isinstance(v, dict) and isinstance(v.get("url"), str) else None
-
         def one(ts):
             rows = []
             for o in (o for t in (ts if ts is not None else ()) for o in json_objects(t)):
-                t = o.get("@type")
-                rows.append({"type": t if isinstance(t, str) else None, **{k: text(o.get(k)) for k in ("url", "email", "telephone", "logo")}})
+                points = o.get("contactPoint", [])
+                people = [o, *(p for p in (points if isinstance(points, list) else [points]) if isinstance(p, dict))]
+                logo = o.get("logo")
+                logo = logo.get("url") or logo.get("contentUrl") if isinstance(logo, dict) else logo
+                rows.append({
+                    "types": many(o.get("@type")), "url": o["url"] if isinstance(o.get("url"), str) else None,
+                    "emails": [e for p in people for e in many(p.get("email"))], "telephones": [e for p in people for e in many(p.get("telephone"))],
+                    "logo": logo if isinstance(logo, str) and logo else None,
+                })
             return rows
 
         return column.map(one)

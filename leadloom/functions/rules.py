@@ -8,21 +8,24 @@ from pyspark.sql import functions as F
 from leadloom.functions.text import squeezed, unaccented
 
 #: An identity that a script assigns, and assets that only the platform's runtime serves (fixed patterns).
-IDENTITY = r"""Shopify\.shop\s*=\s*["']([A-Za-z0-9][A-Za-z0-9-]*\.myshopify\.com)["']"""
-RUNTIME = r"shopifycloud|/cdn/shop/t/[0-9]+/assets/"
+IDENTITY = r"""(?i)Shopify\.shop\s*=\s*["']([a-z0-9][a-z0-9-]*\.myshopify\.com)["']"""
+RUNTIME = r"cdn\.shopify\.com/shopifycloud/|/cdn/shopifycloud/|/cdn/shop/t/[0-9]+/assets/"
 #: Vocabulary of address rules (fixed values).
 CONTEXT = r"(?i)\b(?:address|registered office|corporate office|head office|principal office|office address|contact us|contact information|operated by|owned by)\b"
-NON_BUSINESS = r"(?i)\b(?:shipping destinations?|deliver(?:s|y)? (?:across|to)|ships? (?:across|to)|our (?:suppliers|distributors)|manufactured by)\b"
+NON_BUSINESS = r"(?i)\b(?:shipping destinations?|deliver(?:y|ing)? (?:across|to)|ship(?:ping)? (?:across|to)|our (?:suppliers|distributors)|manufactured by)\b"
 RETURN_ONLY = r"(?i)\b(?:return address|returns warehouse|fulfill?ment|logistics partner)\b"
-PREMISE = r"(?i)\b(?:road|street|plot|building|sector|nagar|lane|avenue|marg|villas?|colony|complex|block|house|flat|tower|layout|cross|rd)\b"
-STREET = r"(?i)\b(?:road|street|plot|building|sector|nagar|lane|avenue|marg|villas?|colony|complex|block|house|flat|tower|layout|cross|rd|floor|office|industrial|estate|village|district|pincode|pin code|phase)\b"
+PREMISE_WORDS = "road|street|plot|building|sector|nagar|lane|avenue|marg|villas?|colony|complex|block|house|flat|tower|layout|cross|rd"
+PREMISE = rf"(?i)\b(?:{PREMISE_WORDS})\b"
+STREET = rf"(?i)\b(?:{PREMISE_WORDS}|floor|office|industrial|estate|village|district|pincode|pin code|phase)\b"
+REGISTERED = r"(?i)\b(?:registered|principal) (?:offices?|address)\b"
+HEAD = r"(?i)head office|corporate (?:office|address)"
 PIN = r"(?<![0-9])[1-9][0-9]{5}(?![0-9])"
-SHORT_NUMBER = r"\b[A-Z]{0,3}[-/ ]?[0-9]{1,5}\b"
+SHORT_NUMBER = r"\b(?:[A-Z]{1,3}\s*[-/]?\s*)?[0-9]{1,5}\b"
 
 
 def runtime_asset(src: Column) -> Column:
     """A script or style sheet of the platform's runtime."""
-    return src.rlike(RUNTIME) & F.regexp_replace(src, r"[?#].*$", "").rlike(r"\.(?:js|mjs|css)$")
+    return src.rlike(RUNTIME) & F.regexp_replace(src, r"[?#].*$", "").rlike(r"(?i)\.(?:js|mjs|css)$")
 
 
 def store_name(og_site_name: Column, title: Column, host: Column) -> Column:
@@ -82,7 +85,19 @@ def classified(rows: DataFrame, key: str, primary: str, secondary: str, keywords
     return x.select(key, F.when(F.col("tied") == 1, F.col("label")).alias("label"), "score", "tied")
 
 
-def address_candidates(blocks: DataFrame, states: DataFrame) -> DataFrame:
+def states_named(rows: DataFrame, key: str, text: str, states: DataFrame, towns: DataFrame | None = None) -> DataFrame:
+    """(key, states): the states that a text names; a state whose name stands within a longer one's counts as that one.
+    Where it names none, those of the ``towns`` (label: the state) that it names. Texts that name nothing are not returned."""
+    m = mentions(rows, key, text, states)
+    longer = m.select(F.col(key).alias("_k"), F.col("label").alias("_l"), F.col("gram").alias("_g"))
+    within = (F.col(key) == F.col("_k")) & (F.col("label") != F.col("_l")) & (F.col("gram") != F.col("_g")) & F.contains(F.concat(F.lit(" "), "_g", F.lit(" ")), F.concat(F.lit(" "), "gram", F.lit(" ")))
+    m = m.join(longer, within, "left_anti").select(key, "label")
+    if towns is not None:
+        m = m.unionByName(mentions(rows, key, text, towns).select(key, "label").join(m.select(key).distinct(), key, "left_anti"))
+    return m.groupBy(key).agg(F.array_sort(F.collect_set("label")).alias("states"))
+
+
+def address_candidates(blocks: DataFrame, states: DataFrame, towns: DataFrame | None = None) -> DataFrame:
     """(store_id, page_url, excerpt, states, priority, basis) of blocks (store_id, page_url, block) that give a business address.
 
     Accepted with a context or on a contact page, a state, and a PIN or (registered, in India, one state, premise word, short
@@ -91,16 +106,16 @@ def address_candidates(blocks: DataFrame, states: DataFrame) -> DataFrame:
     """
     x = blocks.select("store_id", "page_url", squeezed(F.col("block")).alias("excerpt")).where(F.length("excerpt").between(20, 900)).distinct()
     x = x.where(~F.col("excerpt").rlike(NON_BUSINESS) & ~F.col("excerpt").rlike(RETURN_ONLY))
-    named = mentions(x, "excerpt", "excerpt", states).groupBy("excerpt").agg(F.array_sort(F.collect_set("label")).alias("states"))
+    named = states_named(x, "excerpt", "excerpt", states, towns)
     x = x.join(named, "excerpt", "left").withColumn("states", F.coalesce("states", F.array().cast("array<string>")))
     e, n = F.col("excerpt"), F.size("states")
     context, contact = e.rlike(CONTEXT), F.col("page_url").rlike(r"(?i)contact|privacy|terms|legal")
     india, pin, street = e.rlike(r"(?i)\bindia\b"), e.rlike(PIN), e.rlike(STREET)
-    registered = e.rlike(r"(?i)\b(?:registered|principal) office\b")
+    registered = e.rlike(REGISTERED)
     strong = registered & india & (n == 1) & e.rlike(PREMISE) & e.rlike(SHORT_NUMBER)
     full = (context | contact) & (n > 0) & (pin | strong) & (street | context) & (india | (n == 1))
     bare = context & india & pin & street & (n == 0)
-    priority = F.when(~full, 2).when(registered, 4).when(e.rlike(r"(?i)\b(?:head|corporate) office\b"), 3).otherwise(2)
+    priority = F.when(~full, 2).when(registered, 4).when(e.rlike(HEAD), 3).otherwise(2)
     basis = F.when(full & ~pin, "registered_office_without_pin").otherwise("business_address")
     x = x.where(full | bare).select("store_id", "page_url", "excerpt", "states", priority.alias("priority"), basis.alias("basis"))
     a, b = x.alias("a"), x.alias("b")

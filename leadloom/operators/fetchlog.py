@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadloom.functions.urls import with_normalized
 from leadloom.operators.statistics import outcome_class
 from leadloom.session import cut
 
@@ -31,6 +32,30 @@ def numbered(df: DataFrame, key: str, *order: str, out: str = "k") -> DataFrame:
     return x.join(counts, [key, "_p"]).withColumn(out, F.col("_k") + F.col("_before")).drop("_k", "_before", "_p")
 
 
+#: A busy server's answers, and how long a host is left alone after one at least (fixed values).
+BUSY, BUSY_SECONDS = (429, 503), 5
+
+
+def pushed(requests: DataFrame, key: str, at: str, delay: float, longest: int = 30) -> DataFrame:
+    """``requests`` (start_us, status_code, and retry_after if there is one) with ``held_us``, the time until which the latest
+    earlier busy answers of the host hold them back, and ``deferred``: whether that is more than ``longest`` seconds.
+
+    A running maximum of start + max(asked for, BUSY_SECONDS, delay) over earlier busy answers, taken in two levels as in
+    ``numbered``, so that no host's log is sorted in one task.
+    """
+    asked = retry_after(F.col("retry_after"), F.col(at)) if "retry_after" in requests.columns else F.lit(0.0)
+    until = F.col("start_us") + (F.greatest(asked, F.lit(float(BUSY_SECONDS)), F.lit(delay)) * 1_000_000).cast("bigint")
+    x = requests.withColumn("_until", F.when(F.col("status_code").isin(*BUSY), until))
+    x = numbered(x, key, "start_us", "k", out="_n").withColumn("_s", F.floor((F.col("_n") - 1) / SLICE))
+    low = x.groupBy(key, "_s").agg(F.max("_until").alias("_m"))
+    low = low.withColumn("_m", F.max("_m").over(Window.partitionBy(key).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)))
+    inner = Window.partitionBy(key, "_s").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("_r", F.max("_until").over(inner)).join(low, [key, "_s"])
+    held = F.greatest("_r", "_m")
+    x = x.withColumn("held_us", F.when(held > F.col("start_us"), held))
+    return x.withColumn("deferred", F.coalesce(F.col("held_us") - F.col("start_us") > longest * 1_000_000, F.lit(False))).drop("_until", "_n", "_s", "_m", "_r")
+
+
 def paced(requests: DataFrame, key: str, at: str, tie: str, delay: float) -> DataFrame:
     """Each request with asked_us and start_us: its earliest start if a key's requests start ``delay`` seconds apart, in order.
 
@@ -49,32 +74,44 @@ def paced(requests: DataFrame, key: str, at: str, tie: str, delay: float) -> Dat
 
 
 def retries(observations: DataFrame, most: int = 2, longest: int = 30) -> DataFrame:
-    """(run_id, candidate_id, url, attempt, wait_s, again) of each transient failure: the wait doubles with the attempt,
-    and there is another one while ``most`` and ``longest`` allow it."""
-    o = observations.select("id", "run_id", "candidate_id", "url", outcome_class().alias("class"))
+    """(run_id, candidate_id, url, attempt, wait_s, again) of each transient failure: the wait doubles with the attempt, and is
+    what the server asked for if that is more (column ``retry_after``, if there is one); there is another attempt while
+    ``most`` and ``longest`` allow it."""
+    asked = retry_after(F.col("retry_after"), F.col("observed_at")) if "retry_after" in observations.columns else F.lit(0.0)
+    o = observations.select("id", "run_id", "candidate_id", "url", outcome_class().alias("class"), asked.alias("asked"))
     attempt = F.row_number().over(Window.partitionBy("run_id", "candidate_id", "url").orderBy("id"))
     x = o.withColumn("attempt", attempt).where(F.col("class") == "transient")
-    wait = F.pow(F.lit(2), F.col("attempt")).cast("bigint")
+    wait = F.greatest(F.pow(F.lit(2), F.col("attempt")), F.ceil("asked")).cast("bigint")
     return x.select("run_id", "candidate_id", "url", "attempt", wait.alias("wait_s"), ((F.col("attempt") <= most) & (wait <= longest)).alias("again"))
 
 
 def redirects(edges: DataFrame, most: int = 5) -> DataFrame:
-    """(url, final_url, hops, outcome) of each start of ``edges`` (url, location; one location an url): end, loop or limit."""
-    e = cut(edges.select("url", "location"))
-    x = e.select("url", F.col("location").alias("at"), F.array("url").alias("path"), F.lit(1).alias("hops"), F.lit(None).cast("string").alias("outcome"))
-    step = e.select(F.col("url").alias("at"), F.col("location").alias("next"))
+    """(url, final_url, hops, outcome) of each start of ``edges`` (url, location; one location an url): end, loop or limit, or
+    ``unsafe`` before a hop to what is no public http(s) address, or ``blocked`` before one that a column ``allowed`` of the
+    edges (what the robots rules say of the location) forbids."""
+    e = with_normalized(edges, "location", "_to").withColumn("_bad", F.when(F.col("_to").isNull(), "unsafe"))
+    if "allowed" in edges.columns:
+        e = e.withColumn("_bad", F.coalesce("_bad", F.when(~F.col("allowed"), "blocked")))
+    e = cut(e.select("url", "location", "_bad"))
+    good = F.col("_bad").isNull()
+    x = e.select("url", F.when(good, F.col("location")).otherwise(F.col("url")).alias("at"), F.array("url").alias("path"), good.cast("int").alias("hops"), F.col("_bad").alias("outcome"))
+    step = e.select(F.col("url").alias("at"), F.col("location").alias("next"), F.col("_bad").alias("bad"))
     for _ in range(most):
         x = x.join(step, "at", "left")
         loop = F.array_contains("path", F.col("at"))
-        outcome = F.coalesce("outcome", F.when(loop, "loop").when(F.col("next").isNull(), "end").when(F.col("hops") >= most, "limit"))
+        outcome = F.coalesce("outcome", F.when(loop, "loop").when(F.col("next").isNull(), "end").when(F.col("bad").isNotNull(), F.col("bad")).when(F.col("hops") >= most, "limit"))
         go = outcome.isNull()
         x = x.select("url", F.when(go, F.col("next")).otherwise(F.col("at")).alias("at"), F.when(go, F.concat("path", F.array("at"))).otherwise(F.col("path")).alias("path"), (F.col("hops") + go.cast("int")).alias("hops"), outcome.alias("outcome"))
     return x.select("url", F.col("at").alias("final_url"), "hops", F.coalesce("outcome", F.lit("limit")).alias("outcome"))
 
 
-def retry_after(header: Column) -> Column:
-    """Seconds of a Retry-After header given in seconds: at least 0, junk and null 0."""
-    return F.greatest(F.lit(0.0), F.coalesce(header.try_cast("double"), F.lit(0.0)))
+def retry_after(header: Column, at: Column | None = None) -> Column:
+    """Seconds of a Retry-After header, given in seconds or as an HTTP date to be counted from ``at`` (UTC): at least 0; junk
+    and null are 0, and so is a date where no ``at`` is given."""
+    date = F.try_to_timestamp(F.substring(F.trim(header), 6, 20), F.lit("dd MMM yyyy HH:mm:ss")).cast("timestamp_ntz")
+    is_date = F.trim(header).rlike(r"^[A-Z][a-z]{2}, [0-9]{2} [A-Z][a-z]{2} [0-9]{4} [0-9:]{8} GMT$")
+    until = F.when(is_date, F.timestamp_diff("SECOND", at, date).cast("double")) if at is not None else F.lit(None).cast("double")
+    return F.greatest(F.lit(0.0), F.coalesce(header.try_cast("double"), until, F.lit(0.0)))
 
 
 def within_budget(body: Column, most: int) -> Column:
@@ -113,6 +150,18 @@ def robots_allow(text: str, agent: str, path: str) -> bool:
     return best[1]
 
 
+#: Kinds of content that a robots file can have (fixed values).
+ROBOTS_KINDS = ("", "text/plain", "application/octet-stream")
+
+
+def robots_state(outcome: Column, status_code: Column, content_type: Column, fetched_at: Column, at: Column, hours: int = 24) -> Column:
+    """What an origin's last answer for its robots file means at ``at``: ``rules`` (parse it), ``allow`` (there is none: 404, 410),
+    ``expired`` (older than ``hours``: fetch it again), else ``defer``."""
+    kind = F.lower(F.trim(F.substring_index(F.coalesce(content_type, F.lit("")), ";", 1)))
+    old = fetched_at.isNull() | (fetched_at < at - F.expr(f"INTERVAL {hours} HOURS"))
+    return F.when(old, "expired").when(status_code.isin(404, 410), "allow").when((outcome == "ok") & kind.isin(*ROBOTS_KINDS), "rules").otherwise("defer")
+
+
 def robots_allowed(text: Column, agent: str, path: Column) -> Column:
     """``robots_allow`` as an Arrow function; a null file allows everything."""
     @F.pandas_udf("boolean")

@@ -116,12 +116,13 @@ def review_current(spark: SparkSession, d: str) -> DataFrame:
     return logs.current_reviews(r, spark.createDataFrame([("a", "h2"), ("b", "h9")], "candidate_id string, evidence_hash string"))
 
 
-@query("SELECT * FROM (VALUES ('Organization', 'https://a.in/', 'a@a.in'), ('Store', NULL, 'b@a.in')) AS t(type, url, email)")
+@query("SELECT * FROM (VALUES ('Organization', 'https://a.in/', 'a@a.in|c@a.in', '1', 'https://a.in/l.png'), ('Thing|Store', NULL, 'b@a.in', '', NULL), ('ContactPoint', NULL, 'c@a.in', '1', NULL)) AS t(types, url, emails, telephones, logo)")
 def ldjson_walk(spark: SparkSession, d: str) -> DataFrame:
     """Regression check on a literal: objects at any depth, a malformed text beside them."""
-    t = '{"@graph":[{"@type":"Organization","url":"https://a.in/","email":"a@a.in","sub":{"@type":"Store","email":"b@a.in"}}]}'
+    t = '{"@graph":[{"@type":"Organization","url":"https://a.in/","email":"a@a.in","logo":{"contentUrl":"https://a.in/l.png"},"sub":{"@type":["Thing","Store"],"email":["b@a.in",3]},"contactPoint":{"@type":"ContactPoint","email":"c@a.in","telephone":"1"}}]}'
     x = spark.createDataFrame([([t, "{bad"],)], "t array<string>").select(F.explode(ld_objects(F.col("t"))).alias("o"))
-    return x.where("o.type IS NOT NULL").select("o.type", "o.url", "o.email")
+    joined = [F.array_join(f"o.{c}", "|").alias(c) for c in ("types", "emails", "telephones")]
+    return x.where("size(o.types) > 0").select(*joined, "o.url", "o.logo")
 
 
 @query("SELECT * FROM (VALUES ('shop.a.in'), ('b.in')) AS t(cell)")

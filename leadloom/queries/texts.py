@@ -4,10 +4,12 @@ SQL whose both sides are literals is a regression check: its values are written
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.functions import contacts, rules, urls
+from leadloom.functions.html import parse_page
+from leadloom.functions.urls import KnownHosts
 from leadloom.operators import fetchlog
 from leadloom.plans import storefront
 from leadloom.queries import sql
@@ -128,6 +130,13 @@ _SOCIAL = [
     ("https://youtube.com/@brand/videos", "youtube", "https://youtube.com/@brand"),
     ("https://youtube.com/watch?v=1", None, None),
     ("https://pinterest.com/brand/board", None, None),
+    ("https://instagram.com/accounts", None, None),
+    ("https://facebook.com/marketplace", None, None),
+    ("https://x.com/Brand_9", "x", "https://x.com/Brand_9"),
+    ("https://youtube.com/c/brand/playlists", "youtube", "https://youtube.com/c/brand"),
+    ("https://youtube.com/c/brand/more", None, None),
+    ("https://facebook.com/people/a%20b/9", None, None),
+    ("HTTPS://user@www.linkedin.com:443/in/some-one/", "linkedin", "https://linkedin.com/in/some-one"),
 ]
 _lit = lambda v: "NULL" if v is None else f"'{v}'"
 
@@ -139,7 +148,7 @@ def social_canonical(spark: SparkSession, d: str) -> DataFrame:
     return contacts.with_social(x, "url").select("url", "network", "profile")
 
 
-_ASSETS = [("https://cdn.example/shopifycloud/a.js", True), ("/cdn/shop/t/4/assets/theme.css?v=1", True), ("/cdn/shop/t/4/assets/icon.png", False), ("/assets/theme.css", False)]
+_ASSETS = [("https://cdn.shopify.com/shopifycloud/a.js", True), ("https://shopifycloud.example/a.js", False), ("/cdn/shopifycloud/x.MJS?v=2", True), ("/cdn/shop/t/4/assets/theme.css?v=1", True), ("/cdn/shop/t/4/assets/icon.png", False), ("/assets/theme.css", False)]
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {b})" for a, b in _ASSETS) + ") AS t(src, runtime)")
@@ -148,13 +157,13 @@ def runtime_asset(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(a,) for a, _ in _ASSETS], "src string").select("src", rules.runtime_asset(F.col("src")).alias("runtime"))
 
 
-_RETRY = [("10", 10.0), ("-1", 0.0), ("junk", 0.0), ("", 0.0), ("2.5", 2.5)]
+_RETRY = [("10", 10.0), ("-1", 0.0), ("junk", 0.0), ("", 0.0), ("2.5", 2.5), ("Wed, 01 Jan 2025 00:01:30 GMT", 90.0), ("Tue, 31 Dec 2024 00:00:00 GMT", 0.0)]
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {b}::DOUBLE)" for a, b in _RETRY) + ") AS t(header, seconds)")
 def retry_after_parse(spark: SparkSession, d: str) -> DataFrame:
     """Regression check on literals."""
-    return spark.createDataFrame([(a,) for a, _ in _RETRY], "header string").select("header", fetchlog.retry_after(F.col("header")).alias("seconds"))
+    return spark.createDataFrame([(a,) for a, _ in _RETRY], "header string").select("header", fetchlog.retry_after(F.col("header"), F.lit("2025-01-01").cast("timestamp_ntz")).alias("seconds"))
 
 
 _ROBOTS = "User-agent: *\nDisallow: /*.json$\nDisallow: /cart\nAllow: /cart/help\n\nUser-agent: loombot\nDisallow: /private"
@@ -185,8 +194,9 @@ def _storefront(spark: SparkSession) -> DataFrame:
 
 
 @query(
-    """SELECT * FROM (VALUES ('s1', 'Clay Lane', 'care@claylane.in|office@claylane.in', '+918045678901|+919876543210', 'https://instagram.com/claylane', 'Brass tableware', 'Arkanadu', 'clay-lane.myshopify.com', 'verified', 'verified', 'accepted'))
-AS t(store_id, name, emails, phones, socials, category, state, shop_identity, shopify, india, status)"""
+    """SELECT * FROM (VALUES ('s1', 'Clay Lane', 'care@claylane.in|office@claylane.in', '+918045678901|+919876543210', 'instagram=https://instagram.com/claylane', 'Brass tableware', 'Arkanadu', 'clay-lane.myshopify.com', 'verified', 'verified', 'accepted',
+'Store identity and Indian business address are supported by live pages.', 'logo_url=not_found_in_allowed_pages'))
+AS t(store_id, name, emails, phones, socials, category, state, shop_identity, shopify, india, status, reason, missing)"""
 )
 def storefront_extract(spark: SparkSession, d: str) -> DataFrame:
     """One literal page through the whole extraction; a regression check whose values are written by hand."""
@@ -194,8 +204,73 @@ def storefront_extract(spark: SparkSession, d: str) -> DataFrame:
     names = c.where("kind = 'state'").select("canonical", F.explode(F.concat(F.array("canonical"), "also_known")).alias("n"))
     words = c.where("kind = 'category'").select("canonical", F.explode(rules.words(F.col("canonical"))).alias("w")).where(F.length("w") >= 4)
     x = storefront.stores(_storefront(spark), rules.dimension(names, "canonical", "n"), rules.dimension(words, "canonical", "w"))
-    joined = [F.array_join(f, "|").alias(f) for f in ("emails", "phones", "socials")]
-    return x.select("store_id", "name", *joined, "category", "state", "shop_identity", "shopify", "india", "status")
+    joined = [F.array_join(f, "|").alias(f) for f in ("emails", "phones")]
+    pairs = lambda c, v: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws("=", e["key"], v(e["value"]))), "|").alias(c)
+    return x.select("store_id", "name", *joined, pairs("socials", lambda v: F.array_join(v, ",")), "category", "state", "shop_identity", "shopify", "india", "status", "reason", pairs("missing", lambda v: v))
+
+
+def _escaped(c) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def _document_pages(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, page_url, page): each document's text written as an HTML page, a paragraph a line, with links, and parsed."""
+    x = table(spark, d, "documents").where("text <> ''")
+    ps = F.array_join(F.transform(F.split("text", "\n"), lambda p: F.concat(F.lit("<p>"), _escaped(p), F.lit("</p>"))), "<script>var hidden = '<p>no</p>';</script>")
+    head = F.concat(F.lit("<html><head><title>"), _escaped(F.coalesce("source", F.lit(""))), F.lit(" | Shop</title></head><body><header><a href='/'>Home</a></header>"))
+    page = F.concat(head, ps, F.lit("<div hidden>Nobody sees this paragraph here.</div><a href='/pages/contact?x=1'>Contact</a> <a href='/pages/about'>About us</a></body></html>"))
+    return x.select("doc_id", "page_url", page.alias("html")).withColumn("page", parse_page(F.col("html")))
+
+
+_SPACES = "[\\s\\p{Z}\\x1c-\\x1f\\x85]+"
+_LINES = f"SELECT doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '{_SPACES}', ' ', 'g')) AS line FROM documents WHERE text <> ''"
+
+
+@query(
+    f"SELECT doc_id, trim(regexp_replace(regexp_replace('Home ' || text || ' Contact About us', '&nbsp;?', ' ', 'g'), '{_SPACES}', ' ', 'g')) AS seen,"
+    f" coalesce(nullif(trim(regexp_replace(coalesce(source, ''), '{_SPACES}', ' ', 'g')), ''), '| Shop') AS name FROM documents WHERE text <> ''"
+)
+def page_visible_text(spark: SparkSession, d: str) -> DataFrame:
+    """What a visitor sees of each document as a page, and the name its title gives: scripts and hidden parts are not seen."""
+    x = _document_pages(spark, d)
+    return x.select("doc_id", F.col("page.visible_text").alias("seen"), rules.store_name(F.lit(None).cast("string"), F.col("page.title"), F.lit("-")).alias("name"))
+
+
+@query(f"SELECT doc_id, line AS block, count(*) AS n FROM ({_LINES}) WHERE len(line) BETWEEN 20 AND 900 GROUP BY ALL")
+def page_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The text blocks of each document as a page."""
+    return _document_pages(spark, d).select("doc_id", F.explode("page.blocks").alias("block")).groupBy("doc_id", "block").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, regexp_extract(page_url, '^([a-z]+://[^/?#]+)', 1) || '/pages/about' AS link, 8 AS score FROM documents WHERE text <> '' AND page_url LIKE 'http%'")
+def page_links(spark: SparkSession, d: str) -> DataFrame:
+    """The informative links of each document as a page: same site, no query."""
+    x = _document_pages(spark, d).where("page_url LIKE 'http%'").select(F.col("doc_id").alias("store_id"), F.lit(0).alias("page_no"), F.col("page_url").alias("url"), "page")
+    return storefront.select_links(x, KnownHosts.read(table(spark, d, "known_hosts"))).select(F.col("store_id").alias("doc_id"), "link", "score")
+
+
+_OK_MAIL = f"list_filter(list_transform(regexp_extract_all(e, '{_EMAIL}'), lambda m: regexp_replace(lower(m), '^[.,;]+|[.,;]+$', '', 'g')), lambda m: regexp_full_match(m, '{_EMAIL}') AND m LIKE '%.example' AND NOT regexp_matches(m, '@(in|co|store).example$') AND NOT regexp_matches(m, '^(yourname|example)@'))"
+
+
+@query(
+    f"""WITH {sql.STORE}, m AS (SELECT store_id, string_agg(DISTINCT mail, '|' ORDER BY mail) AS emails FROM (SELECT store_id, unnest({_OK_MAIL}) AS mail FROM (SELECT store_id, unnest(emails) AS e FROM store)) GROUP BY 1)
+SELECT store_id, left(trim(name), 120) AS name, CASE WHEN len(trim(description)) >= 20 THEN left(trim(description), 700) END AS description, coalesce(m.emails, '') AS emails, 'review' AS status,
+(m.emails IS NULL)::INT + (description IS NULL OR len(trim(description)) < 20)::INT + 5 AS missing FROM store LEFT JOIN m USING (store_id) WHERE trim(name) <> ''"""
+)
+def storefront_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every current store written as a page of its own and read again by the whole extraction: name, description, e-mails."""
+    from leadloom.operators.dedup import current_stores
+
+    x = current_stores(table(spark, d, "stores"), ["store_id", "name", "description", "emails", "observed_at"]).where("trim(name) <> ''")
+    mails = F.array_join(F.transform(F.coalesce("emails", F.array().cast("array<string>")), lambda e: F.concat(F.lit("<p>"), _escaped(F.coalesce(e, F.lit(""))), F.lit("</p>"))), "")
+    meta = lambda key, c: F.concat(F.lit(f'<meta {key} content="'), _escaped(F.coalesce(c, F.lit(""))), F.lit('">'))
+    page = F.concat(meta('property="og:site_name"', F.col("name")), meta('name="description"', F.col("description")), mails)
+    pages = x.select("store_id", F.lit(0).alias("page_no"), F.lit("https://shop.example/").alias("url"), "observed_at", page.alias("html"))
+    none = rules.dimension(spark.createDataFrame([], "l string, n string"), "l", "n")
+    s = storefront.stores(storefront.parsed_pages(pages), none, none, KnownHosts.read(table(spark, d, "known_hosts")))
+    return s.select("store_id", "name", "description", F.array_join("emails", "|").alias("emails"), "status", F.size("missing").alias("missing"))
 
 
 @query("SELECT * FROM (VALUES ('https://claylane.in/pages/contact', 10)) AS t(link, score)")
