@@ -16,7 +16,6 @@ from leadloom.functions.text import is_missing
 from leadloom.functions.urls import KnownHosts
 from leadloom.session import cut
 
-MAX_ROUNDS = 200
 #: Fields of a record that may be missing, with their kinds.
 OPTIONAL = {"emails": "array", "phones": "array", "socials": "map", "category": "string", "description": "string", "logo_url": "string", "state": "string"}
 
@@ -29,11 +28,13 @@ def completeness():
 def first_winners(rows: DataFrame, id_col: str, order: list[str], keys: list[str]) -> DataFrame:
     """(id, duplicate_of): null for winners; for others the winner that has the first of ``keys`` in common, else the next.
 
-    ``order`` (ties: the id) sorts the rows, nulls first. A null key conflicts with nothing. Repeated ids are not allowed.
+    ``order`` (ties: the id) sorts the rows, nulls first. A null key conflicts with nothing. Repeated ids are not allowed. Every
+    round decides the first undecided row and all that are first in their keys, so it ends for any table; only chains in which each
+    row conflicts with the next take many rounds.
     """
     every = left = cut(rows.select(F.col(id_col).alias("id"), *keys, F.struct(*order, F.col(id_col).alias("_id")).alias("rank")))
     winners = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         x, first = left, F.lit(True)
         for k in keys:
             low = left.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("rank").alias(f"_low_{k}"))
@@ -47,8 +48,6 @@ def first_winners(rows: DataFrame, id_col: str, order: list[str], keys: list[str
         left = cut(left.select("id", *keys, "rank"))
         if left.isEmpty():
             break
-    else:
-        raise RuntimeError("deduplication did not settle")
     # whose duplicate a row is can only be told now: the winner of its first key may have been decided after that of its second
     x = every.join(winners.select("id", F.lit(True).alias("wins")), "id", "left")
     for k in keys:
@@ -80,10 +79,24 @@ def shop_winners(shops: DataFrame) -> DataFrame:
 
 
 def merged_contacts(shops: DataFrame, decided: DataFrame) -> DataFrame:
-    """(store_id, emails, phones, aliases) of each winner: the sorted union over it and its duplicates."""
+    """(store_id, emails, phones, aliases, socials) of each winner: the sorted union over it and its duplicates (whose addresses are
+    aliases), socials by network."""
     x = shops.join(decided.select(F.col("id").alias("store_id"), F.coalesce("duplicate_of", "id").alias("winner")), "store_id")
     none = F.array().cast("array<string>")
-    x = x.select("winner", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.coalesce(c, none).alias("values")) for c in ("emails", "phones", "aliases")])).alias("x"))
+    lists = [F.struct(F.lit(c).alias("field"), F.coalesce(v, none).alias("values")) for c, v in (("emails", F.col("emails")), ("phones", F.col("phones")), ("aliases", F.coalesce(F.when(F.col("winner") != F.col("store_id"), F.array_append(F.coalesce("aliases", none), F.col("domain_url"))), "aliases")))]
+    nets = F.transform(F.coalesce(F.map_entries("socials"), F.array().cast("array<struct<key:string,value:array<string>>>")), lambda e: F.struct(F.concat(F.lit("socials:"), e["key"]).alias("field"), F.coalesce(e["value"], none).alias("values")))
+    x = x.select("winner", F.explode(F.concat(F.array(*lists), nets)).alias("x"))
     x = x.select("winner", "x.field", F.explode_outer("x.values").alias("value")).distinct()
-    of = lambda c: F.array_sort(F.array_compact(F.collect_list(F.when(F.col("field") == c, F.col("value"))))).alias(c)
-    return x.groupBy(F.col("winner").alias("store_id")).agg(of("emails"), of("phones"), of("aliases"))
+    x = x.groupBy("winner", "field").agg(F.array_sort(F.array_compact(F.collect_list("value"))).alias("vs"))
+    of = lambda c: F.max(F.when(F.col("field") == c, F.col("vs"))).alias(c)
+    net = F.struct(F.substring("field", 9, 1 << 20).alias("k"), F.col("vs").alias("v"))
+    by_net = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("field").startswith("socials:") & (F.size("vs") > 0), net)))).alias("socials")
+    return x.groupBy(F.col("winner").alias("store_id")).agg(of("emails"), of("phones"), of("aliases"), by_net)
+
+
+def merged_evidence(decided: DataFrame, evidence: DataFrame, fields: tuple[str, ...] = ("emails", "phones", "socials")) -> DataFrame:
+    """``evidence`` of each winner, each row once, and rows on ``fields`` of its duplicates that it hasn't itself (``added``)."""
+    cols = [c for c in evidence.columns if c != "store_id"]
+    to = decided.select(F.col("id").alias("store_id"), F.coalesce("duplicate_of", "id").alias("winner"), F.col("duplicate_of").isNotNull().alias("added"))
+    x = evidence.join(to, "store_id").where(~F.col("added") | F.col("field").isin(*fields))
+    return x.groupBy(F.col("winner").alias("store_id"), *cols).agg(F.bool_and("added").alias("added"))

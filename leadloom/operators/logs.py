@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadloom.operators.export import row_text
 from leadloom.operators.incremental import latest
 
 
@@ -35,10 +36,36 @@ def current_reviews(reviews: DataFrame, hashes: DataFrame) -> DataFrame:
 
 
 def evidence_hashes(evidence: DataFrame) -> DataFrame:
-    """(candidate_id, evidence_hash): SHA-256 over the distinct evidence rows of a store, in order of their own hashes."""
-    row = F.sha2(F.to_json(F.struct(*sorted(evidence.columns))), 256)
-    x = evidence.select(F.col("store_id").alias("candidate_id"), row.alias("h")).distinct()
-    return x.groupBy("candidate_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("evidence_hash"))
+    """(candidate_id, evidence_hash): a digest of the distinct evidence rows of a store, in whatever order.
+
+    Each row's SHA-256 is cut into pieces of 60 bits, which are added up map-side, so that no store's rows meet in a task;
+    the digest is the SHA-256 over the number of rows and the sums.
+    """
+    x = evidence.select(F.col("store_id").alias("candidate_id"), F.sha2(row_text(evidence), 256).alias("h")).distinct()
+    piece = lambda i: F.sum(F.conv(F.substring("h", 15 * i + 1, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    return x.groupBy("candidate_id").agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), *map(piece, range(4))), 256).alias("evidence_hash"))
+
+
+#: What a review can decide (fixed values).
+DECISIONS = ("confirmed", "excluded", "needs_review")
+
+
+def checked_reviews(new: DataFrame, stores: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Reviews to append, with the ``evidence_hash`` they were made on, and refused ones with ``error``.
+
+    ``new``: id, candidate_id, decision, note, reviewer. A review needs a current store; what is confirmed must be verified
+    both ways. A bad review is refused and stops nothing.
+    """
+    s = stores.select(F.col("store_id").alias("candidate_id"), F.coalesce((F.col("shopify") == "verified") & (F.col("india") == "verified"), F.lit(False)).alias("_ok"))
+    x = new.join(s, "candidate_id", "left")
+    error = (
+        F.when(F.col("_ok").isNull(), "no evidence was collected")
+        .when(~F.coalesce(F.col("decision").isin(*DECISIONS), F.lit(False)), "invalid decision")
+        .when((F.col("decision") == "confirmed") & ~F.col("_ok"), "not verified both ways")
+    )
+    x = x.withColumn("error", error).drop("_ok")
+    good = x.where("error IS NULL").drop("error").join(evidence_hashes(evidence), "candidate_id", "left")
+    return good, x.where("error IS NOT NULL")
 
 
 def first_reason(*cases: tuple[Column, Column]) -> Column:

@@ -6,32 +6,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.operators.dedup import current_stores
-from leadloom.operators.incremental import latest
+from leadloom.operators.incremental import distinct_rows_by
 from leadloom.operators.ledger import current_candidates
+from leadloom.operators.logs import current_reviews, evidence_hashes
 
 #: Evidence that an accepted store has to keep fresh.
 REQUIRED = ("shopify", "india")
 
 
 def project(candidates: DataFrame, stores: DataFrame, evidence: DataFrame, as_of: str, days: int = 7, reviews: DataFrame | None = None) -> DataFrame:
-    """Candidates (id, url, created_at) with has_store, store columns and the effective status at ``as_of``.
+    """Candidates (id, url, created_at) with has_store, evidence_count, store columns and the effective status at ``as_of``.
 
     An accepted candidate is stale if its store or any required evidence is older than ``days``, else in review if it is not
-    verified both ways. The last of ``reviews`` (id, candidate_id, decision), if given, then overrides with excluded or
-    needs_review. Dedup and every filter come after this, since filtering before would change winners.
+    verified both ways. The last of ``reviews`` (id, candidate_id, decision, evidence_hash), if given, then overrides with
+    excluded or needs_review, as long as the store's evidence is what it was made on (``review_current``). Dedup and every filter come after this, since filtering before would change winners.
     """
     now = current_candidates(candidates)
     s = current_stores(stores).drop("status")
     e = evidence.where(F.col("field").isin(*REQUIRED)).groupBy("store_id").agg(F.min("observed_at").alias("oldest"))
+    e = distinct_rows_by(evidence, "store_id", "evidence_count").join(e, "store_id", "left")
     x = now.join(s, now["id"] == s["store_id"], "left").join(e.withColumnRenamed("store_id", "_e"), now["id"] == F.col("_e"), "left")
     cutoff = F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {days} DAYS")
     stale = F.coalesce(F.col("observed_at") < cutoff, F.lit(False)) | F.coalesce(F.col("oldest") < cutoff, F.lit(False))
     verified = F.coalesce((F.col("shopify") == "verified") & (F.col("india") == "verified"), F.lit(False))
     status = F.when((F.col("status") == "accepted") & stale, "stale").when((F.col("status") == "accepted") & ~verified, "review").otherwise(F.col("status"))
-    x = x.withColumns({"status": status, "has_store": F.col("store_id").isNotNull()})
+    x = x.withColumns({"status": status, "has_store": F.col("store_id").isNotNull(), "evidence_count": F.coalesce("evidence_count", F.lit(0))})
     if reviews is not None:
-        r = latest(reviews, "candidate_id", "id", "decision").select(F.col("candidate_id").alias("_r"), "decision")
-        x = x.join(r, x["id"] == F.col("_r"), "left").withColumn("status", F.when(F.col("status") == "queued", "queued").when(F.col("decision") == "excluded", "excluded").when(F.col("decision") == "needs_review", "review").otherwise(F.col("status"))).drop("_r", "decision")
+        r = current_reviews(reviews, evidence_hashes(evidence)).select(F.col("candidate_id").alias("_r"), "decision", F.col("current").alias("review_current"))
+        x = x.join(r, x["id"] == F.col("_r"), "left").withColumn("review_current", F.coalesce("review_current", F.lit(False)) & F.col("has_store"))
+        held = F.col("review_current") & (F.col("status") != "queued")
+        x = x.withColumn("status", F.when(held & (F.col("decision") == "excluded"), "excluded").when(held & (F.col("decision") == "needs_review"), "review").otherwise(F.col("status"))).drop("_r", "decision")
     return x.drop("_e", "oldest", "store_json", "updated_at")
 
 

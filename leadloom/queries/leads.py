@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leadloom.functions import urls
 from leadloom.operators import fetchlog, ledger, statistics
 from leadloom.queries import sql
+from leadloom.sources import leads as sources
 from leadloom.session import cut, table
 
 AS_OF = "2025-12-31 00:00:00"
@@ -87,15 +88,17 @@ def same_site(spark: SparkSession, d: str) -> DataFrame:
 @query(
     _NORMAL.replace("SELECT DISTINCT id, ", "SELECT id, created_at, ").replace("SELECT id, CASE WHEN reg", "SELECT id, created_at, CASE WHEN reg").replace("(SELECT id, lower", "(SELECT id, created_at, lower").replace("normal AS (SELECT id,", "normal AS (SELECT id, created_at,")
     + ", good AS (SELECT origin || '/' AS url, created_at FROM normal), old AS (SELECT DISTINCT url FROM good WHERE created_at < TIMESTAMP '2025-07-01'), new AS (SELECT url FROM good WHERE created_at >= TIMESTAMP '2025-07-01')"
-    " SELECT count(DISTINCT url) FILTER (WHERE url NOT IN (FROM old)) AS added, count(*) - count(DISTINCT url) FILTER (WHERE url NOT IN (FROM old)) AS duplicates, 0 AS errors FROM new"
+    ", bad AS (SELECT count(*) AS n FROM candidates WHERE created_at >= TIMESTAMP '2025-07-01' AND right(id, 1) = '7')"
+    " SELECT count(DISTINCT url) FILTER (WHERE url NOT IN (FROM old)) AS added, count(*) - count(DISTINCT url) FILTER (WHERE url NOT IN (FROM old)) AS duplicates, any_value(bad.n) AS errors FROM new, bad"
 )
 def import_counts(spark: SparkSession, d: str) -> DataFrame:
-    """The second half of the year imported into the first."""
+    """The second half of the year imported into the first, and once more without a source those whose id ends in 7: errors."""
     x = table(spark, d, "candidates").select("url", "created_at", F.lit("export").alias("source"), F.lit("https://lists.example/").alias("source_url"))
     half = F.col("created_at") >= F.lit("2025-07-01").cast("timestamp_ntz")
     empty = spark.createDataFrame([], "id string")
     old, _, _ = ledger.import_leads(x.where(~half), empty)
-    return ledger.import_leads(x.where(half), old)[2]
+    bad = table(spark, d, "candidates").where(half & (F.substring("id", -1, 1) == "7")).select("url", "created_at", F.lit(" ").alias("source"), F.lit("https://lists.example/").alias("source_url"))
+    return ledger.import_leads(x.where(half).unionByName(bad), old)[2]
 
 
 @query(f"SELECT candidate_id, substr({sql.trim('name')}, 1, 200) AS name, substr({sql.trim('source_url')}, 1, 2000) AS source_url, min(discovered_at) AS discovered_at FROM sources GROUP BY ALL")
@@ -105,14 +108,26 @@ def import_attribution(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {sql.NOW} SELECT id, url FROM now ORDER BY created_at, id LIMIT 300 OFFSET 100")
 def lead_slice(spark: SparkSession, d: str) -> DataFrame:
-    return ledger.current_candidates(table(spark, d, "candidates")).orderBy("created_at", "id").select("id", "url").offset(100).limit(300)
+    """A page of the leads in order of arrival: what the operator is for."""
+    return sources.lead_slice(ledger.current_candidates(table(spark, d, "candidates")), 100, 300, "created_at", "id").select("id", "url")
 
 
-@query(f"WITH {sql.SEEN} SELECT url, id, content_hash FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY id) AS rn FROM seen WHERE status_code = 200 AND url IS NOT NULL) WHERE rn = 1")
+@query(f"WITH {sql.NOW}, u AS (SELECT DISTINCT url FROM now WHERE url IS NOT NULL) SELECT 'export' AS source, 100 AS offset, 300 AS limit, count(*) AS available, least(300, greatest(0, (SELECT count(*) FROM now) - 100)) AS selected FROM u")
+def slice_manifest(spark: SparkSession, d: str) -> DataFrame:
+    x = ledger.current_candidates(table(spark, d, "candidates"))
+    page = sources.lead_slice(x, 100, 300, "created_at", "id")
+    return sources.slice_manifest(x.where("url IS NOT NULL"), page, "export", 100, 300).drop("content_hash")
+
+
+@query(
+    f"WITH {sql.SEEN}, x AS (SELECT url AS urlkey, strftime(observed_at, '%Y%m%d%H%M%S') AS timestamp, coalesce(final_url, url) AS url FROM seen WHERE status_code = 200 AND url IS NOT NULL AND observed_at IS NOT NULL),"
+    " f AS (SELECT urlkey, min(timestamp) AS timestamp, arg_min(url, (timestamp, url)) AS url FROM x GROUP BY 1) SELECT * FROM f ORDER BY urlkey LIMIT 200"
+)
 def cdx_collapse(spark: SparkSession, d: str) -> DataFrame:
-    """The first successful observation of each address."""
-    x = table(spark, d, "observations").where("status_code = 200 AND url IS NOT NULL").select("url", "id", "content_hash")
-    return ledger.keep_first(x, ["url"], "id")
+    """The first capture of each address, as an index lookup gives it: at most 200, which is the lookup's limit."""
+    x = ledger.observed_once(table(spark, d, "observations")).where("url IS NOT NULL AND observed_at IS NOT NULL")
+    rows = x.select(F.col("url").alias("urlkey"), F.date_format("observed_at", "yyyyMMddHHmmss").alias("timestamp"), F.coalesce("final_url", "url").alias("url"), F.col("status_code").cast("string").alias("status"))
+    return sources.collapsed(rows, 1000)
 
 
 @query(f"WITH {sql.NOW} SELECT id, url, created_at FROM now WHERE status = 'queued'")
@@ -244,7 +259,13 @@ def host_schedule(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("host").agg(F.count("*").alias("requests"), F.max(F.col("start_us") - F.col("asked_us")).alias("most_wait_us"), F.max("start_us").alias("last_start_us"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT url, min(final_url) AS location FROM observations WHERE url <> final_url GROUP BY url),
+w AS (SELECT url, location AS spot, [url] AS path, 1 AS hops, NULL::VARCHAR AS outcome FROM e
+  UNION ALL SELECT w.url, CASE WHEN o IS NULL THEN e.location ELSE w.spot END, CASE WHEN o IS NULL THEN list_append(w.path, w.spot) ELSE w.path END, w.hops + (o IS NULL)::INT, o
+  FROM w LEFT JOIN e ON e.url = w.spot, LATERAL (SELECT CASE WHEN list_contains(w.path, w.spot) THEN 'loop' WHEN e.location IS NULL THEN 'end' WHEN w.hops >= 5 THEN 'limit' END AS o) WHERE w.outcome IS NULL)
+SELECT url, spot AS final_url, hops::INT AS hops, outcome FROM w WHERE outcome IS NOT NULL"""
+)
 def redirect_chain(spark: SparkSession, d: str) -> DataFrame:
     """Where the addresses that ever led elsewhere lead to, following up to five hops."""
     x = table(spark, d, "observations").where("url IS NOT NULL AND final_url IS NOT NULL AND url <> final_url").select("url", "final_url").distinct()

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.functions import rules
-from leadloom.functions.html import ld_objects, table_cells
+from leadloom.functions.html import ld_objects
 from leadloom.operators import dedup, ledger, logs, refine
 from leadloom.queries import sql
 from leadloom.session import table
+from leadloom.sources import leads
 
 QUERIES, SQL = {}, {}
 
@@ -93,9 +94,15 @@ def baseline_check(spark: SparkSession, d: str) -> DataFrame:
     return logs.against_baseline(dedup.current_stores(s, ["store_id", "rule_version", "observed_at"]), first, "store_id", "rule_version")
 
 
-@query()
+_TEXT = lambda cols: "concat_ws(chr(10), " + ", ".join(f"'{c}=' || {v}" for c, v in sorted(cols.items())) + ")"
+_EVIDENCE = _TEXT({c: c for c in ("store_id", "field", "value", "source_url", "rule", "excerpt", "content_hash", "family")} | {"observed_at": "epoch_us(observed_at)"})
+_HASHES = f"""h AS (SELECT DISTINCT store_id AS candidate_id, sha256({_EVIDENCE}) AS h FROM evidence),
+hashes AS (SELECT candidate_id, sha256(count(*) || ':' || sum(('0x' || h[1:15])::BIGINT) || ':' || sum(('0x' || h[16:30])::BIGINT) || ':' || sum(('0x' || h[31:45])::BIGINT) || ':' || sum(('0x' || h[46:60])::BIGINT)) AS evidence_hash FROM h GROUP BY 1)"""
+
+
+@query(f"WITH {_HASHES} FROM hashes")
 def evidence_hash(spark: SparkSession, d: str) -> DataFrame:
-    """A digest of each store's evidence; JSON texts of rows differ between engines, so there is no SQL."""
+    """A digest of each store's evidence, in whatever order its rows come."""
     return logs.evidence_hashes(table(spark, d, "evidence"))
 
 
@@ -125,11 +132,56 @@ def ldjson_walk(spark: SparkSession, d: str) -> DataFrame:
     return x.where("size(o.types) > 0").select(*joined, "o.url", "o.logo")
 
 
-@query("SELECT * FROM (VALUES ('shop.a.in'), ('b.in')) AS t(cell)")
+@query(f"WITH {sql.NOW} SELECT id, regexp_extract(lower(url), '((?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\\.)+[a-z]{{2,}})', 1) AS domain FROM now WHERE url IS NOT NULL AND NOT regexp_matches(url, '[<>&]') AND status <> 'queued'")
 def lead_table_cells(spark: SparkSession, d: str) -> DataFrame:
-    """Regression check on a literal page."""
-    cells = table_cells("<table><tr><th>Store</th><th>Town</th></tr><tr><td>shop.a.in</td><td>x</td></tr><tr><td>b.in<td>y</table><table><tr><th>No</th></tr><tr><td>c.in</td></tr></table>")
-    return spark.createDataFrame([(c,) for c in cells], "cell string")
+    """A page for each candidate that is no longer queued, with its address in a table of stores and another in a table of other
+    things; the first domain of each store cell."""
+    x = ledger.current_candidates(table(spark, d, "candidates")).where(F.col("url").isNotNull() & ~F.col("url").rlike("[<>&]") & (F.col("status") != "queued"))
+    page = F.concat(F.lit("<table><tr><th>Store<th>Town<tr><td>"), "url", F.lit("<td>x.example</table><table><tr><th>No</th></tr><tr><td>c.example</td></tr></table>"))
+    return leads.parsed_tables(x.select("id", page.alias("html")), keep=["id"]).select("id", "domain")
+
+
+@query(
+    f"""WITH {sql.STORE}, r AS (SELECT store_id AS candidate_id, ('0x' || left(store_id, 1))::INT AS k, shopify = 'verified' AND india = 'verified' AS ok FROM store)
+SELECT candidate_id, CASE WHEN k % 4 = 3 THEN 'invalid decision' WHEN k % 4 = 0 AND NOT coalesce(ok, FALSE) THEN 'not verified both ways' END AS error FROM r
+UNION ALL SELECT 'x' || candidate_id, 'no evidence was collected' FROM r WHERE k = 1"""
+)
+def review_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Reviews made up from the first digit of the store's id: which are kept and why others are refused."""
+    s = dedup.current_stores(table(spark, d, "stores"), ["store_id", "shopify", "india", "observed_at"])
+    good, bad = logs.checked_reviews(_reviews(s), s, table(spark, d, "evidence"))
+    return good.select("candidate_id", F.lit(None).cast("string").alias("error")).unionByName(bad.select("candidate_id", "error"))
+
+
+def _reviews(stores: DataFrame) -> DataFrame:
+    k = F.conv(F.substring("store_id", 1, 1), 16, 10).cast("int")
+    r = stores.select(k.alias("id"), F.col("store_id").alias("candidate_id"), F.get(F.array(*map(F.lit, (*logs.DECISIONS, "perhaps"))), k % 4).alias("decision"), F.lit("note").alias("note"), F.lit("r").alias("reviewer"))
+    return r.unionByName(r.where("id = 1").withColumn("candidate_id", F.concat(F.lit("x"), "candidate_id")))
+
+
+@query(
+    f"""WITH {sql.NOW}, {sql.STORE}, {_HASHES}, ev AS (SELECT store_id, min(observed_at) AS oldest FROM evidence WHERE field IN ('shopify', 'india') GROUP BY 1),
+p AS (SELECT now.id, store.store_id IS NOT NULL AS has_store, ('0x' || left(now.id, 1))::INT AS k, hashes.evidence_hash IS NOT NULL AS hashed,
+  CASE WHEN now.status = 'accepted' AND (store.observed_at < TIMESTAMP '2025-12-01' - INTERVAL 90 DAY OR ev.oldest < TIMESTAMP '2025-12-01' - INTERVAL 90 DAY) THEN 'stale'
+       WHEN now.status = 'accepted' AND NOT coalesce(store.shopify = 'verified' AND store.india = 'verified', FALSE) THEN 'review' ELSE now.status END AS status
+  FROM now LEFT JOIN store ON store.store_id = now.id LEFT JOIN ev ON ev.store_id = now.id LEFT JOIN hashes ON hashes.candidate_id = now.id)
+SELECT id, has_store AND hashed AND k < 8 AS review_current, CASE WHEN has_store AND hashed AND k < 8 AND status <> 'queued' AND k % 4 IN (1, 2) THEN CASE k % 4 WHEN 1 THEN 'excluded' ELSE 'review' END ELSE status END AS status FROM p"""
+)
+def review_overrides(spark: SparkSession, d: str) -> DataFrame:
+    """Statuses with reviews made up from the id's first digit: from 8 on they were made on evidence that is another now."""
+    from leadloom.plans import projection
+
+    t = {n: table(spark, d, n) for n in ("candidates", "stores", "evidence")}
+    r = _reviews(ledger.current_candidates(t["candidates"]).select(F.col("id").alias("store_id"))).join(logs.evidence_hashes(t["evidence"]), "candidate_id")
+    r = r.withColumn("evidence_hash", F.when(F.col("id") < 8, F.col("evidence_hash")).otherwise("old"))
+    return projection.project(**t, as_of="2025-12-01 00:00:00", days=90, reviews=r).select("id", "review_current", "status")
+
+
+@query("WITH e AS (SELECT store_id, count(*) AS n FROM (SELECT DISTINCT * FROM evidence) GROUP BY 1) SELECT c.id, coalesce(e.n, 0) AS evidence_count FROM (SELECT DISTINCT id FROM candidates) c LEFT JOIN e ON e.store_id = c.id")
+def evidence_count(spark: SparkSession, d: str) -> DataFrame:
+    from leadloom.plans import projection
+
+    return projection.project(*(table(spark, d, n) for n in ("candidates", "stores", "evidence")), as_of="2025-12-01").select("id", "evidence_count")
 
 
 _BLOCKS = [

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.functions import contacts, urls
+from leadloom.functions import contacts, rules, urls
 from leadloom.operators import browse, dedup, export, statistics, validation
 from leadloom.operators.incremental import distinct_rows_by
 from leadloom.plans import projection
 from leadloom.queries import sql
-from leadloom.session import table
+from leadloom.session import new_folder, table
 
 QUERIES, SQL = {}, {}
 AS_OF = "2025-12-01 00:00:00"
@@ -72,7 +72,7 @@ def coverage_rank(spark: SparkSession, d: str) -> DataFrame:
 
 # The greedy rule, row by row in order, with the keys of winners in lists.
 _GREEDY = f"""WITH RECURSIVE {_OK},
-s AS (SELECT store_id, domain_url, {sql.site('shop_identity')} AS identity, {sql.site('domain_url')} AS site, {sql.FILLED} AS filled, emails, phones, aliases FROM ok),
+s AS (SELECT store_id, domain_url, {sql.site('shop_identity')} AS identity, {sql.site('domain_url')} AS site, {sql.FILLED} AS filled, emails, phones, aliases, socials FROM ok),
 o AS (SELECT *, row_number() OVER (ORDER BY coalesce(site LIKE '%.shops.example', TRUE), -filled, domain_url NULLS FIRST, store_id) AS k FROM s),
 g AS (SELECT 0::BIGINT AS k, NULL::VARCHAR AS id, NULL::VARCHAR AS duplicate_of, MAP([]::VARCHAR[], []::VARCHAR[]) AS ids, MAP([]::VARCHAR[], []::VARCHAR[]) AS sites
 UNION ALL
@@ -90,15 +90,32 @@ def dedup_winner(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     _GREEDY
-    + ", m AS (SELECT coalesce(duplicate_of, id) AS w, emails, phones, aliases FROM decided JOIN o ON o.store_id = decided.id) SELECT w AS store_id, "
+    + ", m AS (SELECT coalesce(duplicate_of, id) AS w, emails, phones, list_concat(coalesce(aliases, []::VARCHAR[]), CASE WHEN duplicate_of IS NULL THEN [] ELSE [domain_url] END) AS aliases, socials FROM decided JOIN o ON o.store_id = decided.id),"
+    " n AS (SELECT w, k, string_agg(DISTINCT v, ',' ORDER BY v) AS vs FROM (SELECT w, k, unnest(v) AS v FROM (SELECT w, unnest(map_keys(socials)) AS k, unnest(map_values(socials)) AS v FROM m)) GROUP BY 1, 2),"
+    " t AS (SELECT w, string_agg(k || '=' || vs, '|' ORDER BY k) AS socials FROM n GROUP BY 1) SELECT m.w AS store_id, "
     + ", ".join(f"array_to_string(list_sort(list_distinct(flatten(list(coalesce({c}, []::VARCHAR[]))))), '|') AS {c}" for c in ("emails", "phones", "aliases"))
-    + " FROM m GROUP BY w"
+    + ", coalesce(any_value(t.socials), '') AS socials FROM m LEFT JOIN t USING (w) GROUP BY m.w"
 )
 def dedup_merge(spark: SparkSession, d: str) -> DataFrame:
     known = urls.KnownHosts.read(table(spark, d, "known_hosts"))
     shops = dedup.shop_rows(table(spark, d, "stores"), known)
     x = dedup.merged_contacts(shops, dedup.shop_winners(shops))
-    return x.select("store_id", *[F.array_join(c, "|").alias(c) for c in ("emails", "phones", "aliases")])
+    nets = F.array_join(F.transform(F.array_sort(F.map_entries("socials")), lambda e: F.concat_ws("=", e["key"], F.array_join(e["value"], ","))), "|").alias("socials")
+    return x.select("store_id", *[F.array_join(c, "|").alias(c) for c in ("emails", "phones", "aliases")], nets)
+
+
+_FACT = "field, value, source_url, rule, excerpt, observed_at, content_hash, family"
+
+
+@query(
+    _GREEDY
+    + f", m AS (SELECT coalesce(d.duplicate_of, d.id) AS w, d.duplicate_of IS NOT NULL AS added, e.* FROM evidence e JOIN decided d ON d.id = e.store_id WHERE d.duplicate_of IS NULL OR e.field IN ('emails', 'phones', 'socials'))"
+    f" SELECT w AS store_id, {_FACT}, bool_and(added) AS added FROM m GROUP BY w, {_FACT}"
+)
+def evidence_append(spark: SparkSession, d: str) -> DataFrame:
+    """Each winner's evidence, with what its duplicates' contacts add to it."""
+    shops = dedup.shop_rows(table(spark, d, "stores"), urls.KnownHosts.read(table(spark, d, "known_hosts")))
+    return dedup.merged_evidence(dedup.shop_winners(shops), table(spark, d, "evidence"))
 
 
 _PROJECT = f"""WITH {sql.NOW}, {sql.STORE}, ev AS (SELECT store_id, min(observed_at) AS oldest FROM evidence WHERE field IN ('shopify', 'india') GROUP BY 1),
@@ -157,18 +174,48 @@ def csv_safe(spark: SparkSession, d: str) -> DataFrame:
     return x.select("store_id", *cells, export.csv_safe(F.get("phones", F.lit(0))).alias("phone"))
 
 
-@query()
+_JSON = {c: f"to_json({c})::VARCHAR" for c in ("emails", "phones")} | {
+    "socials": "CASE WHEN socials IS NOT NULL THEN '{' || array_to_string(list_transform(list_sort(map_entries(socials)), lambda e: to_json(e.key)::VARCHAR || ':' || to_json(e.value)::VARCHAR), ',') || '}' END",
+    "observed_at": "rtrim(rtrim(strftime(observed_at, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.')",
+}
+
+
+@query(f"WITH {_OK} SELECT " + ", ".join(f"{_RISKY(_JSON.get(c, c))} AS {c}" for c in export.RECORD) + " FROM ok")
 def export_records(spark: SparkSession, d: str) -> DataFrame:
-    """Guarded public records; JSON texts of nested cells differ between engines, so there is no SQL."""
+    """Guarded public records as text cells, nested ones as JSON."""
     return export.records(_accepted(spark, d))
 
 
-@query()
+_LIST = lambda c: f"'[' || array_to_string({c}, ',') || ']'"
+_CANON = {c: c for c in ("store_id", "domain_url", "name", "category", "description", "logo_url", "state", "shop_identity", "shopify", "india", "status", "reason", "rule_version")}
+_CANON |= {c: _LIST(c) for c in ("emails", "phones", "aliases")} | {"pages_checked": "pages_checked::VARCHAR", "observed_at": "epoch_us(observed_at)::VARCHAR"}
+_CANON["socials"] = f"'{{{{' || array_to_string(list_transform(list_sort(map_entries(socials)), lambda e: e.key || '=' || {_LIST('e.value')}), ';') || '}}}}'".replace("{{", "{").replace("}}", "}")
+_ROW = "concat_ws(chr(10), " + ", ".join(f"'{c}=' || {v}" for c, v in sorted(_CANON.items())) + ")"
+
+
+@query(
+    f"""WITH {_OK}, r AS (SELECT store_id, sha256({_ROW}) AS digest, ('0x' || sha256(store_id)[1:15])::BIGINT % (count(*) OVER () // 4096 + 1) AS b FROM ok),
+x AS (SELECT b, count(*) AS n, sha256(string_agg(digest, '' ORDER BY store_id)) AS digest FROM r GROUP BY b)
+SELECT sum(n)::BIGINT AS rows, CASE WHEN count(*) = 1 THEN any_value(digest) ELSE sha256(string_agg(digest, '' ORDER BY b)) END AS digest FROM x"""
+)
 def snapshot_hash(spark: SparkSession, d: str) -> DataFrame:
     """One digest over all accepted records, the same at any partitioning."""
     return export.snapshot_digest(export.row_digest(_accepted(spark, d), "store_id"), "store_id")
 
 
+@query(f"WITH {_OK}, n AS (SELECT count(*) AS n FROM ok), e AS (SELECT count(*) AS n FROM evidence WHERE store_id IN (SELECT store_id FROM ok)) SELECT n.n AS stores, e.n AS evidence, 0 AS files_changed, 0 AS cells_changed FROM n, e")
+def snapshot_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """A whole snapshot written to the shared folder, read again and compared: files by their checksums, cells one by one."""
+    now = _accepted(spark, d)
+    folder, rows = new_folder(spark, "snapshot"), now.select(F.col("store_id").alias("id"), F.col("domain_url").alias("url"), "status", "reason", F.lit(None).cast("string").alias("duplicate_of"))
+    tables = export.snapshot_tables(rows, now, table(spark, d, "evidence"), table(spark, d, "sources"), table(spark, d, "runs"))
+    export.write_snapshot(spark, folder, tables, export.snapshot_digest(export.row_digest(now, "store_id"), "store_id").first().digest or "")
+    _, back = export.read_snapshot(spark, folder)
+    n = lambda x, c: x.agg(F.count("*").alias(c))
+    files, cells = n(export.changed_files(spark, folder), "files_changed"), n(validation.cell_differences(now, back["stores.csv"]), "cells_changed")
+    return n(back["stores.jsonl"], "stores").join(n(back["evidence.jsonl"], "evidence")).join(files).join(cells)
+
+
 @query(f"WITH {_OK} SELECT store_id FROM (SELECT DISTINCT store_id FROM ok) ORDER BY sha256('20260929:' || store_id), store_id LIMIT 150")
 def audit_sample(spark: SparkSession, d: str) -> DataFrame:
     return export.ordered_sample(_accepted(spark, d), "store_id")
@@ -176,26 +223,39 @@ def audit_sample(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {_OK}, e AS (SELECT store_id, list(DISTINCT field) AS fields, list(DISTINCT family) AS families,
+  bool_or(coalesce(field = 'shopify' AND family = 'delivery' AND regexp_matches(value, '{rules.RUNTIME}') AND regexp_matches(value, '(?i)^[^?#]*\\.(js|mjs|css)([?#]|$)'), FALSE)) AS delivered,
   bool_or(coalesce(source_url = '', TRUE) OR observed_at IS NULL OR NOT coalesce(regexp_full_match(content_hash, '[0-9a-f]{{64}}'), FALSE)) AS bad FROM evidence GROUP BY 1),
-x AS (SELECT ok.*, e.fields, e.families, e.bad, ok.store_id IN (SELECT candidate_id FROM sources) AS named FROM ok LEFT JOIN e USING (store_id))
-SELECT 'unverified' AS code, store_id FROM x WHERE NOT coalesce(shopify = 'verified' AND india = 'verified', FALSE)
+x AS (SELECT ok.*, e.fields, e.families, e.bad, e.delivered, ok.store_id IN (SELECT candidate_id FROM sources) AS named FROM ok LEFT JOIN e USING (store_id)),
+u AS (SELECT 'unverified' AS code, store_id FROM x WHERE NOT coalesce(shopify = 'verified' AND india = 'verified', FALSE)
 UNION ALL SELECT 'required_evidence', store_id FROM x WHERE NOT coalesce(list_has_all(fields, ['shopify', 'india']), FALSE)
 UNION ALL SELECT 'families', store_id FROM x WHERE NOT coalesce(list_has_all(families, ['identity', 'delivery', 'commerce']), FALSE)
 UNION ALL SELECT 'attribution', store_id FROM x WHERE NOT named
 UNION ALL SELECT 'email', store_id FROM x WHERE len(list_filter(emails, lambda a: NOT (regexp_full_match(a, '{contacts.EMAIL.replace("'", "''")}')
   AND NOT list_contains({list(contacts.TEMPLATE_DOMAINS)}, lower(split_part(a, '@', -1))) AND NOT regexp_matches(lower(a), '\\.(png|jpg|webp)$') AND NOT regexp_matches(lower(a), '^(yourname|example)@')))) > 0
 UNION ALL SELECT 'provenance', store_id FROM x WHERE bad
-UNION ALL SELECT 'unsupported_field', store_id FROM x WHERE (coalesce(len(emails), 0) > 0 AND NOT coalesce(list_contains(fields, 'emails'), FALSE)) OR (coalesce(len(phones), 0) > 0 AND NOT coalesce(list_contains(fields, 'phones'), FALSE)) OR (coalesce(cardinality(socials), 0) > 0 AND NOT coalesce(list_contains(fields, 'socials'), FALSE))
+UNION ALL SELECT 'runtime', store_id FROM x WHERE NOT coalesce(delivered, FALSE)
+UNION ALL SELECT 'missing_identity', store_id FROM x WHERE coalesce(shop_identity, '') = ''
+UNION ALL SELECT DISTINCT 'social', store_id FROM (SELECT store_id, unnest(flatten(map_values(socials))) AS v FROM x)
 UNION ALL SELECT 'repeated_domain', store_id FROM ok WHERE domain_url IN (SELECT domain_url FROM ok GROUP BY 1 HAVING count(*) > 1)
-UNION ALL SELECT 'repeated_identity', store_id FROM ok WHERE shop_identity IN (SELECT shop_identity FROM ok GROUP BY 1 HAVING count(*) > 1)"""
+UNION ALL SELECT 'repeated_identity', store_id FROM ok WHERE shop_identity IN (SELECT shop_identity FROM ok GROUP BY 1 HAVING count(*) > 1))
+SELECT *, NULL::VARCHAR AS field FROM u UNION ALL """
+    + " UNION ALL ".join(f"SELECT 'unsupported_field', store_id, '{c}' FROM x WHERE NOT ({m}) AND NOT coalesce(list_contains(fields, '{c}'), FALSE)" for c, m in _MISSING.items())
 )
 def validate_violations(spark: SparkSession, d: str) -> DataFrame:
     return validation.store_violations(_accepted(spark, d), table(spark, d, "evidence"), table(spark, d, "sources"))
 
 
-@query(f"WITH {_OK} SELECT domain_url AS value, count(*) AS n FROM ok WHERE domain_url IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+@query(f"WITH {_OK} SELECT shop_identity AS value, count(*) AS n FROM ok WHERE shop_identity IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def uniqueness(spark: SparkSession, d: str) -> DataFrame:
-    return validation.repeated(_accepted(spark, d), "domain_url")
+    return validation.repeated(_accepted(spark, d), "shop_identity")
+
+
+@query(f"WITH {_OK} SELECT FALSE AS passed, count(*) AS repeated FROM (SELECT 1 FROM ok WHERE shop_identity IS NOT NULL GROUP BY shop_identity HAVING count(*) > 1)")
+def snapshot_verdict(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the accepted stores pass all checks (these do not), and how many identities repeat."""
+    now = _accepted(spark, d)
+    v = validation.verdict(validation.store_violations(now, table(spark, d, "evidence"), table(spark, d, "sources")))
+    return v.join(validation.repeated(now, "shop_identity").agg(F.count("*").alias("repeated"))).select("passed", "repeated")
 
 
 @query("SELECT store_id, count(*) AS n FROM (SELECT DISTINCT * FROM evidence) GROUP BY 1")
@@ -256,9 +316,11 @@ def set_equality(spark: SparkSession, d: str) -> DataFrame:
     return validation.differences(a, part("emails").unionByName(part("phones")))
 
 
-@query("SELECT 'stores' AS name, count(*) AS n FROM stores UNION ALL SELECT 'evidence', count(*) FROM evidence UNION ALL SELECT 'sources', count(*) FROM sources")
+@query("SELECT 'stores' AS name, count(DISTINCT store_id) AS n FROM stores UNION ALL SELECT 'candidates', count(DISTINCT id) FROM candidates UNION ALL SELECT 'observed', count(DISTINCT candidate_id) FROM observations")
 def parity_check(spark: SparkSession, d: str) -> DataFrame:
-    return validation.row_counts(**{n: table(spark, d, n) for n in ("stores", "evidence", "sources")})
+    """Numbers of stores, candidates and observed candidates, shown since they differ."""
+    key = lambda n, c: table(spark, d, n).where(F.col(c).isNotNull()).select(c).distinct()
+    return validation.counts_differ(stores=key("stores", "store_id"), candidates=key("candidates", "id"), observed=key("observations", "candidate_id"))
 
 
 @query(

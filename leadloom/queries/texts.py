@@ -100,18 +100,24 @@ def nbsp_repair(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT sha256(text) AS digest, count(*) AS copies, min(doc_id) AS first_doc FROM documents WHERE text <> '' GROUP BY 1")
 def blob_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    """Texts as content-addressed blobs: each content once, with its copies."""
-    x = table(spark, d, "documents").where("text <> ''").select("doc_id", F.sha2("text", 256).alias("digest"))
-    return x.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"))
+    """Texts as content-addressed blobs: each content stored once, with its copies."""
+    x = table(spark, d, "documents").where("text <> ''").select("doc_id", F.encode("text", "utf-8").alias("body"))
+    stored = leads.store_blobs(x, spark.createDataFrame([], "digest string")).select("digest")
+    copies = x.select("doc_id", F.sha2("body", 256).alias("digest")).groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"))
+    return stored.join(copies, "digest")
 
 
-@query("SELECT doc_id, TRUE AS intact FROM documents WHERE text <> ''")
+@query("SELECT sha256(text) AS digest, bool_and(doc_id % 7 <> 0) AS intact FROM documents WHERE text <> '' AND doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text) GROUP BY text")
 def blob_verify(spark: SparkSession, d: str) -> DataFrame:
+    """Stored blobs, of which those whose first document's id divides by 7 were damaged by cutting off their last byte."""
     x = table(spark, d, "documents").where("text <> ''").select("doc_id", F.encode("text", "utf-8").alias("body"))
-    return leads.verified_blobs(x.withColumn("digest", F.sha2("body", 256))).select("doc_id", "intact")
+    first = x.groupBy(F.sha2("body", 256).alias("digest")).agg(F.min("doc_id").alias("first"))
+    stored = leads.store_blobs(x, spark.createDataFrame([], "digest string")).join(first, "digest")
+    damaged = stored.withColumn("body", F.when(F.col("first") % 7 == 0, F.substring(F.col("body"), F.lit(1), F.length("body") - 1)).otherwise(F.col("body")))
+    return leads.verified_blobs(damaged).select("digest", "intact")
 
 
-@query()
+@query("SELECT doc_id, regexp_extract(page_url, '^([a-z]+://[^/?#]+)', 1) || regexp_replace(coalesce(nullif(regexp_extract(regexp_extract(page_url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '^(.*/)', 1), ''), '/'), '[^/]+/$', '') || 'pages/contact#form' AS url FROM documents WHERE page_url IS NOT NULL")
 def resolve_url(spark: SparkSession, d: str) -> DataFrame:
     """A contact link on each document's page, as an absolute address (an Arrow function over the standard library)."""
     x = table(spark, d, "documents").where("page_url IS NOT NULL")

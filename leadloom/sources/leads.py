@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gzip
+import zlib
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,15 +55,15 @@ def parsed_lines(lines: DataFrame, pos: str = "pos", text: str = "value") -> Dat
     return x.groupBy("url").agg(F.min(pos).alias(pos)).select(pos, "url")
 
 
-def parsed_tables(pages: DataFrame, html: str = "html", header: str = "store") -> DataFrame:
-    """(cell): first cells of the tables headed ``header``, by an Arrow function over pages."""
+def parsed_tables(pages: DataFrame, html: str = "html", header: str = "store", keep: list[str] | None = None) -> DataFrame:
+    """(cell, domain), and the columns ``keep``: first cells of the tables headed ``header``, by an Arrow function over pages."""
 
     @F.pandas_udf("array<string>")
     def cells(column: pd.Series) -> pd.Series:
         return column.map(lambda h: table_cells(h or "", header))
 
-    x = pages.select(F.explode(cells(F.col(html))).alias("cell"))
-    return x.select("cell", F.regexp_extract(F.lower("cell"), r"((?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,})", 1).alias("domain"))
+    x = pages.select(*(keep or []), F.explode(cells(F.col(html))).alias("cell"))
+    return x.select(*(keep or []), "cell", F.regexp_extract(F.lower("cell"), r"((?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,})", 1).alias("domain"))
 
 
 def lead_slice(leads: DataFrame, offset: int = 0, limit: int = 300, *order: str) -> DataFrame:
@@ -71,14 +74,45 @@ def lead_slice(leads: DataFrame, offset: int = 0, limit: int = 300, *order: str)
 
 
 def store_blobs(blobs: DataFrame, existing: DataFrame) -> DataFrame:
-    """(digest, body) of ``blobs`` (body) that are new against ``existing`` (digest), each content once; empty bodies are none."""
+    """(digest, body, packed) of ``blobs`` (body) that are new against ``existing`` (digest), each content once; empty bodies are
+    none. A body is kept deflated where that is smaller; the digest is that of the plain body."""
+
+    @F.pandas_udf("binary")
+    def deflated(column: pd.Series) -> pd.Series:
+        return column.map(lambda b: gzip.compress(bytes(b), 3, mtime=0))
+
     x = blobs.where(F.length("body") > 0).select(F.sha2("body", 256).alias("digest"), "body").dropDuplicates(["digest"])
-    return x.join(existing.select("digest"), "digest", "left_anti")
+    x = x.join(existing.select("digest"), "digest", "left_anti").withColumn("_z", deflated(F.col("body")))
+    small = F.length("_z") < F.length("body")
+    return x.select("digest", F.when(small, F.col("_z")).otherwise(F.col("body")).alias("body"), small.alias("packed"))
 
 
 def verified_blobs(blobs: DataFrame) -> DataFrame:
-    """``blobs`` (digest, body) with ``intact``: the digest is well formed and that of the body."""
-    return blobs.withColumn("intact", F.col("digest").rlike("^[0-9a-f]{64}$") & (F.sha2("body", 256) == F.col("digest")))
+    """``blobs`` (digest, body, packed) with the plain body and ``intact``: the digest is well formed and that of the plain body. What
+    cannot be unpacked has a null body and is not intact. Without a column ``packed`` all bodies are plain."""
+
+    @F.pandas_udf("binary")
+    def plain(column: pd.Series, packed: pd.Series) -> pd.Series:
+        def one(b, z):
+            try:
+                return bytes(b) if b is None or not z else gzip.decompress(bytes(b))
+            except (OSError, EOFError, zlib.error):
+                return None
+
+        return pd.Series([one(b, z) for b, z in zip(column, packed)], dtype=object)
+
+    x = blobs.withColumn("body", plain(F.col("body"), F.coalesce("packed", F.lit(False)))) if "packed" in blobs.columns else blobs
+    return x.withColumn("intact", F.coalesce(F.col("digest").rlike("^[0-9a-f]{64}$") & (F.sha2("body", 256) == F.col("digest")), F.lit(False)))
+
+
+def slice_manifest(leads: DataFrame, selected: DataFrame, source: str, offset: int, limit: int, column: str = "url") -> DataFrame:
+    """One row (source, offset, limit, available, selected, content_hash): what a page of a source's leads was taken from; the
+    hash is over the distinct leads, in whatever order."""
+    from leadloom.operators.export import snapshot_digest
+
+    every = leads.select(column).distinct()
+    digest = snapshot_digest(every.select(column, F.sha2(column, 256).alias("digest")), column).select(F.col("rows").alias("available"), F.col("digest").alias("content_hash"))
+    return digest.join(selected.agg(F.count("*").alias("selected"))).select(F.lit(source).alias("source"), F.lit(offset).alias("offset"), F.lit(limit).alias("limit"), "available", "selected", "content_hash")
 
 
 def from_text(spark: SparkSession, text: str, source: str, source_url: str) -> DataFrame:

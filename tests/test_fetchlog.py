@@ -20,9 +20,31 @@ def test_paced_is_the_recurrence(spark, monkeypatch):
 
 
 def test_redirects(spark):
-    e = [("a", "b"), ("b", "c"), ("x", "y"), ("y", "x"), *[(f"n{i}", f"n{i + 1}") for i in range(9)]]
-    got = {r.url: (r.final_url, r.outcome) for r in fetchlog.redirects(spark.createDataFrame(e, "url string, location string")).collect()}
-    assert got["a"] == ("c", "end") and got["b"] == ("c", "end") and got["x"][1] == "loop" and got["n0"][1] == "limit" and got["n6"] == ("n9", "end")
+    u = lambda x: f"https://{x}.example/"
+    e = [(u(a), u(b)) for a, b in [("a", "b"), ("b", "c"), ("x", "y"), ("y", "x"), *[(f"n{i}", f"n{i + 1}") for i in range(9)]]] + [(u("p"), u("q")), (u("q"), "http://127.0.0.1/"), (u("r"), "ftp://a.example/")]
+    rows = spark.createDataFrame(e, "url string, location string").withColumn("_bad", F.lit("clash"))
+    got = {r.url: (r.final_url, r.outcome) for r in fetchlog.redirects(rows).collect()}
+    assert got[u("a")] == (u("c"), "end") and got[u("b")] == (u("c"), "end") and got[u("x")][1] == "loop" and got[u("n0")][1] == "limit" and got[u("n6")] == (u("n9"), "end")
+    assert got[u("p")] == (u("q"), "unsafe") and got[u("q")] == (u("q"), "unsafe") and got[u("r")] == (u("r"), "unsafe")
+    barred = rows.withColumn("allowed", F.col("location") != u("c"))
+    assert {r.url: r.outcome for r in fetchlog.redirects(barred).collect()}[u("a")] == "blocked"
+
+
+def test_busy_answers_hold_a_host_back(spark, monkeypatch):
+    monkeypatch.setattr(fetchlog, "SLICE", 2)
+    base = dt.datetime(2025, 1, 1)
+    log = [(1, "h", 0, 200, None), (2, "h", 1, 429, None), (3, "h", 2, 200, None), (4, "h", 3, 503, "40"), (5, "h", 5, 200, None), (6, "h", 60, 200, None), (7, "k", 2, 200, None)]
+    rows = spark.createDataFrame([(i, h, base + dt.timedelta(seconds=s), s * 1_000_000, c, r, i) for i, h, s, c, r in log], "id int, host string, at timestamp_ntz, start_us long, status_code int, retry_after string, k int")
+    got = {r.id: (r.held_us and r.held_us // 1_000_000, r.deferred) for r in fetchlog.pushed(rows, "host", "at", 2.0).collect()}
+    assert got == {1: (None, False), 2: (None, False), 3: (6, False), 4: (6, False), 5: (43, True), 6: (None, False), 7: (None, False)}
+
+
+def test_robots_answers(spark):
+    t = dt.datetime(2025, 1, 2)
+    rows = [("ok", 200, "Text/Plain; charset=utf-8", t, "rules"), ("ok", 200, None, t, "rules"), ("ok", 200, "text/html", t, "defer"), ("http_error", 404, None, t, "allow"), ("http_error", 500, None, t, "defer"), ("ok", 200, "", t - dt.timedelta(days=2), "expired"), ("ok", 200, "", None, "expired")]
+    x = spark.createDataFrame(rows, "o string, c int, k string, t timestamp_ntz, want string")
+    got = x.select("want", fetchlog.robots_state(F.col("o"), F.col("c"), F.col("k"), F.col("t"), F.lit(t)).alias("got")).collect()
+    assert all(r.want == r.got for r in got)
 
 
 def test_robots():

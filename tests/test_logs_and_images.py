@@ -39,6 +39,18 @@ def test_top_valid_and_reason(spark):
     assert [r.r for r in y.collect()] == ["none", "none", "why"]
 
 
+def test_reviews(spark):
+    s = spark.createDataFrame([("a", "verified", "verified"), ("b", "verified", "conflict")], "store_id string, shopify string, india string")
+    e = spark.createDataFrame([("a", "f", "1", dt.datetime(2025, 1, 1)), ("a", "f", "2", None)], "store_id string, field string, value string, observed_at timestamp_ntz")
+    new = spark.createDataFrame([(1, "a", "confirmed", "", "r"), (2, "b", "confirmed", "", "r"), (3, "c", "excluded", "", "r"), (4, "b", "maybe", None, None), (5, "b", "excluded", "", "r")], "id int, candidate_id string, decision string, note string, reviewer string")
+    good, bad = logs.checked_reviews(new, s, e)
+    assert {r.id: r.error for r in bad.collect()} == {2: "not verified both ways", 3: "no evidence was collected", 4: "invalid decision"}
+    kept = {r.id: r.evidence_hash for r in good.collect()}
+    assert set(kept) == {1, 5} and len(kept[1]) == 64 and kept[5] is None
+    again = lambda x: logs.evidence_hashes(x).first().evidence_hash
+    assert again(e.orderBy("value").unionByName(e)) == again(e.repartition(3)) == kept[1] != again(e.where("value = '1'"))
+
+
 def test_refine_is_idempotent(spark):
     rows = [("a", "emails", "x@shop.in", ""), ("a", "emails", "bad", ""), ("a", "phones", "98765 43210", ""), ("a", "phones", "12", ""), ("a", "shopify", "/x/icon.png", "delivery"), ("a", "state", "y", "")]
     e = spark.createDataFrame(rows, "store_id string, field string, value string, family string")

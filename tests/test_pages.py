@@ -69,6 +69,38 @@ def test_contacts(spark):
     assert [y.v for y in v.select(contacts.valid_email(F.col("e")).alias("v")).collect()] == [True, False, False, False, False]
 
 
+def test_visible_phones_and_extensions(spark):
+    t = [("Call us: 98765 43210 or +91 22 4567 8901 ext. 5, fax 12", ["98765 43210", "+91 22 4567 8901 ext. 5"]), ("Order 9876543210 shipped", []), ("+49 30 1234567", ["+49 30 1234567"]), (None, None), ("x" * 60 + " 9876543210 " + "y" * 30 + " phone", [])]
+    got = [r.p for r in spark.createDataFrame([(a,) for a, _ in t], "t string").select(contacts.phones_in(F.col("t")).alias("p")).collect()]
+    assert got == [b for _, b in t]
+    x = spark.createDataFrame([("022 4567 8901 x12",), ("9876543210",), ("1",)], "p string").select(contacts.phone_with_extension(F.col("p")).alias("p"))
+    assert [r.p for r in x.collect()] == ["+912245678901 ext. 12", "+919876543210", None]
+
+
+def test_a_store_of_several_pages(spark):
+    home = '<title>Loom</title><header class="Header-1"><a href="https://www.loom.in/"><img data-src="/i/Logo.svg?v=1" alt="x"></a><img src="/cupid-logo.png"><img src="/pay.png" alt="Payment logo"></header><a href="/pages/about-us">us</a><a href="/products/contact">x</a><a href="https://other.in/contact">y</a>'
+    contact = '<p>Corporate address: 4 Hill Road, New Arkanadu, India 560001</p><p>Phone: 98765 43210</p><a href="https://facebook.com/people/a/1">f</a><a href="https://facebook.com/b">g</a><a hidden href="mailto:no@loom.in">n</a><script type="application/ld+json">{"@type":["Thing","Store"],"url":"https://www.loom.in","contactPoint":[{"email":["Desk@loom.in"]}],"logo":{"contentUrl":"/l.png"}}</script>'
+    rows = [("s", 0, "https://loom.in/", home, "https://old.in/", ["https://old.in/", "https://loom.in/"]), ("s", 1, "https://loom.in/contact", contact, None, None)]
+    x = spark.createDataFrame(rows, "store_id string, page_no int, url string, html string, candidate_url string, chain array<string>").withColumn("observed_at", F.lit(None).cast("timestamp_ntz"))
+    parsed = storefront.parsed_pages(x)
+    dim = lambda *names: rules.dimension(spark.createDataFrame([(n.split(":")[0], n.split(":")[-1]) for n in names], "l string, n string"), "l", "n")
+    s = storefront.stores(parsed, dim("New Arkanadu", "Arkanadu"), dim("Tea", "Cups"), towns=dim("Girivana:Hill")).first()
+    assert (s.emails, s.phones, s.socials) == (["desk@loom.in"], ["+919876543210"], {"facebook": ["https://facebook.com/b", "https://facebook.com/people/a/1"]})
+    assert s.state == "New Arkanadu" and s.india == "verified" and s.reason == "Shopify identity needs review." and s.aliases == ["https://old.in/", "https://loom.in/"]
+    assert s.missing == {c: "not_found_in_allowed_pages" for c in ("category", "description", "logo_url")} and s.pages_checked == 2 and s.domain_url == "https://loom.in/"
+    assert {(r.src, r.score) for r in storefront.logo_candidates(parsed).collect()} == {("https://loom.in/i/Logo.svg?v=1", 23), ("https://loom.in/cupid-logo.png", 11), ("https://loom.in/l.png", 20)}
+    assert {(r.link, r.score) for r in storefront.select_links(parsed).collect()} == {("https://loom.in/pages/about-us", 8)}
+    both = storefront.with_unreachable(storefront.stores(parsed, dim("A"), dim("B")), spark.createDataFrame([("s", "u"), ("t", "v")], "id string, url string"))
+    assert {r.store_id: r.status for r in both.collect()} == {"s": "review", "t": "unreachable"}
+
+
+def test_address_wording(spark):
+    states = rules.dimension(spark.createDataFrame([("Arkanadu", "Arkanadu")], "l string, n string"), "l", "n")
+    said = ["Shipping to Hill Road, Arkanadu 560001", "We are delivering across Arkanadu, Hill Road 560001", "Our registered address: 4 Hill Road, Arkanadu 560001", "Principal offices at Hill Road, Arkanadu, India, plot A-12", "Corporate address Hill Road, Arkanadu 560001"]
+    a = rules.address_candidates(spark.createDataFrame([("s", "https://a.in/contact", x) for x in said], "store_id string, page_url string, block string"), states)
+    assert {(r.excerpt, r.priority, r.basis) for r in a.collect()} == {(said[2], 4, "business_address"), (said[3], 4, "registered_office_without_pin"), (said[4], 3, "business_address")}
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.json").write_text('﻿[{"url":"a.in","source":"s","source_url":"u"},{"candidate_url":"b.in","status":"x","sources":[{"name":"n","source_url":"m"}]}]', encoding="utf-8")
     assert sorted(tuple(r) for r in leads.read_json_import(spark, str(tmp_path / "a.json")).collect()) == [("a.in", "s", "u"), ("b.in", "n", "m")]
@@ -82,3 +114,7 @@ def test_sources(spark, tmp_path):
     b = spark.createDataFrame([(b"x",), (b"x",), (b"",)], "body binary")
     new = leads.store_blobs(b, spark.createDataFrame([], "digest string"))
     assert new.count() == 1 and leads.store_blobs(b, new).count() == 0 and leads.verified_blobs(new).first().intact
+    long = leads.store_blobs(spark.createDataFrame([(b"tea " * 500,)], "body binary"), new)
+    r = leads.verified_blobs(long).first()
+    assert long.first().packed and len(long.first().body) < 100 and r.intact and bytes(r.body) == b"tea " * 500
+    assert not leads.verified_blobs(long.withColumn("body", F.lit(b"junk"))).first().intact

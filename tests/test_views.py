@@ -22,7 +22,14 @@ def test_snapshot_digest_ignores_partitioning(spark):
 
 def test_snapshot_files(spark, tmp_path):
     m = export.write_snapshot(spark, str(tmp_path), {"a.csv": spark.range(3), "b.jsonl": spark.range(2)}, "f" * 64)
-    assert m == {"snapshot_id": "f" * 16, "rows": {"a.csv": 3, "b.jsonl": 2}} and spark.read.json(str(tmp_path / "b.jsonl")).count() == 2
+    assert m["snapshot_id"] == "f" * 16 and m["rows"] == {"a.csv": 3, "b.jsonl": 2} and spark.read.json(str(tmp_path / "b.jsonl")).count() == 2
+    manifest, back = export.read_snapshot(spark, str(tmp_path))
+    assert manifest == m and sorted(r.id for r in back["a.csv"].collect()) == ["0", "1", "2"] and export.changed_files(spark, str(tmp_path)).count() == 0
+    part = max((tmp_path / "b.jsonl").glob("part-*"), key=lambda p: p.stat().st_size)
+    part.write_bytes(part.read_bytes() + b"\n")
+    (part.parent / f".{part.name}.crc").unlink()
+    max((tmp_path / "a.csv").glob("part-*"), key=lambda p: p.stat().st_size).unlink()
+    assert sorted((r.file.split("/")[0], r.state) for r in export.changed_files(spark, str(tmp_path)).collect()) == [("a.csv", "missing"), ("b.jsonl", "changed")]
     z, sums = export.zip_bundle({"x": b"1"})
     assert z == export.zip_bundle({"x": b"1"})[0] and len(sums["x"]) == 64
 
@@ -66,6 +73,36 @@ def test_missingness_and_percent(spark):
     assert spark.range(1).select(statistics.percent(F.lit(1), F.lit(16))).first()[0] == 6.2
 
 
+STORE = "store_id string, domain_url string, emails array<string>, phones array<string>, socials map<string,array<string>>, category string, description string, logo_url string, state string, shop_identity string, shopify string, india string, observed_at timestamp_ntz"
+
+
+def test_each_violation_is_found(spark):
+    row = lambda i, **x: {"store_id": i, "domain_url": f"https://{i}.in/", "emails": ["a@shop.in"], "phones": None, "socials": {"instagram": ["https://instagram.com/a"]}, "category": None, "description": None, "logo_url": None, "state": "", "shop_identity": i, "shopify": "verified", "india": "verified", "observed_at": None} | x
+    cases = {
+        "ok": {}, "unverified": {"india": "conflict"}, "email": {"emails": ["a@example.com"]}, "social": {"socials": {"instagram": ["https://instagram.com/p/x"]}}, "missing_identity": {"shop_identity": None},
+        "unsupported_field": {"state": "Arkanadu"}, "attribution": {}, "families": {}, "runtime": {}, "provenance": {}, "required_evidence": {}, "repeated_domain": {"domain_url": "https://ok.in/"}, "repeated_identity": {"shop_identity": "ok"},
+    }
+    stores = spark.createDataFrame([tuple(row(i, **x).values()) for i, x in cases.items()], STORE)
+    js = "https://cdn.shopify.com/shopifycloud/a.js"
+    fact = lambda i, field, value, family, h="0" * 64: (i, field, value, "https://u/", h, dt.datetime(2025, 1, 1), family)
+    facts = [f for i in cases for f in (fact(i, "shopify", i, "identity"), fact(i, "shopify", "x", "commerce"), fact(i, "india", "India", ""), fact(i, "emails", "x", ""), fact(i, "socials", "x", ""), fact(i, "shopify", js, "delivery", "" if i == "provenance" else "0" * 64))]
+    facts = [f for f in facts if not (f[0] == "families" and f[6] == "commerce") and not (f[0] == "required_evidence" and f[1] == "india")]
+    facts = [(*f[:2], "/icon.png", *f[3:]) if f[0] == "runtime" and f[6] == "delivery" else f for f in facts]
+    evidence = spark.createDataFrame(facts, "store_id string, field string, value string, source_url string, content_hash string, observed_at timestamp_ntz, family string")
+    sources = spark.createDataFrame([(i,) for i in cases if i != "attribution"], "candidate_id string")
+    v = validation.store_violations(stores, evidence, sources)
+    got = {(r.code, r.store_id) for r in v.collect()}
+    assert got == {(i, i) for i in cases if i != "ok"} | {("repeated_domain", "ok"), ("repeated_identity", "ok")}
+    assert [r.field for r in v.where("code = 'unsupported_field'").collect()] == ["state"] and not validation.verdict(v).first().passed
+    good = stores.where("store_id = 'ok'")
+    assert validation.verdict(validation.store_violations(good, evidence, sources)).first().passed
+    cells = export.records(stores)
+    assert validation.cell_differences(stores, cells).count() == 0
+    bad = cells.where("store_id <> 'email'").withColumn("state", F.when(F.col("store_id") == "ok", "x").otherwise(F.col("state")))
+    assert {tuple(r) for r in validation.cell_differences(stores, bad).collect()} == {("ok", "state"), ("email", "store_id")}
+    assert validation.counts_differ(a=good, b=good).count() == 0 and validation.counts_differ(a=good, b=stores).count() == 2
+
+
 def test_differences_are_multisets(spark):
     a, b = spark.createDataFrame([(1,), (1,), (2,)], "x int"), spark.createDataFrame([(1,), (3,)], "x int")
     assert sorted(tuple(r) for r in validation.differences(a, b).collect()) == [("left", 1), ("left", 2), ("right", 3)]
