@@ -63,10 +63,24 @@ def dimension(names: DataFrame, label: str, name: str) -> DataFrame:
     return x.select("label", F.array_join("w", " ").alias("gram"), F.size("w").alias("words")).where("gram <> ''").distinct()
 
 
+#: Up to so many different first words, runs are only begun where one of them stands.
+MOST_FIRST_WORDS = 5_000
+
+
 def mentions(rows: DataFrame, key: str, text: str, names: DataFrame, most: int = 4) -> DataFrame:
-    """(key, label, gram): which names occur as whole words in a text. An equi-join on word runs, no pattern is tried."""
+    """(key, label, gram): which names occur as whole words in a text. An equi-join on word runs, no pattern is tried.
+
+    Runs of up to ``most`` words are begun only at words that a name begins with, as long as these are few enough for an
+    expression; the result is the same without that."""
+    firsts = [r.f for r in names.select(F.substring_index("gram", " ", 1).alias("f")).distinct().limit(MOST_FIRST_WORDS + 1).collect()]
     w = rows.select(key, words(F.col(text)).alias("_w"))
-    g = w.select(key, F.explode(word_grams(F.col("_w"), most)).alias("gram"))
+    if len(firsts) > MOST_FIRST_WORDS:
+        g = w.select(key, F.explode(word_grams(F.col("_w"), most)).alias("gram"))
+    else:
+        at = F.transform("_w", lambda x, i: F.when(x.isin(firsts) if firsts else F.lit(False), i + 1))
+        begun = w.select(key, F.explode(F.transform(F.array_compact(at), lambda i: F.slice("_w", i, F.lit(most)))).alias("_w"))
+        runs = F.transform(F.sequence(F.lit(1), F.size("_w")), lambda k: F.array_join(F.slice("_w", F.lit(1), k), " "))
+        g = begun.select(key, F.explode(runs).alias("gram"))
     return g.join(names.select("label", "gram"), "gram").select(key, "label", "gram").distinct()
 
 

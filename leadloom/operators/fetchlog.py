@@ -57,20 +57,27 @@ def pushed(requests: DataFrame, key: str, at: str, delay: float, longest: int =
 
 
 def paced(requests: DataFrame, key: str, at: str, tie: str, delay: float) -> DataFrame:
-    """Each request with asked_us and start_us: its earliest start if a key's requests start ``delay`` seconds apart, in order.
+    """Each request with k (its number within ``key``), asked_us and start_us: its earliest start if a key's requests start
+    ``delay`` seconds apart, in order. Rows without key or time are dropped.
 
-    start_k = max over j <= k of (asked_j + (k - j) delay), a running maximum of asked_j - j delay, which is taken within
-    partitions and over partitions' maxima like the numbers. Rows without key or time are dropped.
+    start_k = max over j <= k of (asked_j + (k - j) delay), a running maximum of asked_j - j delay. Requests are
+    range-partitioned by key and time, so that no key's log is in one task; numbers and maxima are taken within partitions, and
+    those of a key's earlier partitions (one row a key and partition) are added.
     """
     step = round(delay * 1_000_000)
     x = requests.where(F.col(key).isNotNull() & F.col(at).isNotNull())
-    x = numbered(x, key, at, tie).withColumn("asked_us", F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(at)))
-    x = x.withColumn("_v", F.col("asked_us") - F.col("k") * step).withColumn("_s", F.floor((F.col("k") - 1) / SLICE))
-    low = x.groupBy(key, "_s").agg(F.max("_v").alias("_m"))
-    low = low.withColumn("_m", F.max("_m").over(Window.partitionBy(key).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)))
-    inner = Window.partitionBy(key, "_s").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("_r", F.max("_v").over(inner)).join(low, [key, "_s"])
-    return x.withColumn("start_us", F.greatest("_r", "_m") + F.col("k") * step).drop("_v", "_s", "_r", "_m")
+    x = cut(x.repartitionByRange(key, at, tie).withColumn("_p", F.spark_partition_id()))
+    inner = Window.partitionBy("_p", key).orderBy(at, tie)
+    x = x.withColumns({"_k": F.row_number().over(inner), "asked_us": F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(at))})
+    x = x.withColumn("_v", F.col("asked_us") - F.col("_k") * step)
+    x = x.withColumn("_r", F.max("_v").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+    part = x.groupBy(key, "_p").agg(F.count("*").alias("_n"), F.max("_v").alias("_m"))
+    earlier = Window.partitionBy(key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    part = part.withColumn("_low", F.max(F.col("_m") - F.col("_before") * step).over(earlier)).select(key, "_p", "_before", "_low")
+    x = x.join(part, [key, "_p"]).withColumn("k", F.col("_k") + F.col("_before"))
+    top = F.greatest(F.col("_r") - F.col("_before") * step, F.col("_low"))
+    return x.withColumn("start_us", top + F.col("k") * step).drop("_p", "_k", "_v", "_r", "_before", "_low")
 
 
 def retries(observations: DataFrame, most: int = 2, longest: int = 30) -> DataFrame:

@@ -1,6 +1,8 @@
 import datetime as dt
 import struct
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from leadloom.__main__ import main
@@ -62,3 +64,12 @@ def test_refine_is_idempotent(spark):
 
 def test_command_line(capsys):
     assert main(["list"]) == 0 and "p3_found" in capsys.readouterr().out
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").is_dir(), reason="no test tables")
+def test_verbs(spark, tmp_path, capsys):
+    (tmp_path / "in.json").write_text('[{"url":"a.in","source":"s","source_url":"u"},{"url":"bad","source":"s","source_url":"u"}]')
+    assert main(["import", str(tmp_path / "in.json"), str(tmp_path / "i")]) == 0 and spark.read.parquet(str(tmp_path / "i" / "candidates.parquet")).count() == 1
+    out = str(tmp_path / "o")
+    assert main(["export", "/root/testdata/sf0.001", out]) == 0 and main(["validate", "/root/testdata/sf0.001", out]) == 1
+    assert "files changed 0, cells changed 0" in capsys.readouterr().out
