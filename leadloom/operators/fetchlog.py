@@ -68,7 +68,7 @@ def paced(requests: DataFrame, key: str, at: str, tie: str, delay: float) -> Dat
     x = requests.where(F.col(key).isNotNull() & F.col(at).isNotNull())
     x = cut(x.repartitionByRange(key, at, tie).withColumn("_p", F.spark_partition_id()))
     inner = Window.partitionBy("_p", key).orderBy(at, tie)
-    x = x.withColumns({"_k": F.row_number().over(inner), "asked_us": F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(at))})
+    x = x.withColumns({"_k": F.row_number().over(inner).cast("bigint"), "asked_us": F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(at))})
     x = x.withColumn("_v", F.col("asked_us") - F.col("_k") * step)
     x = x.withColumn("_r", F.max("_v").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
     part = x.groupBy(key, "_p").agg(F.count("*").alias("_n"), F.max("_v").alias("_m"))
