@@ -19,6 +19,7 @@ is grouped, linked or labelled anew beyond the touched shops.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -242,8 +243,8 @@ class FrontHistory:
         spark = next(iter(self.tables.values())).sparkSession
         versions = Versions(spark, self.folder)
         part = versions.draft()
-        for name, rows in self.tables.items():
-            rows.sortWithinPartitions(LOOKUP[name]).write.parquet(f"{part}/{name}")
+        with ThreadPoolExecutor(len(TABLES)) as pool:  # the tables don't depend on each other
+            list(pool.map(lambda x: x[1].sortWithinPartitions(LOOKUP[x[0]]).write.parquet(f"{part}/{x[0]}"), self.tables.items()))
         parts = [*self.parts, part]
         if len(parts) > self.COMPACT:
             whole, every = versions.draft(), {n: spark.read.schema(s).parquet(*[f"{p}/{n}" for p in parts]) for n, s in TABLES.items()}

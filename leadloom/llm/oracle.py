@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from leadloom.llm import canonical, survivors
-from leadloom.queries import sql
+from leadloom.queries import shops, sql
 
 _P1 = rf"""
 WITH RECURSIVE c AS (SELECT id, min(url) AS url FROM candidates WHERE id IS NOT NULL GROUP BY id),
@@ -73,6 +73,22 @@ best AS (SELECT group_id, field, arg_max(value, (round(p, 9), value)) AS value,
 SELECT group_id, field, shown AS value, round(best.p, 5) AS p FROM best JOIN spelled USING (group_id, field, value)"""
 
 
+_NUMBER = shops._PHONE.replace("'(?i)\\s*(ext\\.?|x)\\s*[0-9]+\\s*$'", "'(?i)\\s*(?:ext\\.?|x)\\s*[0-9]{1,7}\\s*$'")
+_E164 = f"CASE WHEN regexp_matches({_NUMBER}, '^(\\+?91|0)?[1-9][0-9]{{9}}$') THEN '+91' || right({_NUMBER}, 10) WHEN regexp_matches({_NUMBER}, '^\\+[1-9][0-9]{{7,14}}$') AND NOT starts_with({_NUMBER}, '+91') THEN {_NUMBER} END"
+_P2_VALUES = f"""
+WITH RECURSIVE {_P2_GROUPS}, own AS (SELECT g.group_id, store.* FROM g JOIN store USING (store_id)),
+mail AS (SELECT group_id, regexp_extract(lower({sql.trim("e")}), '^(?:mailto:)?([^\\s@<>,;?]+@[^\\s@<>,;?]+?)[.,;]*(?:\\?.*)?$', 1) AS value FROM (SELECT group_id, unnest(emails) AS e FROM own)),
+mails AS (SELECT *, count(*) OVER (PARTITION BY value) AS used FROM (SELECT group_id, value, count(*) AS n FROM mail WHERE value <> '' GROUP BY ALL)),
+p AS (SELECT group_id, {sql.trim("p")} AS p FROM (SELECT group_id, unnest(phones) AS p FROM own) WHERE {sql.trim("p")} <> ''),
+pk AS (SELECT group_id, p AS value, concat_ws(' x', coalesce({_E164}, nullif(regexp_replace(p, '[^0-9+]', '', 'g'), ''), p), nullif(regexp_extract(p, '(?i)(?:ext\\.?|x)\\s*([0-9]+)\\s*$', 1), '')) AS key, count(*) AS n FROM p GROUP BY ALL),
+a AS (SELECT group_id, {sql.trim("v")} AS value FROM (SELECT group_id, unnest(list_append(coalesce(aliases, []::VARCHAR[]), domain_url)) AS v FROM own) WHERE {sql.host("v")} IS NOT NULL),
+l AS (SELECT group_id, lower({sql.trim("k")}) AS network, {sql.trim("v")} AS value FROM (SELECT group_id, k, unnest(vs) AS v FROM (SELECT group_id, unnest(map_keys(socials)) AS k, unnest(map_values(socials)) AS vs FROM own)))
+SELECT group_id, CASE WHEN used > {survivors.AGENCY_GROUPS} THEN 'agency_emails' ELSE 'emails' END AS field, '' AS network, value, n FROM mails
+UNION ALL SELECT group_id, 'phones', '', arg_max(value, (n, value)), sum(n)::BIGINT FROM pk GROUP BY group_id, key
+UNION ALL SELECT group_id, 'aliases', '', value, count(*) FROM a GROUP BY ALL
+UNION ALL SELECT group_id, 'socials', network, value, count(*) FROM l WHERE value <> '' GROUP BY ALL
+"""
+
 _ID = f"lower({sql.trim('store_id')})"
 _P4 = f"""
 WITH {sql.STORE}, log AS (SELECT DISTINCT {_ID} AS id, wave FROM audit_sample WHERE store_id IS NOT NULL AND wave IS NOT NULL),
@@ -133,6 +149,7 @@ SQL: dict = {
     "p1_found": _P1,
     "p2_found": _P2,
     "p2_fused": _p2_fused(),
+    "p2_values": _P2_VALUES,
     "p4_found": _P4,
     "p4_sample": _P4_SAMPLE,
     "p4_waves": _P4_WAVES,
