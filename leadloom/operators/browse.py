@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Order of statuses in lists; others come with unreachable (fixed values).
@@ -57,6 +57,21 @@ def page(rows: DataFrame, number: int = 1, size: int = 50) -> DataFrame:
     return rows.offset((max(1, number) - 1) * size).limit(size)
 
 
+#: Sorts of the site's list.
+SORTS = {"name": ("name", "store_id"), "coverage": ("-filled", "name", "store_id"), "newest": ("-observed_at", "name", "store_id")}
+
+
+def explored(rows: DataFrame, sort: str = "name", number: int = 1, size: int = 18) -> DataFrame:
+    """A page of the site's list (store_id, name, filled, observed_at, ...) in one of SORTS, with ``position`` (from 1) and ``total``;
+    a number past the end gives the last page, one before the start the first."""
+    total = rows.count()
+    order = [F.desc_nulls_last(c[1:]) if c.startswith("-") else F.asc(c) for c in SORTS[sort]]
+    start = (last_page(number, size, total) - 1) * size
+    x = rows.orderBy(*order).offset(start).limit(size)
+    at = F.row_number().over(Window.orderBy(*order)) + start  # over one page only
+    return x.withColumns({"position": at, "total": F.lit(total).cast("bigint")})
+
+
 def facets(rows: DataFrame, *cols: str) -> DataFrame:
     """(facet, value): distinct non-empty values over all rows, before any filter."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).alias("value")) for c in cols])).alias("x")

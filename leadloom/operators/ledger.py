@@ -64,10 +64,19 @@ def latest_page_run(observations: DataFrame, kinds: tuple[str, ...] = PAGE_KINDS
     return latest(x, "candidate_id", "id", "run_id", "observed_at")
 
 
+def reused_pages(observations: DataFrame, run_id: str) -> DataFrame:
+    """Rows to append to the log for a run that works on saved pages: of each candidate the saved pages of its last page run, one
+    for each final address, as ``cached_page`` of ``run_id`` with the date and content they had."""
+    last = latest_page_run(observations).select("candidate_id", F.col("run_id").alias("_run"))
+    x = observations.join(last, "candidate_id").where(F.col("run_id") == F.col("_run"))
+    return saved_pages(x).select(F.lit(run_id).alias("run_id"), "candidate_id", "final_url", F.lit("cached_page").alias("kind"), F.lit("ok").alias("outcome"), F.col("id").alias("copied_from"), "content_hash", "observed_at")
+
+
 def run_summary(runs: DataFrame, run_items: DataFrame, observations: DataFrame, as_of: str) -> DataFrame:
     """Each run with its items (total, done), responses that came over the network, their bytes, and its seconds.
 
     Items and observations are counted once however often their rows are repeated; an unfinished run lasts until ``as_of``.
+    The latest run comes first.
     """
     items = run_items.select("run_id", "candidate_id", "status").distinct().groupBy("run_id").agg(F.count_distinct("candidate_id").alias("total"), F.count_distinct(F.when(F.col("status") == "done", F.col("candidate_id"))).alias("done"))
     o = observed_once(observations.select("id", "run_id", "kind", "status_code", "bytes"))
@@ -75,6 +84,7 @@ def run_summary(runs: DataFrame, run_items: DataFrame, observations: DataFrame,
     seconds = F.greatest(F.lit(0), F.round(F.timestamp_diff("MICROSECOND", "started_at", F.coalesce("finished_at", F.lit(as_of).cast("timestamp_ntz"))) / 1e6).cast("bigint"))
     x = runs.join(items, runs["id"] == items["run_id"], "left").drop("run_id").join(o, runs["id"] == o["run_id"], "left").drop("run_id")
     x = x.fillna(0, ["total", "done", "responses", "bytes"])
+    x = x.orderBy(F.desc("started_at"), "id")
     return x.select("id", "status", F.get_json_object("config", "$.operation").alias("operation"), "total", "done", "responses", "bytes", seconds.alias("seconds"))
 
 

@@ -27,12 +27,12 @@ def with_overrides(rows: DataFrame, key: str, value: str, *logs: DataFrame) -> D
     return out
 
 
-def current_reviews(reviews: DataFrame, hashes: DataFrame) -> DataFrame:
-    """(candidate_id, decision, current): each candidate's last review by id; ``current`` tells whether the evidence it was
+def current_reviews(reviews: DataFrame, hashes: DataFrame, *keep: str) -> DataFrame:
+    """(candidate_id, decision, current), and columns ``keep``: each candidate's last review by id; ``current`` tells whether the evidence it was
     made on (evidence_hash) is still what the candidate has (candidate_id, evidence_hash)."""
-    last = latest(reviews, "candidate_id", "id", "decision", "evidence_hash")
+    last = latest(reviews, "candidate_id", "id", "decision", "evidence_hash", *keep)
     x = last.join(hashes.select("candidate_id", F.col("evidence_hash").alias("now")), "candidate_id", "left")
-    return x.select("candidate_id", "decision", F.coalesce(F.col("evidence_hash") == F.col("now"), F.lit(False)).alias("current"))
+    return x.select("candidate_id", "decision", F.coalesce(F.col("evidence_hash") == F.col("now"), F.lit(False)).alias("current"), *keep)
 
 
 def evidence_hashes(evidence: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions.text import is_missing, trimmed
-from leadloom.operators.dedup import OPTIONAL
+from leadloom.operators.dedup import OPTIONAL, completeness
 from leadloom.operators.ledger import current_candidates, observed_once
 
 
@@ -31,6 +31,20 @@ def missingness(stores: DataFrame) -> DataFrame:
     return x.select("field", "missing", (F.col("n") - F.col("missing")).alias("present"), percent(F.col("missing"), F.col("n")).alias("percent_missing"))
 
 
+def missing_reasons(stores: DataFrame, default: str = "not_found_in_allowed_pages") -> DataFrame:
+    """(field, reason, n) of optional fields without content: the reason that a column ``missing`` (a map by field) gives, if
+    there is one, else ``default``."""
+    given = (lambda c: F.col("missing")[c]) if "missing" in stores.columns else (lambda c: F.lit(None).cast("string"))
+    why = F.array_compact(F.array(*[F.when(is_missing(F.col(c), k), F.struct(F.lit(c).alias("field"), F.coalesce(given(c), F.lit(default)).alias("reason"))) for c, k in OPTIONAL.items()]))
+    return stores.select(F.explode(why).alias("x")).groupBy("x.field", "x.reason").agg(F.count("*").alias("n"))
+
+
+def filled_share(stores: DataFrame) -> DataFrame:
+    """One row (stores, filled, percent): how many optional fields are filled, and of all there could be, in percent half up."""
+    x = stores.agg(F.count("*").alias("stores"), F.coalesce(F.sum(completeness()), F.lit(0)).alias("filled"))
+    return x.withColumn("percent", F.when(F.col("stores") > 0, F.floor(100.0 * F.col("filled") / (F.col("stores") * len(OPTIONAL)) + 0.5)).otherwise(0))
+
+
 def coverage(stores: DataFrame) -> DataFrame:
     """(field, percent): share of stores that have the field, whole numbers, half up, 0 without stores."""
     m = missingness(stores)
@@ -62,11 +76,15 @@ def totals(candidates: DataFrame, observations: DataFrame, runs: DataFrame) -> D
     return c.join(o).join(runs.agg(F.count_distinct("id").alias("runs")))
 
 
+#: What an observation can come to.
+CLASSES = ("ok", "too_large", "deferred", "transient", "refused", "no_response", "other")
+
+
 def outcome_class() -> Column:
     """What an observation came to, from its outcome and status."""
     s = F.col("status_code")
     return (
-        F.when(F.col("outcome") == "ok", "ok")
+        F.when(F.col("outcome").isin("ok", "too_large", "deferred"), F.col("outcome"))
         .when(F.col("outcome").isin("fetch_failed") | s.isin(429, 500, 502, 503, 504), "transient")
         .when(s.between(400, 499), "refused")
         .when(s.isNull(), "no_response")
@@ -75,9 +93,9 @@ def outcome_class() -> Column:
 
 
 def outcome_pivot(observations: DataFrame) -> DataFrame:
-    """(kind, ok, transient, refused, no_response, other): observations counted once."""
+    """(kind, and a column for each of CLASSES): observations counted once."""
     o = observed_once(observations.select("id", "kind", "outcome", "status_code")).withColumn("class", outcome_class())
-    return o.groupBy("kind").pivot("class", ["ok", "transient", "refused", "no_response", "other"]).agg(F.count(F.lit(1))).fillna(0)
+    return o.groupBy("kind").pivot("class", list(CLASSES)).agg(F.count(F.lit(1))).fillna(0)
 
 
 def transitions(run_items: DataFrame, runs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leadloom.operators.dedup import current_stores
 from leadloom.operators.incremental import distinct_rows_by
 from leadloom.operators.ledger import current_candidates
-from leadloom.operators.logs import current_reviews, evidence_hashes
+from leadloom.operators.logs import current_reviews, evidence_hashes, first_reason
 
 #: Evidence that an accepted store has to keep fresh.
 REQUIRED = ("shopify", "india")
@@ -32,13 +32,31 @@ def project(candidates: DataFrame, stores: DataFrame, evidence: DataFrame, as_of
     status = F.when((F.col("status") == "accepted") & stale, "stale").when((F.col("status") == "accepted") & ~verified, "review").otherwise(F.col("status"))
     x = x.withColumns({"status": status, "has_store": F.col("store_id").isNotNull(), "evidence_count": F.coalesce("evidence_count", F.lit(0))})
     if reviews is not None:
-        r = current_reviews(reviews, evidence_hashes(evidence)).select(F.col("candidate_id").alias("_r"), "decision", F.col("current").alias("review_current"))
+        noted = ["note"] if "note" in reviews.columns else []
+        r = current_reviews(reviews, evidence_hashes(evidence), *noted).select(F.col("candidate_id").alias("_r"), "decision", F.col("current").alias("review_current"), *noted)
         x = x.join(r, x["id"] == F.col("_r"), "left").withColumn("review_current", F.coalesce("review_current", F.lit(False)) & F.col("has_store"))
         held = F.col("review_current") & (F.col("status") != "queued")
         x = x.withColumn("status", F.when(held & (F.col("decision") == "excluded"), "excluded").when(held & (F.col("decision") == "needs_review"), "review").otherwise(F.col("status"))).drop("_r", "decision")
     return x.drop("_e", "oldest", "store_json", "updated_at")
 
 
+def rejections(projected: DataFrame) -> DataFrame:
+    """(id, status, reason) of projected candidates that are not accepted: a duplicate and of what, stale, queued, the note of a
+    current review, what its store says, or that it was not collected. Columns ``duplicate_of``, ``note`` and ``review_current`` count
+    where they are there."""
+    have = lambda c, kind="string": F.col(c) if c in projected.columns else F.lit(None).cast(kind)
+    s, noted = F.col("status"), F.coalesce(have("review_current", "boolean"), F.lit(False))
+    why = first_reason(
+        (have("duplicate_of").isNotNull(), F.concat(F.lit("Duplicate of accepted store "), have("duplicate_of"), F.lit("."))),
+        (s == "stale", F.lit("Evidence is older than the freshness window.")),
+        (s == "queued", F.lit("Queued for collection.")),
+        (noted & s.isin("excluded", "review"), F.concat(F.lit("Review: "), F.coalesce(have("note"), F.lit("")))),
+        (F.lit(True), have("reason")),
+        (F.lit(True), F.lit("Not collected")),
+    )
+    return projected.where(s != "accepted").select("id", "status", why.alias("reason"))
+
+
 def last_sightings(evidence: DataFrame) -> DataFrame:
     """One row for each (store_id, field, value, source_url, rule, excerpt), with the other columns of its last sighting."""
     key = ["store_id", "field", "value", "source_url", "rule", "excerpt"]

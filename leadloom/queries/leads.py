@@ -192,6 +192,16 @@ def cached_pages(spark: SparkSession, d: str) -> DataFrame:
     return ledger.saved_pages(table(spark, d, "observations"))
 
 
+@query(
+    f"""WITH {sql.SEEN}, ok AS (SELECT * FROM seen WHERE kind IN ('page', 'cached_page') AND outcome = 'ok'), last AS (SELECT candidate_id, arg_max(run_id, id) AS run_id FROM ok WHERE candidate_id IS NOT NULL GROUP BY 1)
+SELECT 'next' AS run_id, candidate_id, final_url, 'cached_page' AS kind, 'ok' AS outcome, id AS copied_from, content_hash, observed_at
+FROM (SELECT ok.*, row_number() OVER (PARTITION BY candidate_id, final_url ORDER BY id) AS rn FROM ok JOIN last USING (candidate_id, run_id) WHERE final_url IS NOT NULL) WHERE rn = 1"""
+)
+def reused_pages(spark: SparkSession, d: str) -> DataFrame:
+    """What a run that works on saved pages adds to the log."""
+    return ledger.reused_pages(table(spark, d, "observations"), "next")
+
+
 @query(
     f"""WITH {sql.NOW}, s AS (SELECT candidate_id, substr({sql.trim('name')}, 1, 200) AS name, substr({sql.trim('source_url')}, 1, 2000) AS source_url, min(discovered_at) AS first_at FROM sources GROUP BY ALL)
 SELECT id, url, count(s.candidate_id) AS n, coalesce(string_agg(name, '|' ORDER BY first_at, name, source_url), '') AS names FROM now LEFT JOIN s ON s.candidate_id = now.id GROUP BY id, url"""
@@ -228,10 +238,10 @@ def stat_totals(spark: SparkSession, d: str) -> DataFrame:
     return statistics.totals(table(spark, d, "candidates"), table(spark, d, "observations"), table(spark, d, "runs"))
 
 
-_CLASS = "CASE WHEN outcome = 'ok' THEN 'ok' WHEN outcome = 'fetch_failed' OR status_code IN (429, 500, 502, 503, 504) THEN 'transient' WHEN status_code BETWEEN 400 AND 499 THEN 'refused' WHEN status_code IS NULL THEN 'no_response' ELSE 'other' END"
+_CLASS = "CASE WHEN outcome IN ('ok', 'too_large', 'deferred') THEN outcome WHEN outcome = 'fetch_failed' OR status_code IN (429, 500, 502, 503, 504) THEN 'transient' WHEN status_code BETWEEN 400 AND 499 THEN 'refused' WHEN status_code IS NULL THEN 'no_response' ELSE 'other' END"
 
 
-@query(f"WITH {sql.SEEN}, c AS (SELECT kind, {_CLASS} AS class FROM seen) SELECT kind, " + ", ".join(f"count(*) FILTER (WHERE class = '{c}') AS {c}" for c in ("ok", "transient", "refused", "no_response", "other")) + " FROM c GROUP BY kind")
+@query(f"WITH {sql.SEEN}, c AS (SELECT kind, {_CLASS} AS class FROM seen) SELECT kind, " + ", ".join(f"count(*) FILTER (WHERE class = '{c}') AS {c}" for c in statistics.CLASSES) + " FROM c GROUP BY kind")
 def status_pivot(spark: SparkSession, d: str) -> DataFrame:
     return statistics.outcome_pivot(table(spark, d, "observations"))
 

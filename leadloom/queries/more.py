@@ -177,6 +177,26 @@ def review_overrides(spark: SparkSession, d: str) -> DataFrame:
     return projection.project(**t, as_of="2025-12-01 00:00:00", days=90, reviews=r).select("id", "review_current", "status")
 
 
+@query(
+    f"""WITH {sql.NOW}, {sql.STORE}, {_HASHES}, ev AS (SELECT store_id, min(observed_at) AS oldest FROM evidence WHERE field IN ('shopify', 'india') GROUP BY 1),
+p AS (SELECT now.id, store.reason, store.store_id IS NOT NULL AND hashes.evidence_hash IS NOT NULL AND ('0x' || left(now.id, 1))::INT < 8 AS reviewed, ('0x' || left(now.id, 1))::INT % 4 AS k,
+  CASE WHEN now.status = 'accepted' AND (store.observed_at < TIMESTAMP '2025-12-01' - INTERVAL 90 DAY OR ev.oldest < TIMESTAMP '2025-12-01' - INTERVAL 90 DAY) THEN 'stale'
+       WHEN now.status = 'accepted' AND NOT coalesce(store.shopify = 'verified' AND store.india = 'verified', FALSE) THEN 'review' ELSE now.status END AS was
+  FROM now LEFT JOIN store ON store.store_id = now.id LEFT JOIN ev ON ev.store_id = now.id LEFT JOIN hashes ON hashes.candidate_id = now.id),
+q AS (SELECT *, CASE WHEN reviewed AND was <> 'queued' AND k = 1 THEN 'excluded' WHEN reviewed AND was <> 'queued' AND k = 2 THEN 'review' ELSE was END AS status FROM p)
+SELECT id, status, CASE status WHEN 'stale' THEN 'Evidence is older than the freshness window.' WHEN 'queued' THEN 'Queued for collection.'
+  ELSE CASE WHEN reviewed AND status IN ('excluded', 'review') THEN 'Review: note' ELSE coalesce(nullif(reason, ''), 'Not collected') END END AS reason FROM q WHERE status <> 'accepted'"""
+)
+def unresolved(spark: SparkSession, d: str) -> DataFrame:
+    """Why each candidate that is not accepted is not, reviews (as in review_overrides) included."""
+    from leadloom.plans import projection
+
+    t = {n: table(spark, d, n) for n in ("candidates", "stores", "evidence")}
+    r = _reviews(ledger.current_candidates(t["candidates"]).select(F.col("id").alias("store_id"))).join(logs.evidence_hashes(t["evidence"]), "candidate_id")
+    r = r.withColumn("evidence_hash", F.when(F.col("id") < 8, F.col("evidence_hash")).otherwise("old"))
+    return projection.rejections(projection.project(**t, as_of="2025-12-01 00:00:00", days=90, reviews=r))
+
+
 @query("WITH e AS (SELECT store_id, count(*) AS n FROM (SELECT DISTINCT * FROM evidence) GROUP BY 1) SELECT c.id, coalesce(e.n, 0) AS evidence_count FROM (SELECT DISTINCT id FROM candidates) c LEFT JOIN e ON e.store_id = c.id")
 def evidence_count(spark: SparkSession, d: str) -> DataFrame:
     from leadloom.plans import projection

@@ -164,6 +164,33 @@ def site_explorer(spark: SparkSession, d: str) -> DataFrame:
     return x.select("store_id", "name", dedup.completeness().alias("filled")).orderBy(F.desc("filled"), "name", "store_id").limit(18)
 
 
+_X = f"WITH {_OK}, x AS (SELECT store_id, name, {sql.FILLED} AS filled, observed_at FROM ok), n AS (SELECT count(*) AS total FROM x)"
+_SORTED = {"name": "name NULLS FIRST, store_id", "coverage": "filled DESC NULLS LAST, name NULLS FIRST, store_id", "newest": "observed_at DESC NULLS LAST, name NULLS FIRST, store_id"}
+
+
+@query(
+    _X + ", r AS (" + " UNION ALL ".join(f"SELECT '{k}' AS sort, store_id, row_number() OVER (ORDER BY {o}) AS position, {('least(2, ceil(total / 18.0))', 'ceil(total / 18.0)', '1')[i]} AS page, total FROM x, n" for i, (k, o) in enumerate(_SORTED.items()))
+    + ") SELECT sort, position::INT AS position, store_id, total FROM r WHERE position > (page - 1) * 18 AND position <= page * 18"
+)
+def site_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The second page by name, the last by coverage (asked for as one past the end) and the first of the newest (as page 0)."""
+    x = _accepted(spark, d).select("store_id", "name", dedup.completeness().alias("filled"), "observed_at")
+    parts = [browse.explored(x, k, n).select(F.lit(k).alias("sort"), "position", "store_id", "total") for k, n in (("name", 2), ("coverage", 1 << 30), ("newest", 0))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"WITH {_OK} SELECT count(*) AS stores, sum({sql.FILLED})::BIGINT AS filled, floor(100.0 * sum({sql.FILLED}) / (count(*) * 7) + 0.5)::BIGINT AS percent FROM ok")
+def stat_filled(spark: SparkSession, d: str) -> DataFrame:
+    return statistics.filled_share(_accepted(spark, d))
+
+
+@query(f"WITH {_OK}, m AS (" + " UNION ALL ".join(f"SELECT '{c}' AS field, CASE WHEN '{c}' = 'state' AND reason <> '' THEN reason ELSE 'not_found_in_allowed_pages' END AS reason FROM ok WHERE {m}" for c, m in _MISSING.items()) + ") SELECT field, reason, count(*) AS n FROM m GROUP BY ALL")
+def stat_missing_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Why fields are missing: for the state what the store's reason says, else the default."""
+    x = _accepted(spark, d)
+    return statistics.missing_reasons(x.withColumn("missing", F.create_map(F.lit("state"), F.nullif("reason", F.lit("")))))
+
+
 _RISKY = lambda c: f"CASE WHEN {c} IS NULL THEN '' WHEN regexp_matches({c}, '^[ \\t\\n\\x0b\\f\\r]*[=+@-]') OR regexp_matches({c}, '^[\\t\\r\\n]') THEN '''' || {c} ELSE {c} END"
 
 
