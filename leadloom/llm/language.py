@@ -43,9 +43,9 @@ SWITCH = 3.0
 #: A sentence tells a language if it has that many words with letters and its language leads by so many nats.
 MIN_WORDS = 4
 MIN_MARGIN = 4.0
-#: A language is fitted in a script that at least this share of its documents are mostly written in: wrong labels and mixed
-#: texts bring less than that, a second script of a language brings more.
-LEAST_SHARE = 0.25
+#: A language keeps a script if the last model, fitted with it, puts at least this share of the sentences so labelled and written
+#: in that language: other languages explain the sentences that wrong labels and mixed texts bring, but not a script of its own.
+LEAST_AGREED = 0.5
 CACHE = 400_000
 #: Documents are worked on together until they have so many characters.
 BATCH_CHARS = 2_000_000
@@ -323,23 +323,15 @@ class Model:
             out[owner[heads]] = np.add.reduceat(self.vectors[ids], heads, axis=0) + self.prior[main[owner[heads]]]
         return out, words
 
-    def kept(self, texts: list[str], language: str | None) -> list[tuple[int, list[str], int]]:
-        """(text, words, script) of the sentences of ``texts`` that have ``language`` as their best, or of all for None."""
-        owner, parts = [], []
-        for d, t in enumerate(texts):
-            found = sentences(t)
-            parts += [t[a:b] for a, b in found]
-            owner += [d] * len(found)
+    def kept(self, texts: list[str], language: str | None) -> list[tuple[list[str], int, bool]]:
+        """(words, script, whether ``language`` is the best; true for None) of each sentence of ``texts`` that has words."""
+        parts = [t[a:b] for t in texts for a, b in sentences(t)]
         good = np.ones(len(parts), bool)
         if language is not None:
             s, _ = self.rows(parts)
             good = s[:, self.languages.index(language)] >= s.max(axis=1)
-        out, memo = [], Words()
-        for x in np.flatnonzero(good):
-            ws, script = memo.main(parts[x])
-            if ws:
-                out.append((owner[x], ws, script))
-        return out
+        memo = Words()
+        return [(*found, bool(x)) for part, x in zip(parts, good) if (found := memo.main(part))[0]]
 
     def segments(self, text: str | None) -> list[tuple[int, int, str, float, int]]:
         """``each`` for one text."""
@@ -443,18 +435,17 @@ def batches(ids, texts) -> Iterator[tuple[list, list]]:
 
 def _fit_frame(pieces: list[bytes], old: Model | None):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lang, counts, documents = pdf["code"].iloc[0], (Counter(), Counter()), [0, 0]
+        lang, counts, said, agreed = pdf["code"].iloc[0], (Counter(), Counter()), [0, 0], [0, 0]
         model = old or Model(pieces, [], [], np.zeros((2, 0)))
         for _, texts in batches(pdf["text"], pdf["text"]):
-            here = np.zeros((len(texts), 2), np.int64)
-            for d, ws, script in model.kept(texts, lang if old else None):
-                counts[script].update(ws)
-                here[d, script] += len(ws)
-            mostly = np.bincount((here[:, 1] > here[:, 0])[here.sum(axis=1) > 0], minlength=2)
-            documents = [documents[0] + int(mostly[0]), documents[1] + int(mostly[1])]
+            for ws, script, good in model.kept(texts, lang if old else None):
+                said[script] += 1
+                if good:
+                    agreed[script] += 1
+                    counts[script].update(ws)
         out = []
         for script in (0, 1):
-            if documents[script] < LEAST_SHARE * sum(documents):
+            if agreed[script] < LEAST_AGREED * said[script]:
                 counts[script].clear()
             p = fit(counts[script], model.pieces)
             k = np.flatnonzero(p > 1e-9)

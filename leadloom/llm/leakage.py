@@ -237,21 +237,26 @@ def pieces(matches: list[np.ndarray], free: list[np.ndarray]) -> list[tuple[int,
         part, order = order[:k], order[k:]
         n, m = max(matches[x].shape[0] for x in part), matches[part[-1]].shape[1]
         kind = np.int16 if n + m < 1 << 14 else np.int32
-        s, use = np.full((len(part), n, m), -1, kind), np.zeros((len(part), n, 1), bool)
+        s, use = np.zeros((len(part), n, m), kind), np.zeros((len(part), n), bool)
         for b, x in enumerate(part):
             rows, cols = matches[x].shape
-            s[b, :rows, :cols][matches[x]] = 1
-            use[b, :rows, 0] = free[x]
-        h, ramp = np.zeros((len(part), n + 1, m + 1), kind), np.arange(m + 1, dtype=kind)
+            s[b, :rows, :cols][matches[x]] = 2
+            use[b, :rows] = free[x]
+        # scores are kept as score + column: going right then costs nothing, and going down or across adds 2 for a match
+        ramp = np.arange(m + 1, dtype=kind)
+        g, every = np.empty((len(part), n + 1, m + 1), kind), use.all(axis=0)
+        g[:, 0] = ramp
         for i in range(1, n + 1):
-            t = np.maximum(h[:, i - 1] - 1, 0)
-            np.maximum(t[:, 1:], h[:, i - 1, :-1] + s[:, i - 1], out=t[:, 1:])
-            t += ramp
+            t = g[:, i]
+            np.subtract(g[:, i - 1], 1, out=t)
+            np.maximum(t, ramp, out=t)
+            np.maximum(t[:, 1:], g[:, i - 1, :-1] + s[:, i - 1], out=t[:, 1:])
             np.maximum.accumulate(t, axis=1, out=t)
-            t -= ramp
-            np.multiply(t, use[:, i - 1], out=h[:, i])
+            if not every[i - 1]:
+                t[~use[:, i - 1]] = ramp
         for b, x in enumerate(part):
-            out[x] = _trace(h[b], s[b])
+            rows, cols = matches[x].shape
+            out[x] = _trace(g[b, : rows + 1, : cols + 1] - ramp[: cols + 1], s[b])
     return out
 
 
@@ -260,8 +265,8 @@ def _trace(h: np.ndarray, s: np.ndarray) -> tuple[int, int, int]:
     i, j = divmod(int(h.argmax()), h.shape[1])
     last, hits = i, 0
     while i and j and h[i, j] > 0:
-        if h[i, j] == h[i - 1, j - 1] + s[i - 1, j - 1]:
-            hits += bool(s[i - 1, j - 1] > 0)
+        if h[i, j] == h[i - 1, j - 1] + s[i - 1, j - 1] - 1:
+            hits += bool(s[i - 1, j - 1])
             i, j = i - 1, j - 1
         elif h[i, j] == h[i - 1, j] - 1:
             i -= 1
@@ -270,10 +275,26 @@ def _trace(h: np.ndarray, s: np.ndarray) -> tuple[int, int, int]:
     return i, last, hits
 
 
-def carried(texts: list[list[np.ndarray]], near: list[np.ndarray]) -> list[tuple[int, int]]:
+def dense(at: np.ndarray, place: np.ndarray, hits: int) -> bool:
+    """Whether as many near pairs as ``hits`` hits have lie together: after one of them, at different words of the passage, in less
+    than ``2 hits`` words of text and shifted by less than ``hits`` against it. ``at`` is ascending."""
+    need = hits // 2
+    if need <= 1:
+        return len(at) >= need
+    if len(at) < need:
+        return False
+    shift = at - place
+    for k in range(len(at) - need + 1):
+        end = int(np.searchsorted(at, at[k] + 2 * hits))
+        if end - k >= need and len(set(place[k:end][np.abs(shift[k:end] - shift[k]) < hits].tolist())) >= need:
+            return True
+    return False
+
+
+def carried(texts: list[list[np.ndarray]], near: list[tuple[np.ndarray, np.ndarray] | None]) -> list[tuple[int, int]]:
     """For each text: how many of a passage's words it carries as running text, and in how many pieces: the best one, or, where
     that alone is no leak, the two best. A text is given as match matrices of the passage's words (rows) and its stretches,
-    and ``near`` tells at which of the passage's words near pairs begin (all, where a piece needs none)."""
+    and ``near`` has its near pairs (None, where a piece needs none): positions in text and passage."""
     free = [np.ones(x[0].shape[0], bool) for x in texts]
     best = _best(texts, free, range(len(texts)))
     out, again = {k: (hits, 1) for k, (_, _, hits) in best.items()}, []
@@ -281,7 +302,8 @@ def carried(texts: list[list[np.ndarray]], near: list[np.ndarray]) -> list[tuple
         n = len(free[k])
         free[k][a:b] = False
         two = least_words(n) - hits  # what a second piece must bring; half of that it has near pairs
-        if two > 0 and int((near[k] & free[k]).sum()) >= two // 2:
+        left = None if near[k] is None else free[k][near[k][1]]
+        if two > 0 and (near[k] is None or dense(near[k][0][left], near[k][1][left], two)):
             again.append(k)
     for k, (_, _, two) in _best(texts, free, again).items():
         if two >= LEAST_PIECE * len(free[k]):
@@ -421,10 +443,10 @@ class Searcher:
                     places.setdefault((d, i), (np.zeros(0, np.int64),) * 2)
         out, todo, cells = [], [], 0
         for (d, i), (near, place) in places.items():
-            texts_of = [self._matches(i, flat[a:b], first, types) for a, b in self._stretches(i, near, int(starts[d]), len(split[d]))]
             n = len(self.passages[i])
+            texts_of = [self._matches(i, flat[a:b], first, types) for a, b in self._stretches(i, near, int(starts[d]), len(split[d]))]
             if texts_of and np.logical_or.reduce([m.any(axis=1) for m in texts_of]).sum() >= least_words(n):
-                todo.append((d, i, texts_of, np.bincount(place, minlength=n) > 0 if LEAST_PIECE * n > 1 else np.ones(n, bool)))
+                todo.append((d, i, texts_of, (near, place) if LEAST_PIECE * n > 1 else None))
                 cells += sum(m.size for m in texts_of)
             if cells > 16 * SIDE_BY_SIDE:
                 out += self._leaks(ids, todo)

@@ -88,6 +88,15 @@ def test_short_texts_and_unknown_languages(spark, model):
     assert x[2] == g.OTHER and x[3] > 0.9
 
 
+def test_a_rare_second_script_is_kept_and_wrong_labels_make_none(spark):
+    """An eighth of the texts labelled hi are romanised: more than half as many are English ones so labelled; fr has wrong Hindi ones."""
+    rows = [(text("hi"), "hi") for _ in range(70)] + [(text("latin"), "hi") for _ in range(11)] + [(text("en"), "hi") for _ in range(7)] + [(text("en"), "en") for _ in range(60)]
+    rows += [(text("fr"), "fr") for _ in range(60)] + [(text("hi"), "fr") for _ in range(6)] + [(text("de"), "fr") for _ in range(5)] + [(text("de"), "de") for _ in range(60)]
+    m = g.train(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id bigint, text string, lang string"))
+    ask = [(1, text("latin"), "en"), (2, text("en"), "hi"), (3, text("hi"), "fr"), (4, text("de"), "fr"), (5, text("latin"), "hi"), (6, text("hi"), "hi")]
+    assert found(spark, m, ask) == {(1, "hi"), (2, "en"), (3, "hi"), (4, "de")}
+
+
 def test_forward_is_the_sum_over_segmentations():
     pieces = [b" ", b"a", b"b", b"ab", b"ba", b" a", b"aba"]
     p = np.array([0.2, 0.1, 0.15, 0.2, 0.05, 0.2, 0.1])
