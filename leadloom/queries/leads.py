@@ -9,7 +9,7 @@ from leadloom.functions import urls
 from leadloom.operators import fetchlog, ledger, statistics
 from leadloom.queries import sql
 from leadloom.sources import leads as sources
-from leadloom.session import cut, table
+from leadloom.session import cut, new_folder, table
 
 AS_OF = "2025-12-31 00:00:00"
 QUERIES, SQL = {}, {}
@@ -106,6 +106,21 @@ def import_attribution(spark: SparkSession, d: str) -> DataFrame:
     return ledger.attributions(table(spark, d, "sources"))
 
 
+@query(_NORMAL + "SELECT origin || '/' AS url, min(id) AS id FROM normal WHERE origin IS NOT NULL GROUP BY 1")
+def url_keep_first(spark: SparkSession, d: str) -> DataFrame:
+    """The addresses as a list of lines: home pages, each once, with the first line that has it."""
+    return sources.parsed_lines(_addresses(spark, d), "id", "url")
+
+
+@query("SELECT coalesce(url, '') AS urlkey, status_code::VARCHAR AS status, count(*) AS n FROM observations WHERE kind = 'discovery' GROUP BY ALL")
+def jsonl_leads(spark: SparkSession, d: str) -> DataFrame:
+    """Discovery rows written to the shared folder as JSON lines, with blank lines between, and read again as an index file."""
+    x = table(spark, d, "observations").where("kind = 'discovery'").select(F.coalesce("url", F.lit("")).alias("urlkey"), "url", F.col("status_code").cast("string").alias("status"))
+    folder = new_folder(spark, "cdx")
+    x.select(F.concat(F.to_json(F.struct("urlkey", "url", "status")), F.lit("\n")).alias("value")).write.text(folder)
+    return sources.read_cdx_lines(spark, folder, (1 << 31) - 1).groupBy("urlkey", "status").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {sql.NOW} SELECT id, url FROM now ORDER BY created_at, id LIMIT 300 OFFSET 100")
 def lead_slice(spark: SparkSession, d: str) -> DataFrame:
     """A page of the leads in order of arrival: what the operator is for."""

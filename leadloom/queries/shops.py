@@ -164,6 +164,16 @@ def site_explorer(spark: SparkSession, d: str) -> DataFrame:
     return x.select("store_id", "name", dedup.completeness().alias("filled")).orderBy(F.desc("filled"), "name", "store_id").limit(18)
 
 
+_FILTERS = ("all", "attention", *browse.STATUS_RANK, "stale", "error")
+
+
+@query(_PROJECT + " UNION ALL ".join(f"SELECT '{s}' AS filter, count(*) AS n FROM p WHERE {'TRUE' if s == 'all' else f'status IN {browse.ATTENTION}' if s == 'attention' else f'status = {s!r}'}" for s in _FILTERS))
+def status_filters(spark: SparkSession, d: str) -> DataFrame:
+    """How many candidates each filter of the list shows."""
+    x = _projected(spark, d).select("status")
+    return x.agg(*[F.count_if(browse.status_filter(s)).alias(s) for s in _FILTERS]).select(F.explode(F.array(*[F.struct(F.lit(s).alias("filter"), F.col(s).alias("n")) for s in _FILTERS])).alias("x")).select("x.*")
+
+
 _X = f"WITH {_OK}, x AS (SELECT store_id, name, {sql.FILLED} AS filled, observed_at FROM ok), n AS (SELECT count(*) AS total FROM x)"
 _SORTED = {"name": "name NULLS FIRST, store_id", "coverage": "filled DESC NULLS LAST, name NULLS FIRST, store_id", "newest": "observed_at DESC NULLS LAST, name NULLS FIRST, store_id"}
 

@@ -13,7 +13,7 @@ from leadloom.functions.urls import KnownHosts
 from leadloom.operators import fetchlog
 from leadloom.plans import storefront
 from leadloom.queries import sql
-from leadloom.session import table
+from leadloom.session import cut, table
 from leadloom.sources import leads
 
 QUERIES, SQL = {}, {}
@@ -279,6 +279,53 @@ def storefront_pages(spark: SparkSession, d: str) -> DataFrame:
     return s.select("store_id", "name", "description", F.array_join("emails", "|").alias("emails"), "status", F.size("missing").alias("missing"))
 
 
+_FIRST = f"SELECT store_id, emails[1] AS e, phones[1] AS p FROM store WHERE len(emails) > 0 OR len(phones) > 0"
+_TEL = "regexp_replace(regexp_replace(p, '(?i)\\s*(?:ext\\.?|x)\\s*[0-9]{1,7}\\s*$', ''), '[^0-9+]', '', 'g')"
+_NUMBER = f"CASE WHEN regexp_matches({_TEL}, '^(\\+?91|0)?[1-9][0-9]{{9}}$') THEN '+91' || right({_TEL}, 10) WHEN regexp_matches({_TEL}, '^\\+[1-9][0-9]{{7,14}}$') AND NOT starts_with({_TEL}, '+91') THEN {_TEL} END"
+
+
+@query(
+    f"""WITH {sql.STORE}, f AS ({_FIRST}), m AS (SELECT store_id, {_OK_MAIL} AS ok, len(regexp_extract_all(coalesce(e, ''), '{_EMAIL}')) AS n FROM f)
+SELECT store_id, 'emails' AS field, 'mailto_link' AS rule, CASE WHEN n > 0 THEN ok[1] ELSE 'other@mail.example' END AS value FROM m WHERE n = 0 OR len(ok) > 0
+UNION ALL SELECT store_id, 'phones', 'merchant_organization_contact', concat_ws(' ext. ', {_NUMBER}, nullif(regexp_extract(p, '(?i)\\s*(?:ext\\.?|x)\\s*([0-9]{{1,7}})\\s*$', 1), '')) FROM f WHERE {_NUMBER} IS NOT NULL"""
+)
+def contact_links(spark: SparkSession, d: str) -> DataFrame:
+    """A page for each current store with its first e-mail as the text of a link to another address, and its first number in
+    structured data of the shop's own site and of another's: what is shown and what is the shop's own counts."""
+    from leadloom.operators.dedup import current_stores
+
+    x = current_stores(table(spark, d, "stores"), ["store_id", "emails", "phones", "observed_at"]).where("size(emails) > 0 OR size(phones) > 0")
+    e, p = F.coalesce(F.get("emails", F.lit(0)), F.lit("")), F.get("phones", F.lit(0))
+    link = F.concat(F.lit("<a href='mailto:other@mail.example?subject=x'>"), _escaped(e), F.lit("</a>"))
+    thing = lambda url, tel: F.concat(F.lit("<script type='application/ld+json'>"), F.to_json(F.struct(F.lit("LocalBusiness").alias("@type"), F.lit(url).alias("url"), F.array(F.struct(tel.alias("telephone"))).alias("contactPoint"))), F.lit("</script>"))
+    page = F.concat(link, thing("https://www.shop.example/x", p), thing("https://elsewhere.example/", F.lit("+4930123456")))
+    pages = x.select("store_id", F.lit(0).alias("page_no"), F.lit("https://shop.example/").alias("url"), F.lit(None).cast("timestamp_ntz").alias("observed_at"), page.alias("html"))
+    found = storefront.evidence(storefront.parsed_pages(pages), KnownHosts.read(table(spark, d, "known_hosts")))
+    return found.where("rule IN ('mailto_link', 'merchant_organization_contact')").groupBy("store_id", "field", "rule").agg(F.min_by("value", "pos").alias("value"))
+
+
+@query(
+    f"""WITH {sql.STORE}, s AS (SELECT store_id, c.canonical AS state FROM store JOIN canon_values c ON c.kind = 'state' AND c.canonical = store.state)
+SELECT store_id, state, 2 + (store_id[1] = 'a')::INT AS addresses, (state IS NULL)::INT AS ambiguous FROM (SELECT store_id, CASE WHEN store_id[1] <> 'a' OR state = 'Arkanadu' THEN state END AS state FROM s) WHERE state IS NOT NULL OR store_id[1] = 'a'"""
+)
+def address_states(spark: SparkSession, d: str) -> DataFrame:
+    """Address blocks written from the states of current stores: a registered office, the same within a longer block, a corporate
+    office elsewhere and a warehouse; for ids that begin with ``a`` a second registered office. The state of the registered ones,
+    how many addresses are left, and whether they disagree."""
+    from leadloom.operators.dedup import current_stores
+
+    c = table(spark, d, "canon_values").where("kind = 'state'").select(F.col("canonical").alias("state"))
+    s = current_stores(table(spark, d, "stores"), ["store_id", "state", "observed_at"]).join(c, "state").select("store_id", "state")
+    office = F.concat(F.lit("Registered office: 4 Hill Road, "), "state", F.lit(" 560001"))
+    blocks = [office, F.concat(F.lit("Here we are. "), office, F.lit(" since 1999")), F.lit("Corporate office: 9 Lake Street, Arkanadu 560002"), F.concat(F.lit("Returns warehouse: 1 Far Road, "), "state", F.lit(" 560003"))]
+    blocks.append(F.when(F.substring("store_id", 1, 1) == "a", F.lit("Principal office: 7 Old Lane, Arkanadu 560004")))
+    x = s.select("store_id", F.lit("https://shop.example/contact").alias("page_url"), F.explode(F.array_compact(F.array(*blocks))).alias("block"))
+    a = cut(rules.address_candidates(x, rules.dimension(c, "state", "state")))
+    n = a.groupBy("store_id").agg(F.count("*").cast("int").alias("addresses"))
+    r = rules.one_state(a).join(n, "store_id")
+    return r.select("store_id", "state", "addresses", F.coalesce((F.col("reason") == "ambiguous").cast("int"), F.lit(0)).alias("ambiguous"))
+
+
 @query("SELECT * FROM (VALUES ('https://claylane.in/pages/contact', 10)) AS t(link, score)")
 def link_select(spark: SparkSession, d: str) -> DataFrame:
     """Regression check on a literal page."""

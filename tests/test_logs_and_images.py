@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leadloom.__main__ import main
 from leadloom.functions import images
 from leadloom.operators import logs, refine
+from leadloom.plans import storefront
 
 PNG = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + struct.pack(">II", 40, 30)
 
@@ -62,6 +63,18 @@ def test_refine_is_idempotent(spark):
     assert [r.store_id for r in refine.demoted(s, once).collect()] == ["a"]
 
 
+def test_links_that_show_another_address_and_unfit_logos(spark):
+    page = "<a href='mailto:old%40shop.in?x=1'>new@shop.in</a><a href='mailto:kept@shop.in'>Write</a><a href='mailto:both@shop.in'>new@shop.in</a><a href='mailto:x@shop.in'>both@shop.in</a>"
+    pages = spark.createDataFrame([("a", 0, "https://shop.in/", page)], "store_id string, page_no int, url string, html string")
+    rows = [("a", "emails", v, "https://shop.in/", r) for v, r in [("old@shop.in", "mailto_link"), ("old@shop.in", "visible_email"), ("kept@shop.in", "mailto_link"), ("both@shop.in", "mailto_link"), ("new@shop.in", "mailto_link")]] + [("b", "emails", "old@shop.in", "https://shop.in/", "mailto_link")]
+    e = spark.createDataFrame(rows, "store_id string, field string, value string, source_url string, rule string")
+    once = refine.uncontradicted(e, storefront.parsed_pages(pages))
+    assert {tuple(r) for r in once.collect()} == set(rows[1:]) == {tuple(r) for r in refine.uncontradicted(once, storefront.parsed_pages(pages)).collect()}
+    s = spark.createDataFrame([("a", "u"), ("b", "v"), ("c", None)], "store_id string, logo_url string")
+    c = spark.createDataFrame([("a", "u", 3), ("a", "w", 1), ("b", "u", 2)], "store_id string, src string, score int")
+    assert {tuple(r) for r in refine.eligible_logos(s, c).collect()} == {("a", "u"), ("b", None), ("c", None)}
+
+
 def test_command_line(capsys):
     assert main(["list"]) == 0 and "p3_found" in capsys.readouterr().out
 
