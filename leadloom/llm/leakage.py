@@ -237,26 +237,26 @@ def pieces(matches: list[np.ndarray], free: list[np.ndarray]) -> list[tuple[int,
         part, order = order[:k], order[k:]
         n, m = max(matches[x].shape[0] for x in part), matches[part[-1]].shape[1]
         kind = np.int16 if n + m < 1 << 14 else np.int32
-        s, use = np.zeros((len(part), n, m), kind), np.zeros((len(part), n), bool)
+        s, use = np.zeros((n, len(part), m), kind), np.zeros((n, len(part)), bool)
         for b, x in enumerate(part):
             rows, cols = matches[x].shape
-            s[b, :rows, :cols][matches[x]] = 2
-            use[b, :rows] = free[x]
+            s[:rows, b, :cols][matches[x]] = 2
+            use[:rows, b] = free[x]
         # scores are kept as score + column: going right then costs nothing, and going down or across adds 2 for a match
         ramp = np.arange(m + 1, dtype=kind)
-        g, every = np.empty((len(part), n + 1, m + 1), kind), use.all(axis=0)
-        g[:, 0] = ramp
+        g, every = np.empty((n + 1, len(part), m + 1), kind), use.all(axis=1)
+        g[0] = ramp
         for i in range(1, n + 1):
-            t = g[:, i]
-            np.subtract(g[:, i - 1], 1, out=t)
+            t = g[i]
+            np.subtract(g[i - 1], 1, out=t)
             np.maximum(t, ramp, out=t)
-            np.maximum(t[:, 1:], g[:, i - 1, :-1] + s[:, i - 1], out=t[:, 1:])
+            np.maximum(t[:, 1:], g[i - 1, :, :-1] + s[i - 1], out=t[:, 1:])
             np.maximum.accumulate(t, axis=1, out=t)
             if not every[i - 1]:
-                t[~use[:, i - 1]] = ramp
+                t[~use[i - 1]] = ramp
         for b, x in enumerate(part):
             rows, cols = matches[x].shape
-            out[x] = _trace(g[b, : rows + 1, : cols + 1] - ramp[: cols + 1], s[b])
+            out[x] = _trace(g[: rows + 1, b, : cols + 1] - ramp[: cols + 1], s[:, b])
     return out
 
 
