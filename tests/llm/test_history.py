@@ -121,3 +121,15 @@ def test_leads_takes_the_earliest_source_and_ignores_other_columns(spark):
     c = spark.createDataFrame([("a", "u", 1), ("a", "u", 2), (None, "v", 3), ("b", "w", 1)], "id string, url string, front int")
     s = spark.createDataFrame([("a", DAY[4], "x"), ("a", DAY[2], None), ("z", DAY[1], "x"), (None, DAY[0], "x")], "candidate_id string, discovered_at timestamp_ntz, id string")
     assert {(r.id, r.discovered_at) for r in h.leads(c, s).collect()} == {("a", DAY[2]), ("b", None)}
+
+
+def test_replay_of_weekly_batches(spark):
+    """Nulls, repeats, clashing columns; a lead that a later list names again; what no list names comes first."""
+    c = spark.createDataFrame([(i, u, "clash", 1) for i, u, _ in ROWS] + [(None, "x.example", "", 2), ("q", None, None, 3), ("r", "bonolika.in.example", None, 4)], "id string, url string, front string, back int")
+    named = [(i, t) for i, _, t in ROWS if t] * 2 + [("d", DAY[59]), ("a", DAY[58]), (None, DAY[1]), ("zz", DAY[2])]
+    s = spark.createDataFrame([(i, t, "x") for i, t in named], "candidate_id string, discovered_at timestamp_ntz, week string")
+    hosts = spark.createDataFrame([("example", "suffix"), ("in.example", "suffix"), ("shops.example", "platform"), ("tapcards.example", "link_page")], "host string, role string")
+    got = {(r.id, r.first_id) for r in h.replayed(spark, c, s, hosts).collect()}
+    assert got == WANT | {("r", "b")}
+    assert {(r.id, r.first_id) for r in h.replayed(spark, c, s, hosts, weeks=0).collect()} == got
+    assert h.replayed(spark, c.limit(0), s.limit(0), hosts.limit(0), weeks=1).count() == 0 and h.replayed(spark, c, s.limit(0), hosts, weeks=0).count() == 0
