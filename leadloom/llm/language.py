@@ -43,8 +43,8 @@ SWITCH = 3.0
 #: A sentence tells a language if it has that many words with letters and its language leads by so many nats.
 MIN_WORDS = 4
 MIN_MARGIN = 4.0
-#: A language keeps a script if the last model, fitted with it, puts at least this share of the sentences so labelled and written
-#: in that language: other languages explain the sentences that wrong labels and mixed texts bring, but not a script of its own.
+#: A language keeps a rarer script if the model of the other half of the sample puts at least this share of the sentences so
+#: labelled and written in that language: other languages explain the sentences that wrong labels and mixed texts bring, but not a script of its own.
 LEAST_AGREED = 0.5
 CACHE = 400_000
 #: Documents are worked on together until they have so many characters.
@@ -210,9 +210,9 @@ class Words(dict):
 class Model:
     """Piece probabilities of all languages over the vocabulary, by script (0 Latin, 1 other)."""
 
-    def __init__(self, pieces: list[bytes], languages: list[str], tables: list[np.ndarray], prior: np.ndarray):
+    def __init__(self, pieces: "list[bytes] | Pieces", languages: list[str], tables: list[np.ndarray], prior: np.ndarray):
         """``tables``: for each script a row a piece and a column a language; ``prior``: log-probability of (script, language)."""
-        self.languages, self.pieces, self.tables, self.prior = languages, Pieces(pieces), tables, prior
+        self.languages, self.pieces, self.tables, self.prior = languages, pieces if isinstance(pieces, Pieces) else Pieces(pieces), tables, prior
         self._clear()
 
     def _clear(self) -> None:
@@ -433,21 +433,20 @@ def batches(ids, texts) -> Iterator[tuple[list, list]]:
         yield some, parts
 
 
-def _fit_frame(pieces: list[bytes], old: Model | None):
+def _fit_frame(pieces: list[bytes], old: Model | None, cleared: set[tuple[str, int]]):
+    """Fits a language on the sentences of ``pdf`` (code, half, text) that ``old`` puts in it, without the ``cleared`` scripts."""
+    packed = old and (old.languages, old.tables, old.prior)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lang, counts, said, agreed = pdf["code"].iloc[0], (Counter(), Counter()), [0, 0], [0, 0]
-        model = old or Model(pieces, [], [], np.zeros((2, 0)))
+        shared, lang, counts = Pieces(pieces), pdf["code"].iloc[0], (Counter(), Counter())
+        model = Model(shared, *packed) if packed else Model(shared, [], [], np.zeros((2, 0)))
         for _, texts in batches(pdf["text"], pdf["text"]):
-            for ws, script, good in model.kept(texts, lang if old else None):
-                said[script] += 1
-                if good:
-                    agreed[script] += 1
+            for ws, script, good in model.kept(texts, lang if packed else None):
+                if good and (lang, script) not in cleared:
                     counts[script].update(ws)
         out = []
         for script in (0, 1):
-            if agreed[script] < LEAST_AGREED * said[script]:
-                counts[script].clear()
-            p = fit(counts[script], model.pieces)
+            p = fit(counts[script], shared)
             k = np.flatnonzero(p > 1e-9)
             out.append(pd.DataFrame({"code": lang, "script": script, "piece": np.append(k, -1).astype("int64"), "p": np.append(p[k], counts[script].total())}))
         return pd.concat(out)
@@ -455,8 +454,26 @@ def _fit_frame(pieces: list[bytes], old: Model | None):
     return run
 
 
+def _agreement_frame(pieces: list[bytes], others: dict[int, Model]):
+    """(code, script, said, agreed): sentences of a language's sample in each script, and how many of them the model of the other
+    half puts in the language."""
+    packed = {half: (m.languages, m.tables, m.prior) for half, m in others.items()}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        shared, lang, said, agreed = Pieces(pieces), pdf["code"].iloc[0], [0, 0], [0, 0]
+        for half, part in pdf.groupby("half"):
+            other = Model(shared, *packed[int(half)])
+            for _, texts in batches(part["text"], part["text"]):
+                for _, script, good in other.kept(texts, lang if lang in other.languages else None):
+                    said[script] += 1
+                    agreed[script] += good
+        return pd.DataFrame({"code": lang, "script": [0, 1], "said": said, "agreed": agreed})
+
+    return run
+
+
 def sample(documents: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> DataFrame:
-    """(code, text): for each language the different labelled texts of the smallest hashes, whole.
+    """(code, half, text): for each language the different labelled texts of the smallest hashes, whole.
 
     Of a language with many documents only hashes below a bound (some ``OVERSAMPLE`` times what is wanted) are looked at, so
     that texts are neither compared nor moved beyond that.
@@ -469,16 +486,26 @@ def sample(documents: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> DataFrame
         share = F.when(F.col("code") == r.code, F.lit(min(1.0, OVERSAMPLE * per_label / r.n))).otherwise(share)
     x = x.where(F.col("h") <= (share * 2.0 - 1.0) * float((1 << 63) - 1025)).select("code", "h", "text")
     rank = F.row_number().over(Window.partitionBy("code").orderBy("h"))
-    return x.dropDuplicates(["code", "h"]).withColumn("rank", rank).where(F.col("rank") <= per_label).select("code", "text")
+    return x.dropDuplicates(["code", "h"]).withColumn("rank", rank).where(F.col("rank") <= per_label).select("code", F.pmod("h", F.lit(2)).cast("int").alias("half"), "text")
 
 
 def train(documents: DataFrame, vocabulary: str = VOCABULARY, per_label: int = SAMPLE_PER_LABEL) -> Model:
     """A model of the languages that occur as labels. What is collected is bounded by languages x vocabulary."""
     pieces = read_vocabulary(vocabulary)
     chosen, model = cut(sample(documents, per_label)), None
+
+    def fitted(rows: DataFrame, old: Model | None, cleared: set) -> Model:
+        found = rows.groupBy("code").applyInPandas(_fit_frame(pieces, old, cleared), "code string, script int, piece bigint, p double").toPandas()
+        return Model.of(pieces, found.sort_values(["code", "script", "piece"]))
+
+    # a model agrees with what it was fitted on, so which scripts a language has is judged by the model of the other half
+    halves = {half: fitted(chosen.where(F.col("half") == 1 - half), None, set()) for half in (0, 1)}
+    said = chosen.groupBy("code").applyInPandas(_agreement_frame(pieces, halves), "code string, script int, said bigint, agreed bigint").toPandas()
+    most = said.groupby("code")["said"].transform("max")
+    rare = said[(said["said"] < most) & (said["agreed"] < LEAST_AGREED * said["said"])]
+    cleared = set(zip(rare["code"], rare["script"].astype(int)))
     for _ in range(FITS):
-        rows = chosen.groupBy("code").applyInPandas(_fit_frame(pieces, model), "code string, script int, piece bigint, p double").toPandas()
-        model = Model.of(pieces, rows.sort_values(["code", "script", "piece"]))
+        model = fitted(chosen, model, cleared)
     return model
 
 
