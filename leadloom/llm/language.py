@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -212,7 +213,7 @@ class Model:
 
     def __init__(self, pieces: "list[bytes] | Pieces", languages: list[str], tables: list[np.ndarray], prior: np.ndarray):
         """``tables``: for each script a row a piece and a column a language; ``prior``: log-probability of (script, language)."""
-        self.languages, self.pieces, self.tables, self.prior = languages, pieces if isinstance(pieces, Pieces) else Pieces(pieces), tables, prior
+        self.languages, self.pieces, self.tables, self.prior = languages, pieces if hasattr(pieces, "prefixes") else Pieces(pieces), tables, prior
         self._clear()
 
     def _clear(self) -> None:
@@ -236,23 +237,23 @@ class Model:
         return k
 
     @classmethod
-    def of(cls, pieces: list[bytes], rows: pd.DataFrame) -> "Model":
+    def of(cls, pieces: "Pieces", rows: pd.DataFrame) -> "Model":
         """From rows (code, script, piece, p); the row of piece -1 has the number of words that the distribution is fitted on.
 
         The last column is OTHER: the pieces by their rank alone."""
         languages = sorted(set(rows["code"]))
         if not languages:
-            return cls(pieces, [], [np.zeros((len(pieces), 0))] * 2, np.zeros((2, 0)))
+            return cls(pieces, [], [np.zeros((len(pieces.index), 0))] * 2, np.zeros((2, 0)))
         column = {x: i for i, x in enumerate(languages)}
-        byte = np.array([len(b) == 1 for b in pieces], dtype=float)
-        rank = 1.0 / (np.arange(len(pieces)) + 100.0)
+        byte = np.array([len(b) == 1 for b in pieces.index], dtype=float)
+        rank = 1.0 / (np.arange(len(pieces.index)) + 100.0)
         tables, weights = [], np.ones((2, len(languages)))
         for script in (0, 1):
             part = rows[rows["script"] == script]
             total = part[part["piece"] < 0]
             np.add.at(weights[script], [column[x] for x in total["code"]], total["p"].to_numpy())
             part = part[part["piece"] >= 0]
-            p = np.zeros((len(pieces), len(languages)))
+            p = np.zeros((len(pieces.index), len(languages)))
             p[part["piece"].to_numpy(), [column[x] for x in part["code"]]] = part["p"].to_numpy()
             common = p @ (weights[script] / weights[script].sum())
             common = 0.9 * common + 0.1 * byte / max(byte.sum(), 1.0)
@@ -433,12 +434,12 @@ def batches(ids, texts) -> Iterator[tuple[list, list]]:
         yield some, parts
 
 
-def _fit_frame(pieces: list[bytes], old: Model | None, cleared: set[tuple[str, int]]):
+def _fit_frame(pieces: Broadcast, old: Model | None, cleared: set[tuple[str, int]]):
     """Fits a language on the sentences of ``pdf`` (code, half, text) that ``old`` puts in it, without the ``cleared`` scripts."""
     packed = old and (old.languages, old.tables, old.prior)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        shared, lang, counts = Pieces(pieces), pdf["code"].iloc[0], (Counter(), Counter())
+        shared, lang, counts = pieces.value, pdf["code"].iloc[0], (Counter(), Counter())
         model = Model(shared, *packed) if packed else Model(shared, [], [], np.zeros((2, 0)))
         for _, texts in batches(pdf["text"], pdf["text"]):
             for ws, script, good in model.kept(texts, lang if packed else None):
@@ -454,13 +455,13 @@ def _fit_frame(pieces: list[bytes], old: Model | None, cleared: set[tuple[str, i
     return run
 
 
-def _agreement_frame(pieces: list[bytes], others: dict[int, Model]):
+def _agreement_frame(pieces: Broadcast, others: dict[int, Model]):
     """(code, script, said, agreed): sentences of a language's sample in each script, and how many of them the model of the other
     half puts in the language."""
     packed = {half: (m.languages, m.tables, m.prior) for half, m in others.items()}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        shared, lang, said, agreed = Pieces(pieces), pdf["code"].iloc[0], [0, 0], [0, 0]
+        shared, lang, said, agreed = pieces.value, pdf["code"].iloc[0], [0, 0], [0, 0]
         for half, part in pdf.groupby("half"):
             other = Model(shared, *packed[int(half)])
             for _, texts in batches(part["text"], part["text"]):
@@ -493,14 +494,15 @@ def train(documents: DataFrame, vocabulary: str = VOCABULARY, per_label: int = S
     """A model of the languages that occur as labels. What is collected is bounded by languages x vocabulary."""
     pieces = read_vocabulary(vocabulary)
     chosen, model = cut(sample(documents, per_label)), None
+    shared = documents.sparkSession.sparkContext.broadcast(Pieces(pieces))  # a Python worker unpacks it once
 
     def fitted(rows: DataFrame, old: Model | None, cleared: set) -> Model:
-        found = rows.groupBy("code").applyInPandas(_fit_frame(pieces, old, cleared), "code string, script int, piece bigint, p double").toPandas()
-        return Model.of(pieces, found.sort_values(["code", "script", "piece"]))
+        found = rows.groupBy("code").applyInPandas(_fit_frame(shared, old, cleared), "code string, script int, piece bigint, p double").toPandas()
+        return Model.of(shared.value, found.sort_values(["code", "script", "piece"]))
 
     # a model agrees with what it was fitted on, so which scripts a language has is judged by the model of the other half
     halves = {half: fitted(chosen.where(F.col("half") == 1 - half), None, set()) for half in (0, 1)}
-    said = chosen.groupBy("code").applyInPandas(_agreement_frame(pieces, halves), "code string, script int, said bigint, agreed bigint").toPandas()
+    said = chosen.groupBy("code").applyInPandas(_agreement_frame(shared, halves), "code string, script int, said bigint, agreed bigint").toPandas()
     most = said.groupby("code")["said"].transform("max")
     rare = said[(said["said"] < most) & (said["agreed"] < LEAST_AGREED * said["said"])]
     cleared = set(zip(rare["code"], rare["script"].astype(int)))
@@ -513,7 +515,7 @@ def segments(documents: DataFrame, model: Model) -> DataFrame:
     """(doc_id, start, end, lang, confidence, sentences) of every document, whole texts. Null and empty texts, and texts
     without words, have no rows. Positions are in characters."""
     spark: SparkSession = documents.sparkSession
-    shared = spark.sparkContext.broadcast((list(model.pieces.index), model.languages, model.tables, model.prior))
+    shared = spark.sparkContext.broadcast((model.pieces, model.languages, model.tables, model.prior))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Model(*shared.value)
