@@ -13,7 +13,8 @@ nor a source with a third of all claims meets itself row by row. Only sources ar
 sources of one (group, field, value), and for different values the products of two sources' counts in a (group, field).
 Every two sources that meet in a contested (group, field) are tested; what an item costs is bounded by the lists it is in.
 
-The survivor's id follows the fixed rule of the task and takes no fusion; the fused values are computed when asked for.
+The survivor's id follows the fixed rule of the task, which no fused value changes; still, members are the stores that the
+fused records stand for, so whoever asks for them has every round computed.
 """
 
 from __future__ import annotations
@@ -205,7 +206,7 @@ class Survivors:
     ``sources`` (candidate_id, name, discovered_at) says which list brought a store; stores without one count as one more
     source. Stores alone in their group are in neither result. Null and blank values claim nothing; exact repeats and
     older states are dropped first; an empty table gives empty results. Other columns of ``stores`` are ignored.
-    Only what is asked for is computed: members need no claims, and values no fusion.
+    Members come from the fused records; values need no fusion, and members no values.
     """
 
     def __init__(self, stores: DataFrame, sources: DataFrame, known_hosts: DataFrame, rounds: int = ROUNDS):
@@ -220,7 +221,8 @@ class Survivors:
 
     @cached_property
     def members(self) -> DataFrame:
-        return self.own.select("group_id", "store_id").join(self.survivor.select("group_id", "survivor_id"), "group_id")
+        """The stores that each fused record stands for."""
+        return self.own.select("group_id", "store_id").join(self.record.select("group_id", "survivor_id"), "group_id")
 
     @cached_property
     def values(self) -> DataFrame:
@@ -248,6 +250,12 @@ class Survivors:
         return best.join(spelled, ["group_id", "field", "value"]).select("group_id", "field", F.col("shown").alias("value"), "p")
 
     @cached_property
-    def records(self) -> DataFrame:
+    def record(self) -> DataFrame:
+        """The survivor, size and fused values of each group: a row of bounded width, however large the group. Cut, since Spark
+        would drop the join with the fused values where none of them is read."""
         record = [F.max(F.when(F.col("field") == c, F.col("value"))).alias(c) for c in FUSED] + [F.max(F.when(F.col("field") == c, F.col("p"))).alias(f"p_{c}") for c in FUSED]
-        return self.survivor.join(self.fused.groupBy("group_id").agg(*record), "group_id", "left").join(united(self.values), "group_id", "left")
+        return cut(self.survivor.join(self.fused.groupBy("group_id").agg(*record), "group_id", "left"))
+
+    @cached_property
+    def records(self) -> DataFrame:
+        return self.record.join(united(self.values), "group_id", "left")

@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from leadloom.llm import queries
 from leadloom.llm import survivors as s
 
 T = [dt.datetime(2025, 1, d) for d in range(1, 20)]
@@ -63,6 +64,31 @@ def test_records_hold_every_field_of_all_stores(spark):
     assert r.aliases == ["HTTPS://a.example/home", "b.example", "https://a.example/old", "https://b.example/", "tapcards.example", "tapcards.example/?f=bio"]
 
 
+def test_found_rows_come_through_the_fusion(spark, tmp_path, monkeypatch):
+    rows = [store("a", "one.shops.example", "q.shops.example", name="Fair"), store("b", "https://b.example/", "q.shops.example", name="False"), store("c", "c.example", None, ["b.example"], name=" fair"), store("d", "d.example", name="Alone")]
+    tables = {"stores": (rows, STORE), "sources": ([(i, f"L{i}", T[1]) for i in "abcd"], SOURCE), "known_hosts": (KNOWN, "host string, role string")}
+    for name, (x, kind) in tables.items():
+        spark.createDataFrame(x, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    fuse, runs = s.fuse, []
+
+    def watched(claimed, rounds):
+        runs.append(({(r.field, r.value, r.source) for r in claimed.where("field = 'name'").collect()}, rounds))
+        return fuse(claimed, rounds)
+
+    monkeypatch.setattr(s, "fuse", watched)
+    got = {tuple(r) for r in queries.p2_found(spark, str(tmp_path)).collect()}
+    assert got == {("a", "a", "c"), ("a", "b", "c"), ("a", "c", "c")}
+    assert runs == [({("name", "fair", "la"), ("name", "false", "lb"), ("name", "fair", "lc")}, s.ROUNDS)]
+
+
+def test_members_are_those_of_the_fused_records(spark, monkeypatch):
+    """The fused values are really computed: a plan from which Spark drops them would not meet the fault in them."""
+    fused = spark.range(1).selectExpr("'a' AS group_id", "'name' AS field", "raise_error('read') AS value", "1.0D AS p")
+    monkeypatch.setattr(s.Survivors, "fused", fused)
+    with pytest.raises(Exception, match="read"):
+        build(spark, [store("a", "one.example"), store("b", "https://one.example/b")]).members.collect()
+
+
 def test_no_email_is_left_out(spark):
     rows = [store(f"s{i}", f"s{i}.example", "q.shops.example", None, [f"m{i}-{k:02}@s{i}.example" for k in range(30)]) for i in range(2)]
     x, every = build(spark, rows), sorted(e for r in rows for e in r[3])
