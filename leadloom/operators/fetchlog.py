@@ -80,15 +80,20 @@ def paced(requests: DataFrame, key: str, at: str, tie: str, delay: float) -> Dat
     return x.withColumn("start_us", top + F.col("k") * step).drop("_p", "_k", "_v", "_r", "_before", "_low")
 
 
+#: The largest BIGINT.
+LARGEST = (1 << 63) - 1
+
+
 def retries(observations: DataFrame, most: int = 2, longest: int = 30) -> DataFrame:
     """(run_id, candidate_id, url, attempt, wait_s, again) of each transient failure: the wait doubles with the attempt, and is
     what the server asked for if that is more (column ``retry_after``, if there is one); there is another attempt while
-    ``most`` and ``longest`` allow it."""
+    ``most`` and ``longest`` allow it. A wait that no BIGINT holds (from attempt 63 on, or asked for) is ``LARGEST``."""
     asked = retry_after(F.col("retry_after"), F.col("observed_at")) if "retry_after" in observations.columns else F.lit(0.0)
     o = observations.select("id", "run_id", "candidate_id", "url", outcome_class().alias("class"), asked.alias("asked"))
     attempt = F.row_number().over(Window.partitionBy("run_id", "candidate_id", "url").orderBy("id"))
     x = o.withColumn("attempt", attempt).where(F.col("class") == "transient")
-    wait = F.greatest(F.pow(F.lit(2), F.col("attempt")), F.ceil("asked")).cast("bigint")
+    doubled = F.coalesce(F.pow(F.lit(2), F.col("attempt")).try_cast("bigint"), F.lit(LARGEST))
+    wait = F.greatest(doubled, F.ceil("asked"))
     return x.select("run_id", "candidate_id", "url", "attempt", wait.alias("wait_s"), ((F.col("attempt") <= most) & (wait <= longest)).alias("again"))
 
 

@@ -58,3 +58,13 @@ def test_retry_after_and_budget(spark):
     assert [r.s for r in x.select(fetchlog.retry_after(F.col("h")).alias("s")).collect()] == [3.0, 0.0, 0.0, 0.0]
     b = spark.createDataFrame([(b"abcdef",), (b"ab",)], "b binary").select(fetchlog.within_budget(F.col("b"), 4).alias("r")).collect()
     assert [(r.r.outcome, bytes(r.r.body)) for r in b] == [("too_large", b"abcd"), ("ok", b"ab")]
+
+
+def test_waits_beyond_bigint(spark):
+    base = dt.datetime(2025, 1, 1)
+    rows = [(i, "hot", None) for i in range(1, 1101)] + [(2001, "long", "1e300"), (2002, "long", "9"), (2003, "long", None)]
+    o = spark.createDataFrame([(i, "r", "c", u, "fetch_failed", None, base, h) for i, u, h in rows], "id long, run_id string, candidate_id string, url string, outcome string, status_code int, observed_at timestamp_ntz, retry_after string")
+    got = {(r.url, r.attempt): (r.wait_s, r.again) for r in fetchlog.retries(o).collect()}
+    want = {("hot", k): (min(2**k, 2**63 - 1), k <= 2) for k in range(1, 1101)}
+    assert got == want | {("long", 1): (2**63 - 1, False), ("long", 2): (9, True), ("long", 3): (8, False)}
+    assert {r.attempt: r.wait_s for r in fetchlog.retries(o.drop("retry_after").where("url = 'hot'")).collect()} == {k: w for (_, k), (w, _) in want.items()}
